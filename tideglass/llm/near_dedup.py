@@ -25,7 +25,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -94,43 +93,89 @@ def _could(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return 100 * np.minimum(n[:, None], m[None, :]) >= 75 * np.maximum(n[:, None], m[None, :])
 
 
-def _sig(s: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(s), np.uint8).reshape(len(s), T)
+def _columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    out = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names if c != "sig"}
+    out["sig"] = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(batch.num_rows, T)
+    return out
 
 
-def _near_pairs(g: pd.DataFrame) -> pd.DataFrame:
-    """Candidate pairs of one block of a bucket: all of a small one, the nearest few of a large one."""
-    node, n, sig = g.node.to_numpy(), g.n.to_numpy(), _sig(g.sig)
-    agree = np.where(_could(n, n), _agree(sig, sig), 0)
-    if g.size_.iloc[0] <= SMALL:
-        i, j = np.nonzero(np.triu(agree >= FLOOR, 1))
-    else:
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    ok = a != b
+    return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)[ok], pa.int64()), pa.array(np.minimum(a, b)[ok], pa.int64())], ["a", "b"])
+
+
+def _block_pairs(g: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of complete (band, block) groups: all of small buckets, the nearest few of a large one's block."""
+    node, n, sig = g["node"], g["n"], g["sig"]
+    new = np.concatenate(([True], (g["band"][1:] != g["band"][:-1]) | (g["block"][1:] != g["block"][:-1])))
+    group = np.cumsum(new)
+    small = g["size_"] <= SMALL
+    for d in range(1, SMALL):
+        i = np.flatnonzero((group[:-d] == group[d:]) & small[:-d])
+        if not len(i):
+            break
+        j = i + d
+        i, j = (x[100 * np.minimum(n[i], n[j]) >= 75 * np.maximum(n[i], n[j])] for x in (i, j))
+        ok = (sig[i] == sig[j]).sum(axis=1) >= FLOOR
+        yield _pairs(node[i[ok]], node[j[ok]])
+    starts = np.flatnonzero(new)
+    for at, end in zip(starts, np.append(starts[1:], len(node))):
+        k = min(NEAREST, end - at - 1)
+        if small[at] or k < 1:
+            continue
+        agree = np.where(_could(n[at:end], n[at:end]), _agree(sig[at:end], sig[at:end]), 0)
         np.fill_diagonal(agree, 0)
-        k = min(NEAREST, len(g) - 1)
-        if k < 1:
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
         j = np.argpartition(-agree, k - 1, axis=1)[:, :k].ravel()
-        i = np.repeat(np.arange(len(g)), k)
+        i = np.repeat(np.arange(end - at), k)
         ok = agree[i, j] >= FLOOR
-        i, j = i[ok], j[ok]
-    a, b = np.maximum(node[i], node[j]), np.minimum(node[i], node[j])
-    return pd.DataFrame({"a": a, "b": b})[a != b].drop_duplicates()
-
-
-def _rest_pairs(g: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a block's own members with the bucket's outsiders where they are in two components."""
-    own, out = g[~g.visitor], g[g.visitor]
-    if own.empty or out.empty:
-        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-    found = []
-    s, n, c, node = _sig(own.sig), own.n.to_numpy(), own.component.to_numpy(), own.node.to_numpy()
-    for at in range(0, len(out), BLOCK):
-        o = out.iloc[at : at + BLOCK]
-        ok = (_agree(_sig(o.sig), s) >= FLOOR) & _could(o.n.to_numpy(), n) & (o.component.to_numpy()[:, None] != c[None, :])
-        i, j = np.nonzero(ok)
-        x, y = o.node.to_numpy()[i], node[j]
-        found.append(pd.DataFrame({"a": np.maximum(x, y), "b": np.minimum(x, y)}))
-    return pd.concat(found).drop_duplicates()
+        yield _pairs(node[at + i[ok]], node[at + j[ok]])
+
+
+def _near_pairs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_block_pairs over rows sorted by band and block; a group that a batch cuts is carried over."""
+    held: list[dict] = []
+    rows = 0
+    for batch in it:
+        if not batch.num_rows:
+            continue
+        held.append(_columns(batch))
+        rows += batch.num_rows
+        if rows < 4000:
+            continue
+        g = {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+        last = np.flatnonzero((g["band"] != g["band"][-1]) | (g["block"] != g["block"][-1]))
+        cut = last[-1] + 1 if len(last) else 0
+        if cut:
+            yield from _block_pairs({c: x[:cut] for c, x in g.items()})
+        held, rows = [{c: x[cut:] for c, x in g.items()}], rows - cut
+    if rows:
+        yield from _block_pairs({c: np.concatenate([h[c] for h in held]) for c in held[0]})
+
+
+def _rest_pairs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a block's own members with the bucket's outsiders where they are in two components.
+
+    Rows come sorted by band, block and visitor: a block's members are held, outsiders stream by.
+    """
+    key, own = None, []
+    for batch in it:
+        if not batch.num_rows:
+            continue
+        g = _columns(batch)
+        cuts = np.flatnonzero((g["band"][1:] != g["band"][:-1]) | (g["block"][1:] != g["block"][:-1])) + 1
+        for at, end in zip(np.concatenate(([0], cuts)), np.append(cuts, batch.num_rows)):
+            if key != (g["band"][at], g["block"][at]):
+                key, own = (g["band"][at], g["block"][at]), []
+            part = {c: x[at:end] for c, x in g.items()}
+            out = part["visitor"].astype(bool)
+            if not out.all():
+                own.append({c: x[~out] for c, x in part.items()})
+            if out.any() and own:
+                own = [{c: np.concatenate([o[c] for o in own]) for c in own[0]}]
+                m, v = own[0], {c: x[out] for c, x in part.items()}
+                ok = (_agree(v["sig"], m["sig"]) >= FLOOR) & _could(v["n"], m["n"]) & (v["component"][:, None] != m["component"][None, :])
+                i, j = np.nonzero(ok)
+                yield _pairs(v["node"][i], m["node"][j])
 
 
 def _verify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +223,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     cut = lambda salt: F.when(F.col("size_") <= SMALL, F.lit(0)).otherwise(F.pmod(F.xxhash64("node", "band", F.lit(salt)), blocks))
     # a large bucket is dealt out in blocks; exact copies with one set are one node already
     dealt = bucket.withColumn("block", cut(1).cast("long")).join(info, "node")
-    pairs = dealt.groupBy("band", "block").applyInPandas(_near_pairs, "a long, b long")
+    dealt = dealt.select("band", "block", "node", "size_", "n", "sig").repartition("band", "block").sortWithinPartitions("band", "block")
+    pairs = dealt.mapInArrow(_near_pairs, "a long, b long")
     first = keep(_links(pairs, sets), "links")
     seen = keep(components(first), "seen")
 
@@ -189,7 +235,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     big = large.join(per, "band").withColumn("block", F.pmod(F.xxhash64("node", "band", F.lit(2)), blocks).cast("long"))
     members = big.select("band", "block", "node", "n", "sig", "component", F.lit(False).alias("visitor"))
     visitors = big.where("component != main").select("band", F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1)).alias("block"), "node", "n", "sig", "component", F.lit(True).alias("visitor"))
-    rest = members.unionByName(visitors).groupBy("band", "block").applyInPandas(_rest_pairs, "a long, b long")
+    rest = members.unionByName(visitors).repartition("band", "block").sortWithinPartitions("band", "block", "visitor").mapInArrow(_rest_pairs, "a long, b long")
     second = keep(_links(rest, sets), "links")
 
     # rows that repeat a doc_id with other texts tie their classes together
