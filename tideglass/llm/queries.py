@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideglass.llm import near_dedup, toxicity
+from tideglass.llm import decontaminate, langid, near_dedup, toxicity
 from tideglass.llm.shared import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +48,40 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_toxicity"] = op1_toxicity
+
+
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES["op8_benchmark_decontamination"] = op8_benchmark_decontamination
+ORACLE_SQL["op8_benchmark_decontamination"] = rf"""
+with d as materialized (
+  select doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents
+), i as (
+  select item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from benchmark
+), iw as materialized (
+  select distinct item_id, case when len(ws) < 10 then len(ws) else 10 end as n, array_to_string(ws[k:k+9], ' ') as win
+  from (select item_id, ws, unnest(range(1, greatest(1, len(ws) - 9) + 1)) as k from i where len(ws) > 0)
+), dw as (
+  select doc_id, l.n, k, array_to_string(ws[k:k+l.n-1], ' ') as win
+  from (select distinct n from iw) l, lateral (select doc_id, ws, unnest(range(1, len(ws) - l.n + 2)) as k from d where len(ws) >= l.n)
+), occ as materialized (select doc_id, item_id, k, iw.n from dw join iw on iw.win = dw.win and iw.n = dw.n),
+hit as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(k, k + n)) as p from occ) group by doc_id),
+it as (
+  select doc_id, count(*) as n_items, string_agg(id, ',' order by id) as ids
+  from (select distinct doc_id, item_id::varchar as id from occ) group by doc_id
+)
+select d.doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join hit using (doc_id) left join it using (doc_id)
+"""
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs.select("doc_id", "text"), langid.fit(docs))
+    return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES["op9_language_id"] = op9_language_id
