@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideglass.llm import decontaminate, langid, near_dedup, toxicity
+from tideglass.llm import binary, decontaminate, langid, near_dedup, toxicity
 from tideglass.llm.shared import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,16 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_language_id"] = op9_language_id
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binary.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+QUERIES["op10_token_binary"] = op10_token_binary
