@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideglass.llm import binary, decontaminate, langid, near_dedup, toxicity
+from tideglass.llm import binary, decontaminate, langid, mixing, near_dedup, sharding, toxicity
 from tideglass.llm.shared import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,18 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_token_binary"] = op10_token_binary
+
+
+def op2_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.layout(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op2_hash_tree_sharding"] = op2_hash_tree_sharding
+
+
+def op3_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES["op3_pivotal_mixing"] = op3_pivotal_mixing
