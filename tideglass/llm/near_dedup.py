@@ -10,7 +10,7 @@
    sizes allow the threshold and at least `floor` of 128 sketch bytes agree (at
    J = 0.75 a pair misses that with probability below 1e-5; a pair shares no band with
    probability 5e-6).
-3. Each kept pair is verified on the full shingle sets (100 * |A & B| >= 75 * |A | B|);
+3. Each such pair is verified on the full shingle sets (100 * |A & B| >= 75 * |A | B|);
    verified links and classes are joined into components by star contraction.
 
 Cases: null, empty or blank texts have no shingles, link with nothing and are kept; texts
@@ -40,6 +40,8 @@ SMALL = 48
 #: Members of a larger bucket that are compared with each other in one block.
 BLOCK = 512
 NEAREST = 3
+#: Members and visitors that meet in one cell of the second pass.
+CELL = 256
 FLOOR = 74
 
 
@@ -152,44 +154,60 @@ def _near_pairs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _block_pairs({c: np.concatenate([h[c] for h in held]) for c in held[0]})
 
 
-def _rest_pairs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a block's own members with the bucket's outsiders where they are in two components.
+def _rest_links(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Verified links of a block's members with visitors of other components, one for each component met.
 
-    Rows come sorted by band, block and visitor: a block's members are held, outsiders stream by.
+    Rows come sorted by cell (main, i, j) and visitor: a cell's members are held, its visitors stream by.
     """
-    key, own = None, []
+    key, own = None, None
     for batch in it:
         if not batch.num_rows:
             continue
-        g = _columns(batch)
-        cuts = np.flatnonzero((g["band"][1:] != g["band"][:-1]) | (g["block"][1:] != g["block"][:-1])) + 1
+        sets = batch.column("shingles").to_pylist()
+        g = _columns(batch.drop_columns(["shingles"]))
+        change = np.zeros(batch.num_rows, bool)
+        for c in ("main", "i", "j"):
+            change[1:] |= g[c][1:] != g[c][:-1]
+        cuts = np.flatnonzero(change)
         for at, end in zip(np.concatenate(([0], cuts)), np.append(cuts, batch.num_rows)):
-            if key != (g["band"][at], g["block"][at]):
-                key, own = (g["band"][at], g["block"][at]), []
-            part = {c: x[at:end] for c, x in g.items()}
-            out = part["visitor"].astype(bool)
-            if not out.all():
-                own.append({c: x[~out] for c, x in part.items()})
-            if out.any() and own:
-                own = [{c: np.concatenate([o[c] for o in own]) for c in own[0]}]
-                m, v = own[0], {c: x[out] for c, x in part.items()}
-                ok = (_agree(v["sig"], m["sig"]) >= FLOOR) & _could(v["n"], m["n"]) & (v["component"][:, None] != m["component"][None, :])
-                i, j = np.nonzero(ok)
-                yield _pairs(v["node"][i], m["node"][j])
+            cell = (g["main"][at], g["i"][at], g["j"][at])
+            if key != cell:
+                key, own = cell, {c: x[:0] for c, x in g.items()} | {"sets": []}
+            out = g["visitor"][at:end].astype(bool)
+            mine = at + np.flatnonzero(~out)
+            own = {c: np.concatenate((own[c], g[c][mine])) for c in g} | {"sets": own["sets"] + [sets[k] for k in mine]}
+            guests = at + np.flatnonzero(out)
+            if not len(guests) or not len(own["node"]):
+                continue
+            agree = _agree(g["sig"][guests], own["sig"])
+            agree[~_could(g["n"][guests], own["n"]) | (g["component"][guests][:, None] == own["component"][None, :])] = 0
+            a, b = [], []
+            for v, row in zip(guests, agree):
+                maybe = np.flatnonzero(row >= FLOOR)
+                met: set[int] = set()
+                for m in maybe[np.argsort(-row[maybe], kind="stable")]:
+                    c = own["component"][m]
+                    if c not in met and _linked(sets[v], own["sets"][m]):
+                        met.add(c)
+                        a.append(g["node"][v])
+                        b.append(own["node"][m])
+            yield _pairs(np.array(a, np.int64), np.array(b, np.int64))
+
+
+def _linked(x: bytes, y: bytes) -> bool:
+    """The contract's test on two full sets."""
+    p, q = np.frombuffer(x, U64), np.frombuffer(y, U64)
+    both = np.concatenate((p, q))
+    both.sort()
+    shared = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * shared >= 75 * (len(p) + len(q) - shared)
 
 
 def _verify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
         a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
         x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
-        good = []
-        for i in range(len(a)):
-            p, q = np.frombuffer(x[i], U64), np.frombuffer(y[i], U64)
-            both = np.concatenate((p, q))
-            both.sort()
-            shared = int(np.count_nonzero(both[1:] == both[:-1]))
-            if 100 * shared >= 75 * (len(p) + len(q) - shared):
-                good.append(i)
+        good = [i for i in range(len(a)) if _linked(x[i], y[i])]
         yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in good], pa.int64()), pa.array([b[i] for i in good], pa.int64())], ["a", "b"])
 
 
@@ -228,27 +246,42 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = keep(_links(pairs, sets), "links")
     seen = keep(components(first), "seen")
 
-    # what large buckets still hold in several components
-    big = bucket.where(F.col("size_") > SMALL).join(info, "node").join(seen, "node", "left")
-    large = keep(big.withColumn("component", F.coalesce("component", "node")), "big")
+    # what large buckets still hold in several components: those outside the bucket's main one are checked
+    # against all of that component and against each other, cell by cell
+    large = bucket.where(F.col("size_") > SMALL).join(seen, "node", "left")
+    large = keep(large.select("band", "node", F.coalesce("component", "node").alias("component")), "large")
     per = large.groupBy("band", "component").agg(F.count("*").alias("k")).groupBy("band").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    big = large.join(per, "band").withColumn("block", F.pmod(F.xxhash64("node", "band", F.lit(2)), blocks).cast("long"))
-    members = big.select("band", "block", "node", "n", "sig", "component", F.lit(False).alias("visitor"))
-    visitors = big.where("component != main").select("band", F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1)).alias("block"), "node", "n", "sig", "component", F.lit(True).alias("visitor"))
-    rest = members.unionByName(visitors).repartition("band", "block").sortWithinPartitions("band", "block", "visitor").mapInArrow(_rest_pairs, "a long, b long")
-    second = keep(_links(rest, sets), "links")
+    guests = large.join(per, "band").where("component != main").select("main", "node", "component").distinct()
+    guests = keep(guests, "guests")
+    hosts = guests.select("main").distinct().join(seen.select(F.col("component").alias("main"), "node"), "main", "left")
+    hosts = hosts.select("main", F.coalesce("node", "main").alias("node"), F.col("main").alias("component"))
+    cells = lambda c: F.ceil(F.col(c) / CELL).cast("long")
+    crowd = hosts.unionByName(guests)
+    count = crowd.groupBy("main").agg(F.count("*").alias("n_own")).join(guests.groupBy("main").agg(F.count("*").alias("n_out")), "main")
+    full = lambda d: d.join(info, "node").join(sets, "node").join(count, "main")
+    spot = lambda c: F.pmod(F.xxhash64("node", F.lit(c)), cells(c)).cast("long")
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), cells(c) - 1))
+    columns = ["main", "i", "j", "node", "n", "sig", "component", "visitor", "shingles"]
+    members = full(crowd).withColumn("i", spot("n_own")).withColumn("j", every("n_out")).withColumn("visitor", F.lit(False)).select(columns)
+    visitors = full(guests).withColumn("j", spot("n_out")).withColumn("i", every("n_own")).withColumn("visitor", F.lit(True)).select(columns)
+    rest = members.unionByName(visitors).repartition("main", "i", "j").sortWithinPartitions("main", "i", "j", "visitor").mapInArrow(_rest_links, "a long, b long")
+    second = keep(rest.distinct(), "links")
 
     # rows that repeat a doc_id with other texts tie their classes together
     many = real.select("doc_id", "n", "f1", "f2").distinct().groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")
     ties = real.join(many, "doc_id", "left_semi").join(classes, ["n", "f1", "f2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    final = keep(components(second.unionByName(seen.select(F.col("node").alias("a"), F.col("component").alias("b"))).unionByName(ties)), "final")
+    # components of components
+    of = lambda c: seen.select(F.col("node").alias(c), F.col("component").alias(f"{c}_c"))
+    joined = second.unionByName(ties).join(of("a"), "a", "left").join(of("b"), "b", "left")
+    final = keep(components(joined.select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b"))), "final")
 
     out = prof.select("doc_id", "n", "f1", "f2").join(classes.select("n", "f1", "f2", "rep"), ["n", "f1", "f2"], "left")
-    out = out.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    component = F.coalesce("component", "rep", "doc_id")
+    out = out.join(seen.select(F.col("node").alias("rep"), F.col("component").alias("c1")), "rep", "left")
+    out = out.withColumn("c1", F.coalesce("c1", "rep")).join(final.select(F.col("node").alias("c1"), F.col("component").alias("c2")), "c1", "left")
+    component = F.coalesce("c2", "c1", "doc_id")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(component)
     out = keep(out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")), "result")
-    for x in (prof, classes, bucket, nodes, info, sets, first, seen, large, second, final):
+    for x in (prof, classes, bucket, nodes, info, sets, first, seen, large, guests, second, final):
         drop(x)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
