@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideglass.llm import binary, decontaminate, langid, mixing, near_dedup, sharding, toxicity
+from tideglass.llm import binary, decontaminate, langid, mixing, near_dedup, sharding, topk, toxicity
 from tideglass.llm.shared import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,20 @@ def op3_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_pivotal_mixing"] = op3_pivotal_mixing
+
+
+def op4_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.nearest(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES["op4_pivot_top_k"] = op4_pivot_top_k
+ORACLE_SQL["op4_pivot_top_k"] = """
+with v as materialized (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::bigint as score
+  from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id
+), r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, rank::int as rank, vec_id, score from r where rank <= 5
+"""
