@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideglass.llm import binary, decontaminate, langid, mixing, near_dedup, sharding, topk, toxicity
+from tideglass.llm import binary, decontaminate, langid, licenses, mixing, near_dedup, sharding, topk, toxicity
 from tideglass.llm.shared import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +130,38 @@ with v as materialized (
 ), r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
 select query_id, rank::int as rank, vec_id, score from r where rank <= 5
 """
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.size("matches").cast("long").alias("n_matches"), F.array_join("licenses", ",").alias("licenses"), "license", "dice", F.col("unit").cast("long").alias("unit"))
+
+
+def _templates_sql() -> str:
+    rows = (f"('{name}', [{', '.join(repr(g) for g in licenses.bigrams(text))}])" for name, text in licenses.TEMPLATES)
+    return "select * from (values " + ", ".join(rows) + ") as x(license, g)"
+
+
+QUERIES["op7_license_scan"] = op7_license_scan
+ORACLE_SQL["op7_license_scan"] = rf"""
+with t as materialized ({_templates_sql()}),
+d as (select doc_id, regexp_replace(lower(coalesce(text, '')), '[^a-z0-9\n]+', ' ', 'g') as p from documents),
+u as (
+  select doc_id, 0 as unit, replace(p, chr(10), ' ') as s from d
+  union all
+  select doc_id, unnest(range(1, len(ls) + 1)) as unit, unnest(ls) as s from (select doc_id, string_split(p, chr(10)) as ls from d)
+), w as (select doc_id, unit, list_filter(string_split(s, ' '), lambda x: x <> '') as ws from u),
+g as materialized (
+  select doc_id, unit, list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) as g from w where len(ws) >= 2
+), m as (
+  select doc_id, unit, license, 2.0::double * len(list_intersect(g.g, t.g)) / (len(g.g) + len(t.g)) as dice
+  from g join t on len(g.g) <= 4 * len(t.g)
+), k as (select * from m where dice >= {licenses.THRESHOLD}),
+a as (
+  select doc_id, count(*) as n, string_agg(distinct license, ',' order by license) as licenses,
+    min(row(-dice, unit, license)) as best from k group by doc_id
+)
+select d.doc_id, coalesce(n, 0)::bigint as n_matches, coalesce(licenses, '') as licenses, best[3] as license,
+  -best[1] as dice, best[2]::bigint as unit
+from d left join a using (doc_id)
+"""
