@@ -1,23 +1,58 @@
-"""Corpus pipeline: staged here as its operators are finished."""
+"""Corpus pipeline: toxicity, near-duplicates, decontamination, mixing, token-id files.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the last
+return the columns of documents.
+
+* toxicity - documents the string-kernel machine rejects (score >= 0.5) go;
+* near_dedup - of each group of near-duplicates the document with the least doc_id stays;
+* decontamination - documents that hold a window of the benchmark go;
+* mixing - each document stays as often as the mix takes it (copies 0 to 3), copies as rows of their own;
+* token_ids - the mix is written as token-id files and read back: doc_id, start, n_tokens, ids_crc32.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideglass.llm import near_dedup
-from tideglass.llm.shared import table
+from tideglass.llm import binary, decontaminate, mixing, near_dedup, toxicity
+from tideglass.llm.queries import tokenizer_path
+from tideglass.llm.shared import keep, table
+
 
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
-def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return near_dedup.deduplicated(docs)
 
 
-STAGES = [("near_dedup", stage_near_dedup)]
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed(docs)
+
+
+def token_ids_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return binary.round_trip(docs, tokenizer_path())
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("near_dedup", near_dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("mixing", mixing_stage),
+    ("token_ids", token_ids_stage),
+]
+
+#: The classifier, the rounding and the tokenizer have no SQL form.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = keep(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tideglass.llm.shared import drop, keep
+from tideglass.llm.shared import BROADCAST_ROWS, drop, keep
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -156,3 +156,23 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP) -
     spread = full.select("doc_id", "source", "size", "source_size", "target", "total", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("i"))
     copies = F.floor(F.col("total") / F.col("m")) + (F.col("i") < F.pmod(F.col("total"), F.col("m"))).cast("long")
     return spread.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
+    """The mix itself: each row of docs as often as it is taken, all columns as they are.
+
+    Repeated rows of one document share its copies: rows that repeat doc_id, source and size
+    each stand as often as the entity's copies divide, the first ones once more.
+    """
+    taken = mix(docs, weights, cap).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("_total"), F.count("*").alias("_m"))
+    taken = keep(taken.where("_total > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "_total", "_m"), "taken")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (word_count(F.col("text")) == F.col("_z"))
+    if taken.count() <= BROADCAST_ROWS // 4:
+        taken = F.broadcast(taken)
+    rows = docs.join(taken, same)
+    # only rows that repeat a document need a number
+    many = rows.where("_m > 1").withColumn("_i", F.row_number().over(W.partitionBy("_d", "_s", "_z").orderBy("text")) - 1)
+    rows = rows.where("_m = 1").withColumn("_i", F.lit(0)).unionByName(many)
+    copies = F.floor(F.col("_total") / F.col("_m")) + (F.col("_i") < F.pmod(F.col("_total"), F.col("_m"))).cast("long")
+    rows = rows.withColumn("_copies", copies).where("_copies > 0")
+    return rows.withColumn("_c", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*[docs[c] for c in docs.columns])

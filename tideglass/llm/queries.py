@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideglass.llm import binary, decontaminate, langid, licenses, mixing, near_dedup, sharding, topk, toxicity
+from tideglass.llm import binary, decontaminate, langid, licenses, mixing, near_dedup, sharding, tokencount, topk, toxicity
 from tideglass.llm.shared import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -165,3 +165,13 @@ select d.doc_id, coalesce(n, 0)::bigint as n_matches, coalesce(licenses, '') as
   -best[1] as dice, best[2]::bigint as unit
 from d left join a using (doc_id)
 """
+
+
+def op6_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokencount.count_edited(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).drop("text")
+
+
+QUERIES["op6_edit_aware_counts"] = op6_edit_aware_counts

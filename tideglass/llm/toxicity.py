@@ -317,3 +317,11 @@ def score(docs: DataFrame, machine: Machine | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
 
     return docs.select(*names).mapInArrow(run, schema)
+
+
+def clean(docs: DataFrame, machine: Machine | None) -> DataFrame:
+    """docs without those that the machine rejects; all columns stay as they are."""
+    names = docs.columns
+    plain = docs.withColumnsRenamed({c: f"_kept_{c}" for c in names if c in ("score", "predicted")})
+    kept = score(plain, machine).where("predicted = 0").drop("score", "predicted")
+    return kept.withColumnsRenamed({f"_kept_{c}": c for c in names}).select(*names)
