@@ -33,14 +33,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tideglass.llm.hashing import slices
-from tideglass.llm.shared import SLICE, batches, new_path
+from tideglass.llm.shared import SLICE, batches, lean, new_path
 
 MAGIC = b"TEFS0001"
 END = 2
 SAMPLE = 256
 #: Ids of a segment, about; one document is never cut.
-SEGMENT = 2_000_000
-_CACHE = 400_000
+SEGMENT = 1_000_000
+_CACHE = 150_000
+#: Words handed to the tokenizer at once: its results are large.
+_WORDS = 4_000
 
 
 class EliasFano:
@@ -145,7 +147,10 @@ class WordEncoder:
         if new or not len(self.size):
             if not len(self.size):
                 new.insert(0, b"")  # word 0 stands for the end id
-            got = [[end]] * (new[0] == b"") + [e.ids for e in self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new if w], add_special_tokens=False)]
+            got = [[end]] * (new[0] == b"")
+            for a in range(len(got), len(new), _WORDS):
+                some = [w.decode("utf-8", "replace") for w in new[a : a + _WORDS]]
+                got += [e.ids for e in self.tokenizer.encode_batch(some, add_special_tokens=False)]
             size = np.fromiter(map(len, got), np.int64, len(got))
             self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
             self.start = np.concatenate((self.start, len(self.pool) + np.cumsum(size) - size))
@@ -172,6 +177,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END, segment: i
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
+    @lean
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(tokenizer)
         part, seq = TaskContext.get().partitionId(), 0
@@ -207,6 +213,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
     files = spark.read.schema(_SEGMENTS).parquet(path)
 
+    @lean
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for part, seq, image in zip(*(batch.column(c).to_pylist() for c in ("part", "seq", "image"))):

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideglass.llm.hashing import slices
-from tideglass.llm.shared import SLICE, batches, keep
+from tideglass.llm.shared import SLICE, batches, keep, lean
 
 WINDOW = 10
 #: Items of the benchmark, and bytes of their texts, per broadcast.
@@ -191,6 +191,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
 def _runner(held, names: list[str]):
     kinds = pa.list_(pa.struct([("at", pa.int64()), ("n", pa.int64())])), pa.list_(pa.string())
 
+    @lean
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = held.value
         for batch in it:

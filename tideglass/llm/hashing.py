@@ -24,7 +24,7 @@ _powers: dict[str, np.ndarray] = {"p": np.ones(1, U64), "q": np.ones(1, U64)}
 def _power(name: str, base: int, n: int) -> np.ndarray:
     have = _powers[name]
     if len(have) < n:
-        size = max(n, 2 * len(have), 1 << 16)
+        size = max(n, 1 << 20)
         steps = np.full(size, base, U64)
         steps[0] = 1
         have = _powers[name] = np.multiply.accumulate(steps)

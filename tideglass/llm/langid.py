@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideglass.llm.hashing import slices
-from tideglass.llm.shared import SLICE, batches, crc_mod
+from tideglass.llm.shared import SLICE, batches, crc_mod, lean
 
 ORDERS = 4
 BUCKETS = 1 << 16
@@ -146,6 +146,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
     schema = docs.select(*names).schema.add("lang_pred", "string").add("score", "double")
 
+    @lean
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for batch in it:

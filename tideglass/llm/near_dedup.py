@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tideglass.llm.components import components
 from tideglass.llm.hashing import U64, mix, shingle_sets, slices
-from tideglass.llm.shared import SLICE, batches, drop, keep, semi
+from tideglass.llm.shared import SLICE, batches, drop, keep, lean, semi
 from tideglass.llm.sketch import band_keys, sketches
 
 T, ROWS = 128, 4
@@ -49,6 +49,7 @@ def _texts(batch: pa.RecordBatch) -> list:
     return batch.column("text").cast(pa.binary()).to_pylist()
 
 
+@lean
 def _profile(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
         rows = list(zip(batch.column("doc_id").to_pylist(), _texts(batch)))
@@ -75,6 +76,7 @@ def _profile(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+@lean
 def _shingles(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
         rows = list(zip(batch.column("doc_id").to_pylist(), _texts(batch)))
@@ -133,6 +135,7 @@ def _block_pairs(g: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         yield _pairs(node[at + i[ok]], node[at + j[ok]])
 
 
+@lean
 def _near_pairs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """_block_pairs over rows sorted by band and block; a group that a batch cuts is carried over."""
     held: list[dict] = []
@@ -154,6 +157,7 @@ def _near_pairs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _block_pairs({c: np.concatenate([h[c] for h in held]) for c in held[0]})
 
 
+@lean
 def _rest_links(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Verified links of a block's members with visitors of other components, one for each component met.
 
@@ -203,6 +207,7 @@ def _linked(x: bytes, y: bytes) -> bool:
     return 100 * shared >= 75 * (len(p) + len(q) - shared)
 
 
+@lean
 def _verify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
         a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()

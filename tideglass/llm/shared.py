@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
 
@@ -11,7 +14,7 @@ from pyspark.sql import functions as F
 #: Rows of a table of ids (8 bytes each) that may be broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Bytes of text worked on at once inside a Python worker.
-SLICE = 2_000_000
+SLICE = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +61,23 @@ def semi(df: DataFrame, ids: DataFrame, key: str, anti: bool = False, rows: int
     return df.join(ids, key, "left_anti" if anti else "left_semi")
 
 
+def lean(run):
+    """A worker's generator that hands freed memory back when its task ends, as workers are used again."""
+
+    @functools.wraps(run)
+    def wrapped(it):
+        try:
+            yield from run(it)
+        finally:
+            gc.collect()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):
+                pass
+
+    return wrapped
+
+
 def crc_mod(key: str, n: int):
     """crc32 of the id written as text, modulo n (null ids: null)."""
     return F.crc32(F.encode(F.col(key).cast("string"), "UTF-8")) % n

@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tideglass.llm.hashing import slices
-from tideglass.llm.shared import SLICE, batches
+from tideglass.llm.shared import SLICE, batches, lean
 
 BLOCK = 64
 #: Characters behind a piece that can decide where it ends (a contraction of two letters, one blank more).
 LOOK = 3
-_CACHE = 300_000
+_CACHE = 150_000
 
 Edit = tuple[int, int, str]
 
@@ -200,6 +200,7 @@ def count_edited(docs: DataFrame, ranks: str, pattern: str, edits=script) -> Dat
     for c in more:
         schema = schema.add(c, "long")
 
+    @lean
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(ranks, pattern)
         for batch in it:

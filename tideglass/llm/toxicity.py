@@ -37,14 +37,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideglass.llm.shared import batches, crc_mod
+from tideglass.llm.hashing import slices
+from tideglass.llm.shared import SLICE, batches, crc_mod, lean
 
 ORDER, SPAN, DECAY = 4, 7, 0.85
 SAMPLE, SAMPLE_CHARS = 2500, 12_000
 LANDMARKS, ROUNDS = 320, 3
 #: Units longer than this are cut into pieces that overlap by half.
 PIECE = 32
-_CACHE = 300_000
+_CACHE = 150_000
 _EDGE = ".,;:!?\"'()[]*-_"
 _SPELLED = re.compile(r"(?:(?<=\s)|^)(?:[^\s]\s){2,}[^\s](?=\s|$)")
 _A = np.uint64(0x9E3779B97F4A7C15)
@@ -300,20 +301,24 @@ def score(docs: DataFrame, machine: Machine | None) -> DataFrame:
     names = [c for c in docs.columns if c not in ("score", "predicted")]
     schema = docs.select(*names).schema.add("score", "double").add("predicted", "integer")
 
+    @lean
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         known: dict[str, float] = {}
         for batch in it:
-            of = [units(t) for t in batch.column("text").to_pylist()]
-            if m is None:
-                p = np.zeros(len(of))
-            else:
+            scores = [np.zeros(0)]
+            for part in slices(batch.column("text").to_pylist(), lambda t: len(t or ""), SLICE):
+                if m is None:
+                    scores.append(np.zeros(len(part)))
+                    continue
+                of = [units(t) for t in part]
                 if len(known) > _CACHE:
                     known.clear()
-                new = list(set().union(*of).difference(known)) if of else []
+                new = list(set().union(*of).difference(known))
                 for a in range(0, len(new), 2000):
                     known.update(zip(new[a : a + 2000], m.values(new[a : a + 2000]).tolist()))
-                p = m.probability(np.array([max(map(known.__getitem__, u), default=m.bias) for u in of]))
+                scores.append(m.probability(np.array([max(map(known.__getitem__, u), default=m.bias) for u in of])))
+            p = np.concatenate(scores)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
 
     return docs.select(*names).mapInArrow(run, schema)
