@@ -22,8 +22,10 @@ from __future__ import annotations
 
 import os
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +42,7 @@ END = 2
 SAMPLE = 256
 #: Ids of a segment, about; one document is never cut.
 SEGMENT = 1_000_000
-_CACHE = 150_000
+_CACHE = 350_000
 #: Words handed to the tokenizer at once: its results are large.
 _WORDS = 4_000
 
@@ -123,8 +125,26 @@ class Segment:
         return self.ids[self.bounds.get(i) : self.bounds.get(i + 1)]
 
 
+_MARKS = b".,;:!?"
+
+
+def _ends_in_letter(w: bytes) -> bool:
+    if not w or b"'" in w:
+        return False
+    if w[-1] < 0x80:
+        return 0x61 <= w[-1] <= 0x7A or 0x41 <= w[-1] <= 0x5A
+    c = w.decode("utf-8", "replace")[-1]
+    # lowering or composing must leave the letter a letter
+    return c.isalpha() and c.lower() == c and unicodedata.normalize("NFC", c) == c
+
+
 class WordEncoder:
-    """Ids of whole texts through a table of words already encoded."""
+    """Ids of whole texts through a table of words already encoded.
+
+    New words go to the tokenizer as one text with its special token between them, whose id then
+    cuts the result: a result per word would cost more than the encoding itself.  When
+    the table is full, words met once since the last time are dropped.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -132,37 +152,93 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.clear()
-
-    def clear(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.pool, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        special = [(i, t) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
+        self.cut, self.mark = (special[0][0], special[0][1].content) if special else (None, "")
+        self.lowers = "Lowercase" in str(self.tokenizer.normalizer)
+        # word 0 stands for the end id
+        self.place: dict[bytes, int] = {b"": 0}
+        self.pool, self.start, self.size, self.used = np.zeros(1, np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64), np.ones(1, np.int64)
+
+    def _ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the words one after the other, number of each)."""
+        texts = [w.decode("utf-8", "replace") for w in words]
+        if self.mark and not any(self.mark in t for t in texts):
+            ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(texts)], add_special_tokens=False)[0].ids, np.uint32)
+            at = np.flatnonzero(ids == self.cut)
+            if len(at) == len(words) - 1:
+                return ids[ids != self.cut], np.diff(np.concatenate(([-1], at, [len(ids)]))) - 1
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter((i for g in got for i in g), np.uint32), np.fromiter(map(len, got), np.int64, len(got))
+
+    def _learn(self, new: list[bytes]) -> None:
+        if len(self.place) + len(new) > _CACHE:
+            keep = np.flatnonzero(self.used > 1)
+            keep = keep[keep > 0][-_CACHE // 2 :]
+            words = list(self.place)
+            keep = np.concatenate(([0], keep))
+            self.place = {words[i]: k for k, i in enumerate(keep.tolist())}
+            size = self.size[keep]
+            at = np.cumsum(size) - size
+            self.pool = self.pool[np.arange(size.sum()) + np.repeat(self.start[keep] - at, size)]
+            self.start, self.size, self.used = at, size, np.ones(len(keep), np.int64)
+        # a word that ends in one mark behind a letter is its stem's ids and the mark's: the pre-tokeniser cuts there
+        stems = {w: w[:-1] for w in new if w[-1] in _MARKS and _ends_in_letter(w[:-1])}
+        whole = [w for w in new if w not in stems]
+        plain = dict.fromkeys(whole)
+        for x in (stems.values(), {w[-1:] for w in stems}):
+            plain.update(dict.fromkeys(w for w in x if w not in self.place))
+        words = list(plain)
+        self._append(words, *self._many(words))
+        if stems:
+            get = self.place.__getitem__
+            both = np.array([(get(x), get(w[-1:])) for w, x in stems.items()], np.int64).ravel()
+            size = self.size[both]
+            ids = self.pool[np.arange(size.sum()) + np.repeat(self.start[both] - (np.cumsum(size) - size), size)]
+            self._append(list(stems), ids, size.reshape(-1, 2).sum(axis=1))
+
+    def _many(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        got = [self._ids(words[a : a + _WORDS]) for a in range(0, len(words), _WORDS)]
+        return np.concatenate([np.zeros(0, np.uint32), *(g[0] for g in got)]), np.concatenate([np.zeros(0, np.int64), *(g[1] for g in got)])
+
+    def _append(self, words: list[bytes], ids: np.ndarray, size: np.ndarray) -> None:
+        n, at = len(self.place), len(self.pool)
+        self.place.update(zip(words, range(n, n + len(words))))
+        self.start = np.concatenate((self.start, at + np.cumsum(size) - size))
+        self.pool, self.size = np.concatenate((self.pool, ids)), np.concatenate((self.size, size))
+        self.used = np.concatenate((self.used, np.zeros(len(words), np.int64)))
 
     def encode(self, texts: list[bytes | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each closed by the end id; bounds)."""
-        if len(self.place) > _CACHE:
-            self.clear()
-        parts = [t.split() if t else [] for t in texts]
-        new = list(set().union(*parts).difference(self.place))
-        if new or not len(self.size):
-            if not len(self.size):
-                new.insert(0, b"")  # word 0 stands for the end id
-            got = [[end]] * (new[0] == b"")
-            for a in range(len(got), len(new), _WORDS):
-                some = [w.decode("utf-8", "replace") for w in new[a : a + _WORDS]]
-                got += [e.ids for e in self.tokenizer.encode_batch(some, add_special_tokens=False)]
-            size = np.fromiter(map(len, got), np.int64, len(got))
-            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
-            self.start = np.concatenate((self.start, len(self.pool) + np.cumsum(size) - size))
-            self.size = np.concatenate((self.size, size))
-            self.pool = np.concatenate((self.pool, np.fromiter((i for g in got for i in g), np.uint32, int(size.sum()))))
-        get = self.place.__getitem__
-        n = np.fromiter((len(p) + 1 for p in parts), np.int64, len(parts))
-        word = np.fromiter((i for p in parts for i in (*map(get, p), 0)), np.int64, int(n.sum()))
+        # the tokenizer lowers letters itself; a text that may hold a special token's string stays as it is
+        parts = [(t if b"<|" in t else t.lower()).split() if t else [] for t in texts] if self.lowers else [t.split() if t else [] for t in texts]
+        for p in parts:
+            p.append(b"")
+        words = list(chain.from_iterable(parts))
+        new = {w for w, i in zip(words, map(self.place.get, words)) if i is None}
+        if new:
+            before = len(self.place)
+            self._learn(sorted(new))
+            # making room may have dropped words of this very slice; a slice has fewer words than the table
+            lost = {w for w in words if w not in self.place} if len(self.place) < before + len(new) or len(self.place) > _CACHE else ()
+            if lost:
+                self._learn(sorted(lost))
+        self.pool[0] = end
+        word = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        self.used += np.bincount(word, minlength=len(self.used))
         size = self.size[word]
         total = np.concatenate(([0], np.cumsum(size)))
         ids = self.pool[np.arange(total[-1]) + np.repeat(self.start[word] - total[:-1], size)]
-        return ids, total[np.concatenate(([0], np.cumsum(n)))]
+        return ids, total[np.concatenate(([0], np.cumsum([len(p) for p in parts])))]
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder_of(path: str) -> WordEncoder:
+    """This worker's encoder: its table of words serves one task after the other."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
 
 
 _SEGMENTS = "part int, seq int, n_docs long, n_ids long, image binary"
@@ -179,7 +255,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END, segment: i
 
     @lean
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         part, seq = TaskContext.get().partitionId(), 0
         keys: list = []
         held: list[np.ndarray] = []
