@@ -30,11 +30,15 @@ def kurtosis(x: str) -> Column:
     return F.when(n >= 4, F.coalesce(F.when(F.kurtosis(x).isNotNull(), g), F.lit(0.0)) + 3)
 
 
-@F.pandas_udf("double")
-def normal_cdf(x: pd.Series) -> pd.Series:
-    from statistics import NormalDist as N
+def normal_cdf(x: Column) -> Column:
+    """The normal distribution function, which Spark lacks; made on use, as a UDF needs a session."""
 
-    return x.map(N().cdf, na_action="ignore")
+    def cdf(x: pd.Series) -> pd.Series:
+        from statistics import NormalDist as N
+
+        return x.map(N().cdf, na_action="ignore")
+
+    return F.pandas_udf(cdf, "double")(x)
 
 
 def trade_cost(value: Column, volume: Column | None = None, commission: float = 0.00025, minimum: float = 5.0, slippage_bps: float = 2.0, stamp: float = 0.0005) -> Column:

@@ -9,11 +9,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from tideglass.functions.stats import NORMAL, guarded, kurtosis, normal_cdf, skewness
 
-BY = W.partitionBy("series_id").orderBy("dt")
-UP = BY.rowsBetween(W.unboundedPreceding, 0)
+def by() -> WindowSpec:
+    """One series in time order (made on use, as windows need a session)."""
+    return W.partitionBy("series_id").orderBy("dt")
+
+
+def up() -> WindowSpec:
+    return by().rowsBetween(W.unboundedPreceding, 0)
 
 
 def series(df: DataFrame, name: str = "all") -> DataFrame:
@@ -25,22 +31,22 @@ def drawdowns(s: DataFrame) -> DataFrame:
 
     Growth is the exponential of summed logs; a return of -1 or less ends it at 0.
     """
-    lost = F.max((F.col("ret") <= -1).cast("int")).over(UP) == 1
-    grown = F.exp(F.sum(F.when(F.col("ret") > -1, F.log1p("ret"))).over(UP))
+    lost = F.max((F.col("ret") <= -1).cast("int")).over(up()) == 1
+    grown = F.exp(F.sum(F.when(F.col("ret") > -1, F.log1p("ret"))).over(up()))
     rows = s.withColumn("cum", F.when(lost, F.lit(0.0)).otherwise(grown))
-    return rows.withColumn("dd", F.round(F.try_divide("cum", F.max("cum").over(UP)) - 1, 12))
+    return rows.withColumn("dd", F.round(F.try_divide("cum", F.max("cum").over(up())) - 1, 12))
 
 
 def drawdown_durations(d: DataFrame) -> DataFrame:
     """(series_id, island, rows, is_open): spells under water; an open one counts one row less."""
-    rows = d.withColumn("island", F.sum((F.col("dd") == 0).cast("int")).over(UP)).withColumn("is_last", F.lead("dt").over(BY).isNull())
+    rows = d.withColumn("island", F.sum((F.col("dd") == 0).cast("int")).over(up())).withColumn("is_last", F.lead("dt").over(by()).isNull())
     spells = rows.groupBy("series_id", "island").agg(F.count_if(F.col("dd") < 0).alias("n"), F.max(F.col("is_last") & (F.col("dd") < 0)).alias("is_open"))
     return spells.where("n > 0").select("series_id", "island", (F.col("n") - F.col("is_open").cast("int")).alias("rows"), "is_open")
 
 
 def basics(s: DataFrame) -> DataFrame:
     """One row a series: n, annual factor, moments, tails, counts."""
-    gap = s.withColumn("gap", F.datediff("dt", F.lag("dt").over(BY)))
+    gap = s.withColumn("gap", F.datediff("dt", F.lag("dt").over(by())))
     loss = F.when(F.col("ret") < 0, F.col("ret"))
     win = F.when(F.col("ret") > 0, F.col("ret"))
     return gap.groupBy("series_id").agg(
@@ -66,10 +72,10 @@ def rolling_sharpe(s: DataFrame, stats: DataFrame) -> DataFrame:
     subtracted: one running window serves every width.
     """
     w = F.least(F.when(F.col("ann") == 252, 252).otherwise(12), F.floor(F.col("n") / 2)).cast("int")
-    rows = s.join(stats.select("series_id", w.alias("w"), "ann", "mean"), "series_id").withColumn("i", F.row_number().over(BY))
+    rows = s.join(stats.select("series_id", w.alias("w"), "ann", "mean"), "series_id").withColumn("i", F.row_number().over(by()))
     # deviations from the series' mean keep the sums small
     x = F.col("ret") - F.col("mean")
-    sums = rows.select("series_id", "i", "w", "ann", "mean", F.sum(x).over(UP).alias("a"), F.sum(x * x).over(UP).alias("b"))
+    sums = rows.select("series_id", "i", "w", "ann", "mean", F.sum(x).over(up()).alias("a"), F.sum(x * x).over(up()).alias("b"))
     before = sums.select("series_id", (F.col("i") + F.col("w")).alias("i"), F.col("a").alias("a0"), F.col("b").alias("b0"))
     both = sums.where("i >= w and w >= 2").join(before, ["series_id", "i"], "left")
     m = (F.col("a") - F.coalesce("a0", F.lit(0.0))) / F.col("w")

@@ -8,8 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
-BY_ASSET = W.partitionBy("asset").orderBy("dt")
+def by_asset() -> WindowSpec:
+    """One asset's rows in time order (made on use, as windows need a session)."""
+    return W.partitionBy("asset").orderBy("dt")
 
 
 def complete(panel: DataFrame, value: str = "price") -> DataFrame:
@@ -21,7 +24,7 @@ def complete(panel: DataFrame, value: str = "price") -> DataFrame:
 
 def returns(panel: DataFrame) -> DataFrame:
     """(dt, asset, ret): simple returns over the complete dates; holes are spanned, the first date has none."""
-    ratio = F.try_divide("price", F.lag("price").over(BY_ASSET)) - 1
+    ratio = F.try_divide("price", F.lag("price").over(by_asset())) - 1
     return complete(panel).select("dt", "asset", ratio.alias("ret")).where("ret is not null")
 
 
@@ -34,7 +37,7 @@ def portfolio(rets: DataFrame, weights: DataFrame | None = None) -> DataFrame:
 
 def extreme_flags(panel: DataFrame, limit: float = 0.2) -> DataFrame:
     """(dt, asset, ret) of moves beyond the limit: a log, nothing is changed."""
-    move = F.try_divide("price", F.lag("price").over(BY_ASSET)) - 1
+    move = F.try_divide("price", F.lag("price").over(by_asset())) - 1
     return panel.select("dt", "asset", move.alias("ret")).where(F.abs("ret") > limit)
 
 
@@ -46,9 +49,9 @@ def grid(panel: DataFrame) -> DataFrame:
 
 def halts(panel: DataFrame, run: int = 4) -> DataFrame:
     """panel with streak (rows since the price last moved) and price nulled in flat runs of `run` rows or more."""
-    flat = F.coalesce(F.abs(F.col("price") - F.lag("price").over(BY_ASSET)) < 1e-12, F.lit(False))
+    flat = F.coalesce(F.abs(F.col("price") - F.lag("price").over(by_asset())) < 1e-12, F.lit(False))
     rows = panel.withColumn("_flat", flat)
-    rows = rows.withColumn("_island", F.sum(F.when(F.col("_flat"), 0).otherwise(1)).over(BY_ASSET.rowsBetween(W.unboundedPreceding, 0)))
+    rows = rows.withColumn("_island", F.sum(F.when(F.col("_flat"), 0).otherwise(1)).over(by_asset().rowsBetween(W.unboundedPreceding, 0)))
     inside = W.partitionBy("asset", "_island").orderBy("dt").rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn("streak", F.sum(F.col("_flat").cast("int")).over(inside))
     price = F.when(F.col("streak") >= run, F.lit(None)).otherwise(F.col("price"))
@@ -57,7 +60,7 @@ def halts(panel: DataFrame, run: int = 4) -> DataFrame:
 
 def fill_forward(panel: DataFrame, limit: int = 3) -> DataFrame:
     """Null prices take the asset's last price of at most `limit` rows before."""
-    return panel.withColumn("price", F.last("price", ignorenulls=True).over(BY_ASSET.rowsBetween(-limit, 0)))
+    return panel.withColumn("price", F.last("price", ignorenulls=True).over(by_asset().rowsBetween(-limit, 0)))
 
 
 def winsor_bounds(rets: DataFrame, sigmas: float = 5.0, tail: float = 0.005) -> DataFrame:
@@ -75,9 +78,9 @@ def clip(x: Column, lo: Column, hi: Column) -> Column:
 def clean(panel: DataFrame) -> DataFrame:
     """(dt, asset, price): flat runs nulled, short holes filled, incomplete dates dropped, returns clipped, prices rebuilt."""
     kept = complete(fill_forward(halts(grid(panel.select("dt", "asset", "price")))))
-    rets = kept.withColumn("ret", F.try_divide("price", F.lag("price").over(BY_ASSET)) - 1)
+    rets = kept.withColumn("ret", F.try_divide("price", F.lag("price").over(by_asset())) - 1)
     rets = rets.join(F.broadcast(winsor_bounds(rets.where("ret is not null"))), "asset")
-    path = BY_ASSET.rowsBetween(W.unboundedPreceding, 0)
+    path = by_asset().rowsBetween(W.unboundedPreceding, 0)
     first = F.first("price").over(path)
     grown = F.sum(F.log1p(clip(F.col("ret"), F.col("lo"), F.col("hi")))).over(path)
     return rets.select("dt", "asset", (first * F.exp(F.coalesce(grown, F.lit(0.0)))).alias("price"))
