@@ -126,7 +126,9 @@ def sweep(panel: DataFrame, weigh, grid: list[dict[str, int]], capital: float =
     # equity rows can share a date: their place in the curve stands for the day
     place = F.expr("date_add(date'1970-01-01', n)")
     line = eq.withColumn("n", F.row_number().over(order)).select(F.col("param_id").cast("string").alias("series_id"), place.alias("dt"), "ret")
-    found = metrics.record(line.where("ret is not null")).select(F.col("series_id").cast("int").alias("param_id"), "n", "sharpe", "max_drawdown")
+    # the record reads the curves several times: a few thousand rows a set
+    line = line.where("ret is not null").persist()
+    found = metrics.record(line).select(F.col("series_id").cast("int").alias("param_id"), "n", "sharpe", "max_drawdown")
     named = spark.createDataFrame([(i, *p.values()) for i, p in enumerate(grid)], ["param_id", *grid[0]])
     zero = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("sharpe", "max_drawdown")]
     return named.join(found, "param_id", "left").select("param_id", *grid[0], F.coalesce("n", F.lit(0)).alias("n"), *zero)

@@ -176,7 +176,7 @@ def report_summary(spark, d):
     from tideglass.operators import metrics
 
     run = _run(spark, d)
-    line = backtest.equity_returns(run["equity"]).select(F.lit("run").alias("series_id"), F.expr("date_add(date'1970-01-01', int(seq_no))").alias("dt"), "ret")
+    line = backtest.equity_returns(run["equity"]).select(F.lit("run").alias("series_id"), F.expr("date_add(date'1970-01-01', int(seq_no))").alias("dt"), "ret").persist()
     turn = run["turnover"].agg(F.avg(F.coalesce("turnover", F.lit(0.0))).alias("t")).select((F.col("t") * 252 / 63).alias("annual_turnover"))
     bench = panel.portfolio(_rets(spark, d))
     return metrics.record(line, n_trials=4, benchmark=bench).crossJoin(F.broadcast(turn)).drop("series_id")
