@@ -14,6 +14,56 @@ from pyspark.sql import functions as F
 NAMES = ("ret_1d", "ret_5d", "ret_20d", "vol_20d", "max_corr", "spread")
 
 
+def passes(b: np.ndarray, start: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(alpha, beta, scale) of the scaled forward and backward recursions; b are the emissions of each row.
+
+    The rows are cut into about sqrt(n) blocks that are worked side by side: each block's product of
+    transitions (rows normalised, their logs in `size`) gives the vectors at its ends.
+    """
+    n, k = b.shape
+    long = int(np.ceil(np.sqrt(n)))
+    blocks = -(-n // long)
+    step = np.tile(np.eye(k), (blocks * long, 1, 1))
+    step[1:n] = move * b[1:, None, :]
+    step = step.reshape(blocks, long, k, k).swapaxes(0, 1).copy()
+    product, size = np.tile(np.eye(k), (blocks, 1, 1)), np.zeros((blocks, k))
+    for j in range(long):
+        product = product @ step[j]
+        rows = np.maximum(product.sum(2), 1e-300)
+        product /= rows[:, :, None]
+        size += np.log(rows)
+    first = max((start * b[0]).sum(), 1e-300)
+    ahead = np.empty((blocks, k))
+    ahead[0] = start * b[0] / first
+    for i in range(1, blocks):
+        log = np.log(np.maximum(ahead[i - 1], 1e-300)) + size[i - 1]
+        a = np.exp(log - log.max()) @ product[i - 1]
+        ahead[i] = a / max(a.sum(), 1e-300)
+    alpha, scale = np.empty((long, blocks, k)), np.empty((long, blocks))
+    a = ahead
+    for j in range(long):
+        a = (a[:, None, :] @ step[j])[:, 0]
+        scale[j] = np.maximum(a.sum(1), 1e-300)
+        a = a / scale[j][:, None]
+        alpha[j] = a
+    behind = np.ones((blocks, k))
+    for i in range(blocks - 1, 0, -1):
+        log = np.log(np.maximum(product[i] @ behind[i], 1e-300)) + size[i]
+        # alpha and beta of a row multiply to 1 in sum
+        whole = np.log(np.maximum(alpha[-1, i - 1], 1e-300)) + log
+        top = whole.max()
+        behind[i - 1] = np.exp(np.minimum(log - top - np.log(np.exp(whole - top).sum()), 690))
+    beta = np.empty((long, blocks, k))
+    a = behind
+    for j in range(long - 1, -1, -1):
+        beta[j] = a
+        a = (step[j] @ a[:, :, None])[:, :, 0] / scale[j][:, None]
+    flat = lambda x: x.swapaxes(0, 1).reshape(blocks * long, *x.shape[2:])[:n]
+    scale = flat(scale)
+    scale[0] = first
+    return flat(alpha), flat(beta), scale
+
+
 def fit(x: np.ndarray, states: int, rounds: int = 200, seed: int = 42, tol: float = 1e-4) -> tuple[np.ndarray, float]:
     """(Viterbi path, log likelihood) of a diagonal Gaussian model of standardised x."""
     n, dim = x.shape
@@ -34,16 +84,7 @@ def fit(x: np.ndarray, states: int, rounds: int = 200, seed: int = 42, tol: floa
         like = -0.5 * (((x[:, None] - mean) ** 2 / var).sum(2) + np.log(2 * np.pi * var).sum(1))
         top = like.max(1, keepdims=True)
         b = np.exp(like - top)
-        alpha, scale = np.empty((n, states)), np.empty(n)
-        a = start * b[0]
-        for t in range(n):
-            if t:
-                a = (alpha[t - 1] @ move) * b[t]
-            scale[t] = max(a.sum(), 1e-300)
-            alpha[t] = a / scale[t]
-        beta = np.ones((n, states))
-        for t in range(n - 2, -1, -1):
-            beta[t] = move @ (b[t + 1] * beta[t + 1]) / scale[t + 1]
+        alpha, beta, scale = passes(b, start, move)
         total = float(np.log(scale).sum() + top.sum())
         gamma = alpha * beta
         gamma /= gamma.sum(1, keepdims=True)

@@ -406,7 +406,7 @@ def benchmarks_6040(spark, d):
 @query("sweep")
 def sweep(spark, d):
     p = _panel(spark, d)
-    grid = [{"purge": a, "step_months": b} for a in (3, 5, 10) for b in (3, 6)]
+    grid = [{"purge": a, "step_months": b} for a in (3, 5, 10) for b in (1, 3)]
     return backtest.sweep(p, strategies.momentum, grid)
 
 
@@ -423,5 +423,5 @@ def effective_trials(spark, d):
 @query("regimes")
 def regimes(spark, d):
     p = _panel(spark, d)
-    steps = schedule.walk_forward(p, step_months=12)
-    return regime.select_states(features.compute(panel.returns(p)), steps, 2, 4)
+    steps = schedule.walk_forward(p, step_months=1)
+    return regime.select_states(features.compute(panel.returns(p)), steps)
