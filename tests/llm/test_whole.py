@@ -1,0 +1,45 @@
+"""Recall of the corpus operators on disguised and wrapped passages."""
+
+import random
+
+from tideglass.llm import toxicity
+
+BAD = ["grobnik", "vilump", "snotrag"]
+SYLLABLES = ["the", "sea", "mere", "tion", "anda", "orle", "kit", "vane", "hom", "lis", "quor"]
+
+
+def prose(rng, n):
+    return [rng.choice(SYLLABLES) + rng.choice(["", "ta", "ne", "li"]) for _ in range(n)]
+
+
+def disguises(w):
+    yield "inserted", [w[:i] + m + w[i:] for i in range(1, len(w)) for m in ".-*"]
+    yield "marked", [m.join(w) for m in (".", "-", "*", "--", "..", "._.")]
+    yield "spaced", [" ".join(w), "  ".join(w), " \t".join(w), " ".join(w[i : i + 2] for i in range(0, len(w), 2))]
+    yield "split", [w[:i] + " " + w[i:] for i in range(1, len(w))]
+
+
+def test_toxicity_recall_on_disguised_insults():
+    rng = random.Random(5)
+    rows = []
+    for i in range(400):
+        w = prose(rng, 40)
+        if i % 4 == 0:
+            w.insert(rng.randrange(40), rng.choice(BAD))
+        rows.append((toxicity.units(" ".join(w)), int(i % 4 == 0)))
+    machine = toxicity.train(rows)
+
+    def toxic(text):
+        u = sorted(toxicity.units(text) | toxicity.disguised(text))
+        return machine.probability(machine.values(u).max()) >= 0.5
+
+    tried, found = {}, {}
+    for w in BAD:
+        for kind, forms in disguises(w):
+            for form in forms:
+                text = " ".join(prose(rng, 20) + [form] + prose(rng, 20))
+                tried[kind] = tried.get(kind, 0) + 1
+                found[kind] = found.get(kind, 0) + toxic(text)
+    clean = sum(toxic(" ".join(prose(rng, 40))) for _ in range(200))
+    print("recall", {k: f"{found[k]} of {tried[k]}" for k in tried}, "false alarms", clean, "of 200")
+    assert all(found[k] >= 0.9 * tried[k] for k in tried) and clean <= 2

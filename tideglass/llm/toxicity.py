@@ -3,8 +3,10 @@
 Kernel.  A unit (a white-space token, or letters spelled one by one joined again) is read
 between end marks; k(s, t) sums, over the character subsequences of length 4 that s and t share
 and that span at most 7 characters, the product of DECAY ** span of both occurrences, and is
-normalised.  Gaps are thus allowed inside a match: "i.d.i.o.t" and "idxiot" share most of the
-subsequences of "idiot".
+normalised.  Gaps are thus allowed inside a match: "idxiot" shares most of the subsequences of
+"idiot".  Wider gaps and white space are beyond the span, so scoring also reads each token without its
+inner marks ("i.d.i.o.t", "i--d--i--o--t"), runs of tokens of one or two characters ("i  d  i  o  t",
+"i di ot") and neighbours of at most JOINED characters together ("id iot") as units of their own.
 
 Training.  A bounded sample of labelled rows (SAMPLE rows of each class, texts up to
 SAMPLE_CHARS characters, taken in the order of a hash of the id) goes to the driver as sets of
@@ -48,6 +50,10 @@ PIECE = 32
 _CACHE = 150_000
 _EDGE = ".,;:!?\"'()[]*-_"
 _SPELLED = re.compile(r"(?:(?<=\s)|^)(?:[^\s]\s){2,}[^\s](?=\s|$)")
+_APART = [re.compile(rf"(?:(?<=\s)|^)(?:\S{n}\s+){{2,}}\S{n}(?=\s|$)") for n in ("", "{1,2}")]
+_INNER = re.compile(r"[\W_]+")
+#: Two neighbouring tokens are joined if they have so many characters together, edge marks aside.
+LEAST_JOINED, JOINED = 4, 8
 _A = np.uint64(0x9E3779B97F4A7C15)
 #: offsets of the second to fourth character of each pattern
 _PATTERNS = [(i, j, k) for k in range(3, SPAN) for j in range(2, k) for i in range(1, j)]
@@ -67,6 +73,25 @@ def units(text: str | None) -> set[str]:
     return out
 
 
+def disguised(text: str | None) -> set[str]:
+    """The units that show a text's words without inner marks and its short neighbouring tokens joined."""
+    if not text:
+        return set()
+    ws = text.lower().split()
+    bare = {w: w.strip(_EDGE) for w in set(ws)}
+    out = {_INNER.sub("", b) for b in bare.values() if not b.isalnum()}
+    for a, b in set(zip(ws, ws[1:])):
+        if len(a) + len(b) <= JOINED + 4 and (x := bare[a]) and (y := bare[b]) and LEAST_JOINED <= len(x) + len(y) <= JOINED:
+            out.add(x + y)
+    for apart in _APART:
+        for m in apart.finditer(text.lower()):
+            out.add(_INNER.sub("", m.group()))
+    for w in [w for w in out if len(w) > PIECE]:
+        out.remove(w)
+        out.update(w[at : at + PIECE] for at in range(0, len(w) - PIECE // 2, PIECE // 2))
+    return {w for w in out if len(w) >= LEAST_JOINED}
+
+
 def features(words: list[str]) -> tuple[Iterator[tuple[np.ndarray, np.ndarray, float]], np.ndarray]:
     """Per pattern (row of words, subsequence key, weight) of every occurrence, and each word's norm.
 
@@ -313,7 +338,7 @@ def score(docs: DataFrame, machine: Machine | None) -> DataFrame:
                 if m is None:
                     scores.append(np.zeros(len(part)))
                     continue
-                of = [units(t) for t in part]
+                of = [units(t) | disguised(t) for t in part]
                 if len(known) > _CACHE:
                     known.clear()
                 new = list(set().union(*of).difference(known))
