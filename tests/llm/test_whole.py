@@ -1,8 +1,9 @@
 """Recall of the corpus operators on disguised and wrapped passages."""
 
 import random
+import textwrap
 
-from tideglass.llm import toxicity
+from tideglass.llm import licenses, toxicity
 
 BAD = ["grobnik", "vilump", "snotrag"]
 SYLLABLES = ["the", "sea", "mere", "tion", "anda", "orle", "kit", "vane", "hom", "lis", "quor"]
@@ -43,3 +44,20 @@ def test_toxicity_recall_on_disguised_insults():
     clean = sum(toxic(" ".join(prose(rng, 40))) for _ in range(200))
     print("recall", {k: f"{found[k]} of {tried[k]}" for k in tried}, "false alarms", clean, "of 200")
     assert all(found[k] >= 0.9 * tried[k] for k in tried) and clean <= 2
+
+
+def test_wrapped_and_shared_line_notices(spark):
+    rng = random.Random(8)
+    around = lambda x: "\n".join([" ".join(prose(rng, 60)), x, " ".join(prose(rng, 60))])
+    full = dict(licenses.TEXTS)
+    cases = [("mit", textwrap.fill(licenses._MIT, 76)), ("mit", licenses._MIT.strip()), ("all-rights-reserved", "Copyright 2020 Foo Inc. All rights reserved.")]
+    cases += [("mit", "This program is free. Released under the MIT License. See the file for details.")]
+    cases += [(name, "\n".join("# " + x for x in textwrap.wrap(text, 70))) for name, text in full.items()]
+    texts = [around(x) for _, x in cases] + [None, "", "word", " ".join(prose(rng, 300)), around(cases[2][1]) + around(cases[2][1])]
+    rows = sorted(licenses.whole(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    for (name, _), r in zip(cases, rows):
+        assert max(r.passages, key=lambda m: m.dice).license == name and name in r.licenses
+    assert [r.licenses for r in rows[len(cases) : -1]] == [[]] * 4
+    assert [(m.license, m.dice) for m in rows[-1].passages] == [("all-rights-reserved", 1.0)] * 2
+    old = licenses.scan(spark.createDataFrame(list(enumerate(texts[:4])), "doc_id long, text string")).collect()
+    assert all(r.licenses == [] for r in old)

@@ -47,6 +47,33 @@ TEMPLATES: list[tuple[str, str]] = [
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 ]
 
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+_BSD_3 = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+"""
+_BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+"""
+_MIT_END = """The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+_GPL = """This program is free software{}you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation{}either version {} of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""
+
+#: Complete texts and file headers, looked for besides TEMPLATES by whole().
+TEXTS: list[tuple[str, str]] = [
+    ("apache-2.0", _APACHE),
+    ("bsd-2-clause", _BSD + _BSD_END),
+    ("bsd-3-clause", _BSD + _BSD_3 + _BSD_END),
+    ("gpl-2.0", _GPL.format("; ", "; ", "2")),
+    ("gpl-3.0", _GPL.format(": ", ", ", "3")),
+    ("mit", _MIT),
+    ("mit", _MIT + _MIT_END),
+]
+
 #: Words that the prefix of a template avoids if it can: the commonest ones.
 _COMMON = ("the", "a", "of", "to", "is", "in", "this", "under", "by", "and", "any", "all", "for", "use", "you", "may", "not", "with", "0", "2", "3", "4", "v")
 
@@ -105,3 +132,48 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, t: float
     best = F.array_min(F.transform("matches", lambda m: F.struct((-m.dice).alias("d"), m.unit.alias("unit"), m.license.alias("license"))))
     out = out.withColumn("licenses", F.array_sort(F.array_distinct(F.transform("matches", lambda m: m.license)))).withColumn("_best", best)
     return out.withColumn("license", F.col("_best.license")).withColumn("dice", -F.col("_best.d")).withColumn("unit", F.col("_best.unit")).drop("_best")
+
+
+def passages(text: Column, templates: list[tuple[str, str]] = TEMPLATES + TEXTS, t: float = THRESHOLD) -> Column:
+    """array<struct<at:int,n:int,license:string,dice:double>>: runs of n words, from word at on, that match a template.
+
+    A template is compared with every window of its own number of words, line ends ignored, that begins with one of its
+    bigrams (another one gains by beginning later); of overlapping matches of a template the best, then first, is kept.
+    A text without enough bigrams of a template in all has no such window.
+    """
+    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9]+", " ")
+    words = F.array(*[F.lit(w) for w in keywords(templates, t)])
+    every = F.array(*[F.lit(g) for g in dict.fromkeys(g for _, x in templates for g in bigrams(x))])
+    known = F.array(*[_known(name, x, t) for name, x in templates])
+    texts = F.filter(F.transform(F.array(plain), lambda u: F.filter(F.split(u, " "), lambda w: w != "")), lambda ws: (F.size(ws) > 1) & F.arrays_overlap(ws, words))
+    pairs = lambda ws: F.zip_with(F.slice(ws, F.lit(1), F.size(ws) - 1), F.slice(ws, F.lit(2), F.size(ws) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+    grams = F.transform(F.transform(texts, pairs), lambda g: F.struct(g.alias("g"), F.array_intersect(g, every).alias("some")))
+
+    def windows(g: Column, k: Column) -> Column:
+        starts = F.filter(F.transform(g, lambda x, i: F.when(F.array_contains(k.g, x), i)), lambda i: i.isNotNull())
+        cut = F.transform(starts, lambda i: F.struct(i.alias("at"), F.slice(g, i + 1, k.n - 1).alias("w")))
+        scored = F.transform(cut, lambda c: F.struct(c.at.alias("at"), k.n.alias("n"), k.license.alias("license"), (2.0 * F.size(F.array_intersect(c.w, k.g)) / (F.size(F.array_distinct(c.w)) + F.size(k.g))).alias("dice")))
+        return F.filter(scored, lambda m: m.dice >= t)
+
+    def best(found: Column) -> Column:
+        better = lambda m, o: (F.abs(o.at - m.at) < m.n) & ((o.dice > m.dice) | ((o.dice == m.dice) & (o.at < m.at)))
+        return F.filter(found, lambda m: ~F.exists(found, lambda o: better(m, o)))
+
+    def against(u: Column) -> Column:
+        near = F.filter(known, lambda k: F.size(F.array_intersect(k.g, u.some)) >= k.least)
+        return F.flatten(F.transform(F.transform(near, lambda k: windows(u.g, k)), best))
+
+    return F.flatten(F.transform(grams, against))
+
+
+def _known(name: str, text: str, t: float) -> Column:
+    own = bigrams(text)
+    n = len("".join(c if c.isascii() and c.isalnum() else " " for c in text).split())
+    return F.struct(F.lit(name).alias("license"), F.array(*[F.lit(g) for g in own]).alias("g"), F.lit(n).alias("n"), F.lit(_least_shared(len(own), t)).alias("least"))
+
+
+def whole(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES + TEXTS, t: float = THRESHOLD) -> DataFrame:
+    """docs with `matches` (whole text and lines), `passages` (windows) and `licenses` (distinct names of both, sorted)."""
+    out = docs.withColumn("matches", matches(F.col("text"), templates, t)).withColumn("passages", passages(F.col("text"), templates, t))
+    names = F.concat(F.transform("matches", lambda m: m.license), F.transform("passages", lambda m: m.license))
+    return out.withColumn("licenses", F.array_sort(F.array_distinct(names)))

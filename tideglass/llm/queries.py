@@ -167,6 +167,16 @@ from d left join a using (doc_id)
 """
 
 
+def op7_license_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.whole(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    best = F.array_max(F.transform("passages", lambda m: F.struct(m.dice.alias("dice"), (-m.at).alias("at"), m.license.alias("license"))))
+    found = found.withColumn("best", best).select("doc_id", F.size("matches").cast("long").alias("n_matches"), F.size("passages").cast("long").alias("n_passages"), F.array_join("licenses", ",").alias("licenses"), "best")
+    return found.select("doc_id", "n_matches", "n_passages", "licenses", F.col("best.license").alias("license"), F.col("best.dice").alias("dice"), (-F.col("best.at")).cast("long").alias("at"))
+
+
+QUERIES["op7_license_passages"] = op7_license_passages
+
+
 def op6_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
