@@ -3,7 +3,7 @@
 import random
 import textwrap
 
-from tideglass.llm import licenses, toxicity
+from tideglass.llm import decontaminate, licenses, toxicity
 
 BAD = ["grobnik", "vilump", "snotrag"]
 SYLLABLES = ["the", "sea", "mere", "tion", "anda", "orle", "kit", "vane", "hom", "lis", "quor"]
@@ -61,3 +61,13 @@ def test_wrapped_and_shared_line_notices(spark):
     assert [(m.license, m.dice) for m in rows[-1].passages] == [("all-rights-reserved", 1.0)] * 2
     old = licenses.scan(spark.createDataFrame(list(enumerate(texts[:4])), "doc_id long, text string")).collect()
     assert all(r.licenses == [] for r in old)
+
+
+def test_items_without_an_id_hit(spark):
+    rng = random.Random(6)
+    a, b = " ".join(prose(rng, 14)), " ".join(prose(rng, 12))
+    docs = spark.createDataFrame([(0, "x " + a), (1, a + " y " + b), (2, "z")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, a), (None, b), (5, b)], "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256) for r in decontaminate.report(docs, bench).collect()}
+    assert got == {0: (14, 1, decontaminate.digest_of([])), 1: (26, 2, decontaminate.digest_of(["5"])), 2: (0, 0, decontaminate.digest_of([]))}
+    assert [r.doc_id for r in decontaminate.decontaminated(docs, bench).collect()] == [2]

@@ -14,7 +14,8 @@ broadcast of bounded size, and with several parts their hits are united per docu
 
 Cases: null or empty texts have no words and are never hit; an item without words has no
 window; repeated rows are treated one by one; an empty benchmark hits nothing; repeated item ids
-count as one item; further columns stay as they are.
+count as one item; items without an id hit as others do, count as one item and are left out of the digest;
+further columns stay as they are.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ def words(text: bytes | None) -> list[bytes]:
 class Index:
     """Vocabulary, windows and suffixes of some test items."""
 
-    def __init__(self, items: list[tuple[str, bytes | None]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, bytes | None]], window: int = WINDOW):
         self.window = window
         self.vocabulary: dict[bytes, int] = {}
         seqs, owner, self.items = [], [], [i for i, _ in items]
@@ -150,9 +151,9 @@ class Shard:
 _FOUND = "n_words long, hits array<struct<at:long,n:long>>, items array<string>"
 
 
-def _parts(benchmark: DataFrame) -> Iterator[list[tuple[str, bytes | None]]]:
+def _parts(benchmark: DataFrame) -> Iterator[list[tuple[str | None, bytes | None]]]:
     """The items in bounded parts, streamed through the driver partition by partition."""
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.encode("text", "UTF-8").alias("text")).where("item_id is not null")
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.encode("text", "UTF-8").alias("text"))
     part: list = []
     size = 0
     for r in rows.toLocalIterator():
@@ -217,7 +218,7 @@ def _runner(held, names: list[str]):
                     for k, (h, i) in enumerate(zip(rows.column("_h").to_pylist(), rows.column("_i").to_pylist())):
                         spans[k] = _united(spans[k] + [(x["at"], x["n"]) for x in h or []])
                         items[k].update(i or [])
-                found = [pa.array(shard.sizes), pa.array([[{"at": a, "n": n} for a, n in s] for s in spans], kinds[0]), pa.array([sorted(s) for s in items], kinds[1])]
+                found = [pa.array(shard.sizes), pa.array([[{"at": a, "n": n} for a, n in s] for s in spans], kinds[0]), pa.array([sorted(s, key=lambda x: (x is None, x or "")) for s in items], kinds[1])]
                 yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), *found], [*names, "n_words", "hits", "items"])
 
     return run
