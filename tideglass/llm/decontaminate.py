@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideglass.llm.hashing import slices
-from tideglass.llm.shared import SLICE, batches, keep, lean
+from tideglass.llm.shared import SLICE, keep, lean, small_batches
 
 WINDOW = 10
 #: Items of the benchmark, and bytes of their texts, per broadcast.
@@ -169,7 +169,6 @@ def _parts(benchmark: DataFrame) -> Iterator[list[tuple[str | None, bytes | None
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with n_words, hits (disjoint runs of hit words: first word, number) and items (sorted ids) added."""
     spark = docs.sparkSession
-    batches(spark)
     names = [c for c in docs.columns if c not in ("n_words", "hits", "items")]
     docs = docs.select(*names)
     schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string(_FOUND).fields])
@@ -195,7 +194,7 @@ def _runner(held, names: list[str]):
     @lean
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = held.value
-        for batch in it:
+        for batch in small_batches(it):
             texts = list(enumerate(batch.column("text").cast(pa.binary()).to_pylist()))
             for part in slices(texts, lambda r: len(r[1] or b""), SLICE):
                 shard = Shard([t for _, t in part], index)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideglass.llm.hashing import slices
-from tideglass.llm.shared import SLICE, batches, crc_mod, lean
+from tideglass.llm.shared import SLICE, crc_mod, lean, small_batches
 
 ORDERS = 4
 BUCKETS = 1 << 16
@@ -101,7 +101,6 @@ class Model:
 def fit(docs: DataFrame, sample: int = SAMPLE, chars: int = CHARS) -> Model | None:
     """Train on the bounded sample of documents whose crc32(doc_id) mod 4 is not 2 and whose lang is known."""
     spark = docs.sparkSession
-    batches(spark)
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang").where("lang is not null and doc_id is not null")
     known = known.where(crc_mod("doc_id", 4) != 2)
     share = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()}
@@ -119,7 +118,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, chars: int = CHARS) -> Model | No
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for batch in it:
+        for batch in small_batches(it):
             for part in slices(zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()), lambda r: len(r[1] or ""), SLICE):
                 code = [r[0] for r in part]
                 for at, first in grams([r[1] for r in part], buckets):
@@ -141,7 +140,6 @@ def fit(docs: DataFrame, sample: int = SAMPLE, chars: int = CHARS) -> Model | No
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs with lang_pred and score added; other columns as they are."""
     spark = docs.sparkSession
-    batches(spark)
     held = spark.sparkContext.broadcast(model)
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
     schema = docs.select(*names).schema.add("lang_pred", "string").add("score", "double")
@@ -149,7 +147,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     @lean
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        for batch in it:
+        for batch in small_batches(it):
             langs: list[str] = []
             scores = [np.zeros(0)]
             texts = batch.column("text").to_pylist()

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tideglass.llm.components import components
 from tideglass.llm.hashing import U64, mix, shingle_sets, slices
-from tideglass.llm.shared import SLICE, batches, drop, keep, lean, semi
+from tideglass.llm.shared import SLICE, drop, keep, lean, semi, small_batches
 from tideglass.llm.sketch import band_keys, sketches
 
 T, ROWS = 128, 4
@@ -51,7 +51,7 @@ def _texts(batch: pa.RecordBatch) -> list:
 
 @lean
 def _profile(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in it:
+    for batch in small_batches(it):
         rows = list(zip(batch.column("doc_id").to_pylist(), _texts(batch)))
         for part in slices(rows, lambda r: len(r[1] or b""), SLICE):
             v, b = shingle_sets([r[1] for r in part])
@@ -78,7 +78,7 @@ def _profile(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @lean
 def _shingles(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in it:
+    for batch in small_batches(it):
         rows = list(zip(batch.column("doc_id").to_pylist(), _texts(batch)))
         for part in slices(rows, lambda r: len(r[1] or b""), SLICE):
             v, b = shingle_sets([r[1] for r in part])
@@ -226,7 +226,6 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
-    batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     prof = keep(docs.mapInArrow(_profile, "doc_id long, n long, f1 long, f2 long, bands array<long>, sig binary"), "profile")
     real = prof.where("n > 0 and doc_id is not null")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import functools
 import gc
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,16 +25,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def batches(spark: SparkSession, rows: int = 500) -> None:
-    """Bound the Arrow batches that go to Python workers: whole texts can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(it: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces, so that what is made of one is small; Spark bounds the bytes of a whole one."""
+    for batch in it:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); one of our own only where that is unset."""
+    """The folder all executors share (spark.checkpoint.dir).
+
+    Where that is unset, one of our own if driver and executors are one process; else an error.
+    """
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         place = tempfile.mkdtemp(prefix="tideglass-")
+        atexit.register(shutil.rmtree, place, True)
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
 
@@ -40,18 +52,43 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The caller owns the table: drop() deletes it, Scratch those of one operator.
+    """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def drop(df: DataFrame) -> None:
     """Delete a table written by keep()."""
-    spark = df.sparkSession
     for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        p = spark._jvm.org.apache.hadoop.fs.Path(f)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        delete(df.sparkSession, f)
+
+
+class Scratch:
+    """The tables of one operator: deleted when its block ends, by an error too."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        while self.paths:
+            delete(self.spark, self.paths.pop())
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths.append(new_path(self.spark, name))
+        df.write.parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
 
 
 def semi(df: DataFrame, ids: DataFrame, key: str, anti: bool = False, rows: int | None = None) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tideglass.llm.hashing import slices
-from tideglass.llm.shared import SLICE, batches, lean
+from tideglass.llm.shared import SLICE, lean, small_batches
 
 BLOCK = 64
 #: Characters behind a piece that can decide where it ends (a contraction of two letters, one blank more).
@@ -193,7 +193,6 @@ def count_edited(docs: DataFrame, ranks: str, pattern: str, edits=script) -> Dat
 
     `edits` gives, from a text and its doc_id as text, the edits to apply one after the other.
     """
-    batches(docs.sparkSession)
     more = ("n_tokens", "n_edited", "n_reencoded")
     names = [c for c in docs.columns if c not in more]
     schema = docs.select(*names).schema
@@ -203,7 +202,7 @@ def count_edited(docs: DataFrame, ranks: str, pattern: str, edits=script) -> Dat
     @lean
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(ranks, pattern)
-        for batch in it:
+        for batch in small_batches(it):
             out: list[tuple[int, int, int]] = []
             rows = zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())
             for part in slices(rows, lambda r: len(r[1] or ""), SLICE):
