@@ -216,4 +216,4 @@ def test_token_files_round_trip(spark):
 def test_elias_fano(n):
     v = np.sort(np.random.RandomState(n).randint(0, 9 * n, n))
     ef = binary.EliasFano.encode(v, int(v[-1]))
-    assert (ef.all() == v).all() and all(ef.get(i) == v[i] for i in range(0, n, max(1, n // 50)))
+    assert (ef.get_many(np.arange(n)) == v).all() and all(ef.get(i) == v[i] for i in range(0, n, max(1, n // 50)))

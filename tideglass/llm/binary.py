@@ -4,14 +4,17 @@ Documents are range partitioned and sorted by doc_id, encoded, and packed into s
 segment is one self-contained file image, held as a binary value of a Parquet table so
 that any store Spark can write to will do and a lost task leaves nothing half written.
 
-Segment: magic, header of 8 numbers (u64), doc ids (i64), ids (u16 or u32, little-endian), Elias-Fano
-code of the n_docs + 1 boundaries (0 to n_ids): the low `l` bits of each value packed
+Segment: magic, header (number of documents, of ids and of null doc ids, width of an id, least doc id), the two
+Elias-Fano codes' sizes, ids (u16 or u32, little-endian), Elias-Fano code of the n_docs + 1 boundaries (0 to
+n_ids) and of the doc ids above the least: the low `l` bits of each value packed
 together, the high parts as a unary bit string, and a sampled select directory (the position of
 every SAMPLE-th one).  offset(i) = (select1(i) - i) << l | low(i): 2 + l bits a document where a
-plain table takes 64.
+plain table takes 64.  One offset is found from the nearest sample on; the reader of whole segments asks for
+all of them at once, which selects by byte counts.
 
-Words between ASCII white space are encoded once per worker and kept: with a tokenizer that drops white
-space, a text's ids are the concatenation of its words' ids.
+Where the tokenizer's description says that it drops white space and cuts before and behind letters, words
+between ASCII white space are encoded once per worker and kept: a text's ids are then the concatenation of
+its words' ids.  With any other tokenizer whole texts are encoded.
 
 Cases: a null or empty text is the end id alone; a null doc_id sorts first; rows that repeat
 a doc_id follow each other, ordered by a hash of the text; an empty table gives no
@@ -20,6 +23,7 @@ segment; further columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import unicodedata
@@ -35,16 +39,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tideglass.llm.hashing import slices
-from tideglass.llm.shared import SLICE, batches, lean, new_path
+from tideglass.llm.shared import SLICE, lean, new_path, small_batches
 
-MAGIC = b"TEFS0001"
+MAGIC = b"TEFS0002"
 END = 2
 SAMPLE = 256
 #: Ids of a segment, about; one document is never cut.
 SEGMENT = 1_000_000
 _CACHE = 350_000
 #: Words handed to the tokenizer at once: its results are large.
-_WORDS = 4_000
+_WORDS = 8_000
+# Fixed value: the pattern of a pre-tokeniser that takes runs of letters, single digits and runs of other marks.
+_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class EliasFano:
@@ -88,20 +94,41 @@ class EliasFano:
             low |= (int(self.low[b // 8]) >> (b % 8) & 1) << k
         return (self.select(i) - i) << self.low_bits | low
 
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n] - np.arange(self.n)
-        bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits).astype(np.int64)
-        return (ones.astype(np.int64) << self.low_bits) + (bits << np.arange(self.low_bits)).sum(axis=1)
+    def get_many(self, i: np.ndarray) -> np.ndarray:
+        """The values at the places i: selects by the number of ones up to each byte."""
+        ones = np.cumsum(_POPCOUNT[self.high])
+        byte = np.searchsorted(ones, i, "right")
+        rank = i - (ones[byte] - _POPCOUNT[self.high[byte]])
+        high = byte * 8 + _SELECT[self.high[byte], rank] - i
+        out = high.astype(np.uint64) << np.uint64(self.low_bits)
+        for k in range(self.low_bits):
+            at = i * self.low_bits + k
+            out |= ((self.low[at >> 3] >> (at & 7).astype(np.uint8)) & np.uint8(1)).astype(np.uint64) << np.uint64(k)
+        return out
+
+    def parts(self) -> tuple[bytes, bytes, bytes]:
+        return self.low.tobytes(), self.high.tobytes(), self.sample.astype("<u4").tobytes()
+
+
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
+_POPCOUNT = _BITS.sum(axis=1).astype(np.int64)
+#: place of the r-th one of a byte
+_SELECT = np.argsort(1 - _BITS, axis=1, kind="stable")
+
+
+_HEAD = "<4Qq8Q"
 
 
 def pack(doc_ids: list[int | None], ids: np.ndarray, bounds: np.ndarray, width: int) -> bytes:
-    """The file image of some documents; doc_ids that are None come first."""
-    ef = EliasFano.encode(bounds, int(bounds[-1]))
-    nulls = sum(d is None for d in doc_ids)
-    low, high, sample = ef.low.tobytes(), ef.high.tobytes(), ef.sample.tobytes()
-    head = struct.pack("<8Q", len(doc_ids), len(ids), width, nulls, ef.low_bits, len(low), len(high), len(sample))
-    keys = np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes()
-    return b"".join((MAGIC, head, keys, ids.astype(f"<u{width}").tobytes(), low, high, sample))
+    """The file image of some documents in ascending order of doc_id; those that are None come first."""
+    known = [d for d in doc_ids if d is not None]
+    least = known[0] if known else 0
+    keys = np.array([d - least for d in known], np.uint64)
+    codes = EliasFano.encode(bounds, int(bounds[-1])), EliasFano.encode(keys, int(keys[-1]) if known else 0)
+    parts = [c.parts() for c in codes]
+    sizes = [n for c, p in zip(codes, parts) for n in (c.low_bits, *map(len, p))]
+    head = struct.pack(_HEAD, len(doc_ids), len(ids), len(doc_ids) - len(known), width, least, *sizes)
+    return b"".join((MAGIC, head, ids.astype(f"<u{width}").tobytes(), *parts[0], *parts[1]))
 
 
 class Segment:
@@ -110,24 +137,66 @@ class Segment:
     def __init__(self, blob: bytes):
         if blob[:8] != MAGIC:
             raise ValueError("not a token-id segment")
-        n, n_ids, width, nulls, l, a, b, c = struct.unpack_from("<8Q", blob, 8)  # noqa: E741
-        at = 72
-        keys = np.frombuffer(blob, "<i8", n, at)
-        self.doc_ids: list[int | None] = [None if k < nulls else int(x) for k, x in enumerate(keys)]
-        at += 8 * n
+        n, n_ids, self.nulls, width, self.least, *sizes = struct.unpack_from(_HEAD, blob, 8)
+        self.n = n
+        at = 8 + struct.calcsize(_HEAD)
         self.ids = np.frombuffer(blob, f"<u{width}", n_ids, at)
         at += width * n_ids
-        low, high, sample = (np.frombuffer(blob, kind, m // np.dtype(kind).itemsize, s) for kind, m, s in (("u1", a, at), ("u1", b, at + a), ("<u4", c, at + a + b)))
-        self.bounds = EliasFano(n + 1, l, low, high, sample)
+        codes = []
+        for count, (l, *lengths) in ((n + 1, sizes[:4]), (n - self.nulls, sizes[4:])):  # noqa: E741
+            parts = []
+            for kind, m in zip(("u1", "u1", "<u4"), lengths):
+                parts.append(np.frombuffer(blob, kind, m // np.dtype(kind).itemsize, at))
+                at += m
+            codes.append(EliasFano(count, l, *parts))
+        self.bounds, self.keys = codes
+
+    def offsets(self) -> np.ndarray:
+        """All boundaries."""
+        return self.bounds.get_many(np.arange(self.n + 1)).astype(np.int64)
+
+    def doc_ids(self) -> list[int | None]:
+        return [None] * self.nulls + [self.least + k for k in self.keys.get_many(np.arange(self.n - self.nulls)).tolist()]
 
     def document(self, i: int) -> np.ndarray:
         """The ids of the i-th document, by two selects."""
         return self.ids[self.bounds.get(i) : self.bounds.get(i + 1)]
 
+    def find(self, doc_id: int) -> int | None:
+        """The place of the first document of that id, by binary search over selects."""
+        low, high = 0, self.n - self.nulls
+        while low < high:
+            mid = (low + high) // 2
+            if self.least + self.keys.get(mid) < doc_id:
+                low = mid + 1
+            else:
+                high = mid
+        return self.nulls + low if low < self.n - self.nulls and self.least + self.keys.get(low) == doc_id else None
+
 
 _MARKS = b".,;:!?"
 
 
+def word_wise(tokenizer) -> bool:
+    """Whether the ids of a text are those of its words: white space only separates, and letters end at other marks."""
+    told = json.loads(tokenizer.to_str())
+    steps = lambda x, many: [] if x is None else x[many] if x["type"] == "Sequence" else [x]
+    clean = all(n["type"] in ("NFC", "Lowercase") or n["type"] == "Replace" and n["pattern"] == {"Regex": r"\s+"} and n["content"] == " " for n in steps(told["normalizer"], "normalizers"))
+    cuts = steps(told["pre_tokenizer"], "pretokenizers")
+    first = cuts[0] if cuts else {}
+    cut = first.get("type") == "Split" and first["pattern"] == {"Regex": _PIECES} and first["behavior"] == "Removed" and first["invert"]
+    level = all(c["type"] == "ByteLevel" and not c["add_prefix_space"] and not c["use_regex"] for c in cuts[1:])
+    return bool(clean and cut and level and told["post_processor"] is None and told["model"].get("end_of_word_suffix"))
+
+
+def _letters(w: str) -> bool:
+    """Whether w is one run of letters for the tokenizer, however it lowers and composes."""
+    if w.isascii():
+        return w.isalpha()
+    low = w.lower()
+    return low.isalpha() and unicodedata.is_normalized("NFC", low)
+
+
 def _ends_in_letter(w: bytes) -> bool:
     if not w or b"'" in w:
         return False
@@ -138,11 +207,25 @@ def _ends_in_letter(w: bytes) -> bool:
     return c.isalpha() and c.lower() == c and unicodedata.normalize("NFC", c) == c
 
 
+class _Numbers(dict):
+    """Numbers words as they come; new ones are listed."""
+
+    def __init__(self, known: dict[bytes, int]):
+        super().__init__(known)
+        self.new: list[bytes] = []
+
+    def __missing__(self, w: bytes) -> int:
+        n = self[w] = len(self)
+        self.new.append(w)
+        return n
+
+
 class WordEncoder:
     """Ids of whole texts through a table of words already encoded.
 
-    New words go to the tokenizer as one text with its special token between them, whose id then
-    cuts the result: a result per word would cost more than the encoding itself.  When
+    New words go to the tokenizer as one text: a result per word would cost more than the encoding itself.  Words
+    of letters alone are parted by blanks, and the ids that end a word cut the result; others
+    are parted by a special token, whose id does.  When
     the table is full, words met once since the last time are dropped.
     """
 
@@ -152,83 +235,100 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.by_words = word_wise(self.tokenizer)
         special = [(i, t) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
         self.cut, self.mark = (special[0][0], special[0][1].content) if special else (None, "")
         self.lowers = "Lowercase" in str(self.tokenizer.normalizer)
+        vocabulary, suffix = self.tokenizer.get_vocab(), getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        if suffix:
+            self.last[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         # word 0 stands for the end id
-        self.place: dict[bytes, int] = {b"": 0}
+        self.place = _Numbers({b"": 0})
         self.pool, self.start, self.size, self.used = np.zeros(1, np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64), np.ones(1, np.int64)
 
-    def _ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _one(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _ids(self, texts: list[str], letters: bool) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the words one after the other, number of each)."""
-        texts = [w.decode("utf-8", "replace") for w in words]
+        if letters:
+            ids = self._one(" ".join(texts))
+            at = np.flatnonzero(self.last[ids])
+            if len(at) == len(texts):
+                return ids, np.diff(np.concatenate(([-1], at)))
         if self.mark and not any(self.mark in t for t in texts):
-            ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(texts)], add_special_tokens=False)[0].ids, np.uint32)
+            ids = self._one(self.mark.join(texts))
             at = np.flatnonzero(ids == self.cut)
-            if len(at) == len(words) - 1:
+            if len(at) == len(texts) - 1:
                 return ids[ids != self.cut], np.diff(np.concatenate(([-1], at, [len(ids)]))) - 1
         got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         return np.fromiter((i for g in got for i in g), np.uint32), np.fromiter(map(len, got), np.int64, len(got))
 
-    def _learn(self, new: list[bytes]) -> None:
-        if len(self.place) + len(new) > _CACHE:
-            keep = np.flatnonzero(self.used > 1)
-            keep = keep[keep > 0][-_CACHE // 2 :]
-            words = list(self.place)
-            keep = np.concatenate(([0], keep))
-            self.place = {words[i]: k for k, i in enumerate(keep.tolist())}
-            size = self.size[keep]
-            at = np.cumsum(size) - size
-            self.pool = self.pool[np.arange(size.sum()) + np.repeat(self.start[keep] - at, size)]
-            self.start, self.size, self.used = at, size, np.ones(len(keep), np.int64)
+    def _shrink(self) -> None:
+        """Drop the words met once since the last time, and of the others all but the latest."""
+        keep = np.flatnonzero(self.used > 1)
+        keep = np.concatenate(([0], keep[keep > 0][-_CACHE // 2 :]))
+        words = list(self.place)
+        self.place = _Numbers({words[i]: k for k, i in enumerate(keep.tolist())})
+        self.size = self.size[keep]
+        self.pool, at = self._gather(self.start[keep], self.size)
+        self.start, self.used = at, np.ones(len(keep), np.int64)
+
+    def _gather(self, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the pool's ids from each start on, the places where they now begin)."""
+        at = np.cumsum(size) - size
+        return self.pool[np.arange(size.sum()) + np.repeat(start - at, size)], at
+
+    def _learn(self) -> None:
+        """Give the words that have just been numbered their ids."""
+        place = self.place
         # a word that ends in one mark behind a letter is its stem's ids and the mark's: the pre-tokeniser cuts there
-        stems = {w: w[:-1] for w in new if w[-1] in _MARKS and _ends_in_letter(w[:-1])}
-        whole = [w for w in new if w not in stems]
-        plain = dict.fromkeys(whole)
-        for x in (stems.values(), {w[-1:] for w in stems}):
-            plain.update(dict.fromkeys(w for w in x if w not in self.place))
-        words = list(plain)
-        self._append(words, *self._many(words))
+        stems, whole = [], []
+        for w in place.new:
+            (stems if w[-1] in _MARKS and _ends_in_letter(w[:-1]) else whole).append(w)
+        place.new = []
+        parts = np.fromiter((place[x] for w in stems for x in (w[:-1], w[-1:])), np.int64, 2 * len(stems))
+        whole += place.new
+        place.new = []
+        more = np.zeros(len(place) - len(self.size), np.int64)
+        self.start, self.size, self.used = (np.concatenate((x, more)) for x in (self.start, self.size, self.used))
+        kinds: tuple[list, list] = ([], [])
+        for w in whole:
+            t = w.decode("utf-8", "replace")
+            kinds[_letters(t)].append((w, t))
+        for letters, some in enumerate(kinds):
+            for a in range(0, len(some), _WORDS):
+                part = some[a : a + _WORDS]
+                self._put([place[w] for w, _ in part], *self._ids([t for _, t in part], bool(letters)))
         if stems:
-            get = self.place.__getitem__
-            both = np.array([(get(x), get(w[-1:])) for w, x in stems.items()], np.int64).ravel()
-            size = self.size[both]
-            ids = self.pool[np.arange(size.sum()) + np.repeat(self.start[both] - (np.cumsum(size) - size), size)]
-            self._append(list(stems), ids, size.reshape(-1, 2).sum(axis=1))
-
-    def _many(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        got = [self._ids(words[a : a + _WORDS]) for a in range(0, len(words), _WORDS)]
-        return np.concatenate([np.zeros(0, np.uint32), *(g[0] for g in got)]), np.concatenate([np.zeros(0, np.int64), *(g[1] for g in got)])
-
-    def _append(self, words: list[bytes], ids: np.ndarray, size: np.ndarray) -> None:
-        n, at = len(self.place), len(self.pool)
-        self.place.update(zip(words, range(n, n + len(words))))
-        self.start = np.concatenate((self.start, at + np.cumsum(size) - size))
-        self.pool, self.size = np.concatenate((self.pool, ids)), np.concatenate((self.size, size))
-        self.used = np.concatenate((self.used, np.zeros(len(words), np.int64)))
+            ids, _ = self._gather(self.start[parts], self.size[parts])
+            self._put([place[w] for w in stems], ids, self.size[parts].reshape(-1, 2).sum(axis=1))
+
+    def _put(self, at: list[int], ids: np.ndarray, size: np.ndarray) -> None:
+        self.start[at], self.size[at] = len(self.pool) + np.cumsum(size) - size, size
+        self.pool = np.concatenate((self.pool, ids))
 
     def encode(self, texts: list[bytes | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each closed by the end id; bounds)."""
+        if not self.by_words:
+            got = [np.array([*e.ids, end], np.uint32) for e in self.tokenizer.encode_batch_fast([(t or b"").decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, np.uint32), *got]), np.cumsum([0, *map(len, got)])
         # the tokenizer lowers letters itself; a text that may hold a special token's string stays as it is
         parts = [(t if b"<|" in t else t.lower()).split() if t else [] for t in texts] if self.lowers else [t.split() if t else [] for t in texts]
         for p in parts:
             p.append(b"")
         words = list(chain.from_iterable(parts))
-        new = {w for w, i in zip(words, map(self.place.get, words)) if i is None}
-        if new:
-            before = len(self.place)
-            self._learn(sorted(new))
-            # making room may have dropped words of this very slice; a slice has fewer words than the table
-            lost = {w for w in words if w not in self.place} if len(self.place) < before + len(new) or len(self.place) > _CACHE else ()
-            if lost:
-                self._learn(sorted(lost))
-        self.pool[0] = end
+        if len(self.place) > _CACHE:
+            self._shrink()
         word = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        if self.place.new:
+            self._learn()
+        self.pool[0] = end
         self.used += np.bincount(word, minlength=len(self.used))
         size = self.size[word]
-        total = np.concatenate(([0], np.cumsum(size)))
-        ids = self.pool[np.arange(total[-1]) + np.repeat(self.start[word] - total[:-1], size)]
-        return ids, total[np.concatenate(([0], np.cumsum([len(p) for p in parts])))]
+        ids, at = self._gather(self.start[word], size)
+        return ids, np.append(at, len(ids))[np.concatenate(([0], np.cumsum([len(p) for p in parts])))]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -246,8 +346,6 @@ _SEGMENTS = "part int, seq int, n_docs long, n_ids long, image binary"
 
 def write(docs: DataFrame, path: str, tokenizer: str, end: int = END, segment: int = SEGMENT) -> None:
     """Encode docs (doc_id, text) in ascending doc_id order into a table of segments at path."""
-    spark = docs.sparkSession
-    batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # ties of doc_id by a hash of the text: reruns agree
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
@@ -269,7 +367,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END, segment: i
             keys, held, sizes, seq = [], [], [], seq + 1
             return out
 
-        for batch in it:
+        for batch in small_batches(it):
             got = zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist())
             for some in slices(got, lambda r: len(r[1] or b""), SLICE // 2):
                 ids, bounds = encoder.encode([t for _, t in some], end)
@@ -286,19 +384,18 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END, segment: i
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Per document of the files at path: doc_id, start, n_tokens, ids_crc32."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
     files = spark.read.schema(_SEGMENTS).parquet(path)
 
     @lean
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for part, seq, image in zip(*(batch.column(c).to_pylist() for c in ("part", "seq", "image"))):
+            for part, seq, image in ((b.column("part")[0].as_py(), b.column("seq")[0].as_py(), b.column("image")[0].as_py()) for b in small_batches([batch], 1)):
                 s = Segment(image)
-                bounds = s.bounds.all()
+                bounds = s.offsets()
                 wide = s.ids.astype("<u4")
                 crc = [zlib.crc32(wide[a:b].tobytes()) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-                n = len(s.doc_ids)
-                columns = [pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, seq, np.int32)), pa.array(s.doc_ids, pa.int64()), pa.array(bounds[:-1]), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())]
+                n = s.n
+                columns = [pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, seq, np.int32)), pa.array(s.doc_ids(), pa.int64()), pa.array(bounds[:-1]), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["part", "seq", "doc_id", "at", "n_tokens", "ids_crc32"])
 
     docs = files.select("part", "seq", "image").mapInArrow(run, "part int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long")
