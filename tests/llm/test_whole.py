@@ -27,12 +27,11 @@ def test_toxicity_recall_on_disguised_insults():
         w = prose(rng, 40)
         if i % 4 == 0:
             w.insert(rng.randrange(40), rng.choice(BAD))
-        rows.append((toxicity.units(" ".join(w)), int(i % 4 == 0)))
+        rows.append((" ".join(w), int(i % 4 == 0)))
     machine = toxicity.train(rows)
 
     def toxic(text):
-        u = sorted(toxicity.units(text) | toxicity.disguised(text))
-        return machine.probability(machine.values(u).max()) >= 0.5
+        return machine.probability(machine.values(sorted(toxicity.units(text))).max()) >= 0.5
 
     tried, found = {}, {}
     for w in BAD:

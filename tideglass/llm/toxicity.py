@@ -1,37 +1,41 @@
 """Toxicity by a subsequence string-kernel support vector machine with Nystrom landmarks.
 
-Kernel.  A unit (a white-space token, or letters spelled one by one joined again) is read
+Kernel.  A unit (the letters and digits of a white-space token, or of tokens read together) is read
 between end marks; k(s, t) sums, over the character subsequences of length 4 that s and t share
 and that span at most 7 characters, the product of DECAY ** span of both occurrences, and is
-normalised.  Gaps are thus allowed inside a match: "idxiot" shares most of the subsequences of
-"idiot".  Wider gaps and white space are beyond the span, so scoring also reads each token without its
-inner marks ("i.d.i.o.t", "i--d--i--o--t"), runs of tokens of one or two characters ("i  d  i  o  t",
-"i di ot") and neighbours of at most JOINED characters together ("id iot") as units of their own.
+normalised by sqrt(k(s, s) k(t, t)).  Gaps are thus allowed inside a match: "idxiot" shares most of the
+subsequences of "idiot".  Wider gaps and white space are beyond the span, so marks inside a token do not
+count ("i.d.i.o.t", "i--d--i--o--t"), and runs of tokens of one or two characters ("i  d  i  o  t",
+"i di ot") and neighbours of JOINED characters at most ("id iot") are read together as well.  A unit
+is a window of at most PIECE characters; longer words give several that overlap by half.
 
 Training.  A bounded sample of labelled rows (SAMPLE rows of each class, texts up to
-SAMPLE_CHARS characters, taken in the order of a hash of the id) goes to the driver as sets of
-units.  A label says that some unit of the text is toxic, so each positive text is stood
-for by one unit, chosen first by log odds and then, for ROUNDS rounds, by the machine itself;
-negatives are units of clean texts, with the worst scored ones added each round.
-Both classes also enter with gaps and inserted characters.  The machine is linear (squared hinge,
+SAMPLE_CHARS characters, taken in the order of a hash of the id) is gathered in one task, which returns
+the machine; nothing else of it reaches the driver.  A label says that some unit of the text is toxic, so
+each positive text is stood for by units: first those of high log odds, then, for ROUNDS rounds, those
+that the machine itself picks; negatives are units of clean texts, with the worst scored ones added each
+round.  Both classes also enter with gaps and inserted characters.  The machine is linear (squared hinge,
 Newton steps) in the Nystrom features K_mm**-1/2 k(., landmarks); a logistic curve
-over the texts' greatest values turns the decision into a probability.
+over the texts' greatest values, centred where fewest sampled texts fall on the wrong side, turns the decision into
+a probability.
 
 Scoring.  A text's value is the greatest over its units.  As the decision is linear in the
 landmarks, sum_j b_j k(u, l_j) collapses into one weight per subsequence of the landmarks:
 the expansion is evaluated exactly by adding the weights that a unit's subsequences meet.
 
-Cases: null and empty texts have no unit and get the score of a unit without any match;
-repeated rows are scored alike; labels that are null or whose document is missing are not used; a
-document with several labels counts as toxic if one says so; without labels of both
-classes every score is 0; further columns are ignored.
+Cases: null and empty texts, and texts without a letter or digit, have no unit and get the score of a unit
+without any match; very long texts are scored whole, in all their units, but those over SAMPLE_CHARS are not
+trained on; repeated rows are scored alike; ties of scores are left as they are; labels that are null or whose
+document is missing are not used; a document with several labels counts as toxic if one says so; rows that
+repeat a labelled doc_id all count; without labels of both classes every score is 0; an empty table gives an
+empty result; further columns are carried along, but for input columns score and predicted, which are replaced.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,19 +44,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideglass.llm.hashing import slices
-from tideglass.llm.shared import SLICE, batches, crc_mod, lean
+from tideglass.llm.shared import SLICE, crc_mod, lean, small_batches
 
 ORDER, SPAN, DECAY = 4, 7, 0.85
 SAMPLE, SAMPLE_CHARS = 2500, 12_000
 LANDMARKS, ROUNDS = 320, 3
-#: Units longer than this are cut into pieces that overlap by half.
-PIECE = 32
-_CACHE = 150_000
-_EDGE = ".,;:!?\"'()[]*-_"
-_SPELLED = re.compile(r"(?:(?<=\s)|^)(?:[^\s]\s){2,}[^\s](?=\s|$)")
-_APART = [re.compile(rf"(?:(?<=\s)|^)(?:\S{n}\s+){{2,}}\S{n}(?=\s|$)") for n in ("", "{1,2}")]
-_INNER = re.compile(r"[\W_]+")
-#: Two neighbouring tokens are joined if they have so many characters together, edge marks aside.
+#: Characters of a unit, between the least that hold more than one subsequence with the end marks, and PIECE; longer words are read in windows that overlap by half.
+LEAST, PIECE = 3, 32
+#: Values a worker remembers.
+_CACHE = 300_000
+_MARK = re.compile(r"[^\w\s]+|_+")
+#: Two neighbouring words are read together, too, if they have so many characters.
 LEAST_JOINED, JOINED = 4, 8
 _A = np.uint64(0x9E3779B97F4A7C15)
 #: offsets of the second to fourth character of each pattern
@@ -60,65 +62,72 @@ _PATTERNS = [(i, j, k) for k in range(3, SPAN) for j in range(2, k) for i in ran
 
 
 def units(text: str | None) -> set[str]:
-    """The distinct units of a whole text; one longer than PIECE is cut into overlapping pieces."""
+    """The distinct units of a whole text: its words without marks, runs of words of at most 1 or 2 characters, short neighbours."""
     if not text:
         return set()
-    low = text.lower()
-    out = set(low.split())
-    for m in _SPELLED.finditer(low):
-        out.add("".join(m.group().split()))
+    ws = _MARK.sub("", text.lower()).split()
+    n = np.fromiter(map(len, ws), np.int32, len(ws))
+    out = set(ws)
+    both = n[:-1] + n[1:]
+    out.update([ws[i] + ws[i + 1] for i in np.flatnonzero((both >= LEAST_JOINED) & (both <= JOINED)).tolist()])
+    for most in (1, 2):
+        edge = np.flatnonzero(np.diff(np.concatenate(([False], n <= most, [False])).view(np.int8)))
+        out.update(["".join(ws[a:b]) for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist()) if b - a > 2])
     for w in [w for w in out if len(w) > PIECE]:
-        out.remove(w)
         out.update(w[at : at + PIECE] for at in range(0, len(w) - PIECE // 2, PIECE // 2))
-    return out
+    return {w for w in out if LEAST <= len(w) <= PIECE}
 
 
-def disguised(text: str | None) -> set[str]:
-    """The units that show a text's words without inner marks and its short neighbouring tokens joined."""
-    if not text:
-        return set()
-    ws = text.lower().split()
-    bare = {w: w.strip(_EDGE) for w in set(ws)}
-    out = {_INNER.sub("", b) for b in bare.values() if not b.isalnum()}
-    for a, b in set(zip(ws, ws[1:])):
-        if len(a) + len(b) <= JOINED + 4 and (x := bare[a]) and (y := bare[b]) and LEAST_JOINED <= len(x) + len(y) <= JOINED:
-            out.add(x + y)
-    for apart in _APART:
-        for m in apart.finditer(text.lower()):
-            out.add(_INNER.sub("", m.group()))
-    for w in [w for w in out if len(w) > PIECE]:
-        out.remove(w)
-        out.update(w[at : at + PIECE] for at in range(0, len(w) - PIECE // 2, PIECE // 2))
-    return {w for w in out if len(w) >= LEAST_JOINED}
+def occurrences(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
+    """Per pattern (row of words, subsequence key, weight) of every occurrence."""
+    codes = np.frombuffer("".join(f"\x02{w}\x03" for w in words).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    length = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
+    own = np.repeat(np.arange(len(words)), length)
+    n = len(codes)
+    step = lambda key, o: ((key[: max(0, n - o)] ^ (key[: max(0, n - o)] >> np.uint64(29))) * _A) + codes[o:]
+    inside = {k: np.flatnonzero(own[: max(0, n - k)] == own[k:]) for k in range(3, SPAN)}
+    one = codes * _A
+    for i in range(1, SPAN - 2):
+        two = step(one, i)
+        for j in range(i + 1, SPAN - 1):
+            three = step(two, j)
+            for k in range(j + 1, SPAN):
+                at = inside[k]
+                key = step(three, k)[at]
+                yield own[at], (key ^ (key >> np.uint64(31))) * _A, DECAY ** (k + 1)
+
+
+def _raw(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sparse feature vectors: (row, key, value), one entry per row and key, sorted."""
+    parts = list(occurrences(words))
+    row, key = (np.concatenate([p[i] for p in parts]) for i in range(2))
+    w = np.concatenate([np.full(len(p[0]), p[2]) for p in parts])
+    order = np.lexsort((key, row))
+    row, key, w = row[order], key[order], w[order]
+    at = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (key[1:] != key[:-1])))) if len(row) else np.zeros(0, np.int64)
+    return row[at], key[at], np.add.reduceat(w, at) if len(at) else w
+
+
+_NORMS: dict[bytes, float] = {}
 
 
-def features(words: list[str]) -> tuple[Iterator[tuple[np.ndarray, np.ndarray, float]], np.ndarray]:
-    """Per pattern (row of words, subsequence key, weight) of every occurrence, and each word's norm.
+def norms(words: list[str]) -> np.ndarray:
+    """sqrt(k(w, w)) of each word before normalisation.
 
-    The norm counts occurrences, so it depends on the word's length alone.
+    It depends only on which of a word's letters are equal, so words of one pattern share it.
     """
-    codes = np.frombuffer("".join(f"\x02{w}\x03" for w in words).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
-    length = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
-    own = np.repeat(np.arange(len(words)), length)
-    square = np.zeros(len(words))
-    for _, _, k in _PATTERNS:
-        square += np.maximum(length - k, 0) * DECAY ** (2 * (k + 1))
-
-    def found() -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
-        n = len(codes)
-        step = lambda key, o: ((key[: max(0, n - o)] ^ (key[: max(0, n - o)] >> np.uint64(29))) * _A) + codes[o:]
-        inside = {k: np.flatnonzero(own[: max(0, n - k)] == own[k:]) for k in range(3, SPAN)}
-        one = codes * _A
-        for i in range(1, SPAN - 2):
-            two = step(one, i)
-            for j in range(i + 1, SPAN - 1):
-                three = step(two, j)
-                for k in range(j + 1, SPAN):
-                    at = inside[k]
-                    key = step(three, k)[at]
-                    yield own[at], (key ^ (key >> np.uint64(31))) * _A, DECAY ** (k + 1)
-
-    return found(), np.sqrt(np.maximum(square, 1e-12))
+    of = [bytes(map(w.find, w)) for w in words]
+    new = {p: w for p, w in zip(of, words) if p not in _NORMS}
+    if len(_NORMS) > _CACHE:
+        _NORMS.clear()
+        new = dict(zip(of, words))
+    some = list(new.items())
+    for a in range(0, len(some), 500):
+        part = some[a : a + 500]
+        row, _, v = _raw([w for _, w in part])
+        square = np.bincount(row, v * v, len(part))
+        _NORMS.update(zip([p for p, _ in part], np.sqrt(np.maximum(square, 1e-12)).tolist()))
+    return np.fromiter(map(_NORMS.__getitem__, of), float, len(of))
 
 
 class Machine:
@@ -131,19 +140,27 @@ class Machine:
         self.keys, self.weights = keys[order], weights[order].astype(np.float64)
 
     def values(self, words: list[str]) -> np.ndarray:
-        """Decision value of each word."""
-        if not hasattr(self, "_maybe"):
-            self._maybe = np.zeros(1 << self.bits, bool)
-            self._maybe[(self.keys >> np.uint64(64 - self.bits)).astype(np.int64)] = True
-        found, norm = features(words)
+        """Decision value of each unit."""
+        if not hasattr(self, "_first"):
+            # the keys are sorted, so those of one slot (leading bits) follow each other
+            slot = (self.keys >> np.uint64(64 - self.bits)).astype(np.int64)
+            self._first = np.full(1 << self.bits, -1, np.int32)
+            self._first[slot[::-1]] = np.arange(len(slot), dtype=np.int32)[::-1]
+            self._most = int(np.bincount(slot).max(initial=0))
         dot = np.zeros(len(words))
-        for row, key, w in found:
-            hit = np.flatnonzero(self._maybe[(key >> np.uint64(64 - self.bits)).astype(np.int64)])
-            if len(hit):
-                at = np.minimum(np.searchsorted(self.keys, key[hit]), len(self.keys) - 1)
-                good = self.keys[at] == key[hit]
-                dot += np.bincount(row[hit[good]], self.weights[at[good]], len(words)) * w
-        return dot / norm + self.bias
+        for row, key, w in occurrences(words):
+            first = self._first[(key >> np.uint64(64 - self.bits)).astype(np.int64)]
+            hit = np.flatnonzero(first >= 0)
+            row, key, first = row[hit], key[hit], first[hit]
+            for o in range(self._most):
+                at = np.minimum(first + o, len(self.keys) - 1)
+                good = np.flatnonzero(self.keys[at] == key)
+                dot += np.bincount(row[good], self.weights[at[good]], len(words)) * w
+        return dot / norms(words) + self.bias
+
+    def every(self, words: list[str]) -> np.ndarray:
+        """values() in bounded memory."""
+        return np.concatenate([np.zeros(0), *(self.values(words[a : a + 2000]) for a in range(0, len(words), 2000))])
 
     def probability(self, value):
         return 1 / (1 + np.exp(-np.clip(self.slope * np.asarray(value) + self.offset, -60, 60)))
@@ -151,28 +168,21 @@ class Machine:
 
 def _explicit(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sparse normalised feature vectors: (row, key, value), one entry per row and key, sorted."""
-    found, norm = features(words)
-    parts = list(found)
-    row, key = (np.concatenate([p[i] for p in parts]) for i in range(2))
-    w = np.concatenate([np.full(len(p[0]), p[2]) for p in parts])
-    order = np.lexsort((key, row))
-    row, key, w = row[order], key[order], w[order]
-    at = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (key[1:] != key[:-1]))))
-    w = np.add.reduceat(w, at)
-    return row[at], key[at], w / norm[row[at]]
+    row, key, v = _raw(words)
+    return row, key, v / norms(words)[row]
 
 
 def _gram(words: list[str], vocabulary: np.ndarray, dense: np.ndarray) -> np.ndarray:
     """k(words, landmarks); vocabulary and dense hold the landmarks' keys and (keys x landmarks) values."""
-    out = np.zeros((len(words), dense.shape[1]))
-    for a in range(0, len(words), 500):
-        row, key, v = _explicit(words[a : a + 500])
+    out = np.zeros((len(words), dense.shape[1]), np.float32)
+    for a in range(0, len(words), 40):
+        row, key, v = _explicit(words[a : a + 40])
         at = np.minimum(np.searchsorted(vocabulary, key), len(vocabulary) - 1)
         ok = vocabulary[at] == key
         row, at, v = row[ok], at[ok], v[ok]
         if len(row):
             new = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-            out[a + row[new]] = np.add.reduceat(dense[at] * v[:, None], new, axis=0)
+            out[a + row[new]] = np.add.reduceat(dense[at] * v[:, None].astype(np.float32), new, axis=0)
     return out
 
 
@@ -192,7 +202,7 @@ def _noised(words: list[str], rng: np.random.RandomState) -> list[str]:
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 2.0) -> np.ndarray:
     """Primal squared-hinge machine with a bias (last entry) by Newton steps."""
-    x = np.hstack((x, np.ones((len(x), 1))))
+    x = np.hstack((x, np.ones((len(x), 1), x.dtype)))
     w = np.zeros(x.shape[1])
     ridge = np.ones(x.shape[1])
     ridge[-1] = 1e-3
@@ -208,144 +218,190 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 2.0) -> np
 
 
 def _curve(value: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic slope and offset of the labels on the values, classes weighed alike."""
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum()))
-    t = (y > 0).astype(float)
-    p = np.array([1.0, 0.0])
-    x = np.stack((value, np.ones_like(value)), 1)
-    for _ in range(50):
-        q = 1 / (1 + np.exp(-np.clip(x @ p, -30, 30)))
-        g = x.T @ (weight * (q - t)) + 1e-3 * np.array([p[0], 0])
-        h = (x * (weight * q * (1 - q))[:, None]).T @ x + np.diag([1e-3, 1e-6])
-        step = np.linalg.solve(h, g)
-        p = p - np.clip(step, -5, 5)
-    return float(max(p[0], 1e-3)), float(p[1])
-
-
-def _distinct(rows: list[tuple[set[str], int]]) -> list[tuple[set[str], int]]:
-    """The rows without near copies of earlier ones, so that a copied text counts once."""
-    seen: set[tuple] = set()
-    out = []
-    for u, y in rows:
-        h = np.sort(np.fromiter((zlib.crc32(w.encode()) for w in u), np.int64, len(u)))
-        least = [int(((h * m + 12345) % 4294967291).min()) if len(h) else 0 for m in (1, 2654435, 40503, 69069, 1664525, 22695477)]
-        keys = {(i, least[2 * i], least[2 * i + 1]) for i in range(3)}
-        if len(u) < 8 or not keys & seen:
+    """Logistic slope and offset: 1/2 lies where fewest texts fall on the wrong side, classes weighed alike."""
+    order = np.argsort(value, kind="stable")
+    v, toxic = value[order], y[order] > 0
+    # wrong[i]: error of a cut below the i-th value
+    wrong = np.concatenate(([0], np.cumsum(toxic))) / max(1, toxic.sum()) + np.concatenate((np.cumsum(~toxic[::-1])[::-1], [0])) / max(1, (~toxic).sum())
+    low, high = np.concatenate(([v[0] - 1], v)), np.concatenate((v, [v[-1] + 1]))
+    best = np.flatnonzero(wrong <= wrong.min() + 1e-12)
+    i = best[(high - low)[best].argmax()]
+    cut = (low[i] + high[i]) / 2
+    above, below = np.median(v[toxic]), np.median(v[~toxic])
+    slope = 8 / max(above - below, 1e-3)
+    return float(slope), float(-slope * cut)
+
+
+class _Bags:
+    """The sample: forms by number, and each text's forms as sorted numbers."""
+
+    def __init__(self, texts: list[tuple[str, int]]):
+        self.place: dict[str, int] = {}
+        rows = []
+        for text, y in texts:
+            own = {self.place.setdefault(f, len(self.place)) for f in sorted(units(text))}
+            if own:
+                rows.append((np.array(sorted(own), np.int32), y))
+        self.words = list(self.place)
+        rows = self._distinct(rows)
+        self.pos, self.neg = ([u for u, k in rows if k == y] for y in (1, 0))
+
+    def _distinct(self, rows: list[tuple[np.ndarray, int]]) -> list[tuple[np.ndarray, int]]:
+        """The rows but those that share three quarters of their units with an earlier one, so that a copied text counts once."""
+        hashes = np.fromiter((zlib.crc32(w.encode("utf-8", "replace")) for w in self.words), np.int64, len(self.words))
+        out: list[tuple[np.ndarray, int]] = []
+        seen: dict[tuple, list[int]] = {}
+        for u, y in rows:
+            h = hashes[u]
+            least = [int(((h * m + 12345) % 4294967291).min()) for m in (1, 2654435, 40503, 69069, 1664525, 22695477, 48271, 16807)]
+            keys = [(i, least[2 * i], least[2 * i + 1]) for i in range(4)]
+            near = {k for key in keys for k in seen.get(key, ())}
+            if any(len(np.intersect1d(u, out[k][0], assume_unique=True)) * 7 >= 3 * (len(u) + len(out[k][0])) for k in near):
+                continue
+            for key in keys:
+                seen.setdefault(key, []).append(len(out))
             out.append((u, y))
-        seen |= keys
-    # where texts share nearly all their words, likeness says nothing: keep them
-    few = any(2 * sum(k == y for _, k in out) < sum(k == y for _, k in rows) for y in (0, 1))
-    return rows if few else out
-
-
-def train(texts: list[tuple[set[str], int]], landmarks: int = LANDMARKS, rounds: int = ROUNDS) -> Machine | None:
-    """Fit the machine on (units of a text, label) rows; None without both classes."""
-    texts = _distinct(texts)
-    pos = [sorted(u) for u, y in texts if y and u]
-    neg = [sorted(u) for u, y in texts if not y and u]
+        return out
+
+    def counts(self, bags: list[np.ndarray]) -> np.ndarray:
+        return np.bincount(np.concatenate([np.zeros(0, np.int32), *bags]), minlength=len(self.words))
+
+    def evidence(self) -> np.ndarray:
+        """Of each form: the greatest log likelihood ratio of its heads (inflected insults share one), 0 if clean texts hold them."""
+        place: dict[str, int] = {}
+        heads = [[place.setdefault(h, len(place)) for h in (*(w[:k] for k in range(3, min(len(w), 7) + 1)), "^" + w)] for w in self.words]
+        size = np.fromiter(map(len, heads), np.int64, len(heads))
+        flat = np.fromiter((h for hs in heads for h in hs), np.int32, int(size.sum()))
+        start = np.cumsum(size) - size
+        del heads
+
+        def texts_with(bags: list[np.ndarray]) -> np.ndarray:
+            out = np.zeros(len(place))
+            for u in bags:
+                n = size[u]
+                out[np.unique(flat[np.repeat(start[u] - (np.cumsum(n) - n), n) + np.arange(n.sum())])] += 1
+            return out
+
+        hp, hn = texts_with(self.pos), texts_with(self.neg)
+        n_pos, n_neg = len(self.pos), len(self.neg)
+        share, p = n_pos / (n_pos + n_neg), hp / np.maximum(hp + hn, 1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            odds = hp * np.log(p / share) + np.where(hn > 0, hn * np.log((1 - p) / (1 - share)), 0.0)
+        odds[(hp <= 2) | (hn * n_pos * 12 >= hp * n_neg)] = 0
+        self.chance = float(np.log(max(2, (hp > 0).sum())) + 2)
+        return np.maximum(np.maximum.reduceat(odds[flat], start), 0)
+
+
+def train(texts: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: int = ROUNDS) -> Machine | None:
+    """Fit the machine on (text, label) rows; None without both classes."""
+    bags = _Bags(texts)
+    pos, neg, words = bags.pos, bags.neg, bags.words
     if not pos or not neg:
         return None
     rng = np.random.RandomState(11)
     n_pos, n_neg = len(pos), len(neg)
-    dp, dn = Counter(w for u in pos for w in u), Counter(w for u in neg for w in u)
-    # inflected insults share a head: log odds of the heads, of whole words and of words without edge marks
-    heads = lambda w: {w[:k] for k in range(3, min(len(w), 7) + 1)} | {"^" + w.strip(_EDGE)}
-    hp, hn = (Counter(h for u in side for h in set().union(*map(heads, u))) for side in (pos, neg))
-    share = n_pos / (n_pos + n_neg)
-
-    def evidence(k: int, other: int) -> float:
-        """Log likelihood ratio of k toxic and some clean texts against an even spread."""
-        p = k / (k + other)
-        return k * np.log(p / share) + (other * np.log((1 - p) / (1 - share)) if other else 0.0)
-
-    odds = {h: evidence(k, hn[h]) for h, k in hp.items() if k > 2 and hn[h] * n_pos * 12 < k * n_neg}
-    score = {w: max((odds[h] for h in heads(w) if h in odds), default=0.0) for w in dp}
-    # more than chance would give the best of so many heads
-    insult = {w for w in dp if dn[w] == 0 and score[w] > np.log(len(hp)) + 2}
-    witness = [max(u, key=lambda w: (score[w], w)) for u in pos]
-    chosen = Counter({w: dp[w] for w in insult}) or Counter(witness)
-    common = [w for w, _ in dn.most_common(3000)]
-    other = sorted(w for w in dn if len(w) > 2)
-    negatives = list(dict.fromkeys(common + [other[i] for i in rng.permutation(len(other))[:4000]]))
-    every = sorted(set(dp) | set(dn))
+    dp, dn = bags.counts(pos), bags.counts(neg)
+    odds = bags.evidence()
+    best_of = lambda value, u: int(u[value[u].argmax()])  # noqa: E731  the first of equals
+    # to begin with: more than chance would give the best of so many heads, and never in a clean text
+    first = np.flatnonzero((dn == 0) & (odds > bags.chance))
+    witness = np.unique([best_of(odds, u) for u in pos])
+    chosen = first if len(first) else witness
+    common = np.argsort(-dn, kind="stable")[:3000]
+    common = common[dn[common] > 0]
+    other = np.array([k for k in np.flatnonzero(dn).tolist() if len(words[k]) > 2], np.int64)
+    negatives = list(dict.fromkeys([*common.tolist(), *other[rng.permutation(len(other))[:4000]].tolist()]))
     for r in range(rounds):
-        plus = [w for w, _ in sorted(chosen.items(), key=lambda x: (-x[1], x[0]))[:1500]]
+        plus = chosen[np.lexsort((chosen, -dp[chosen]))][:1500].tolist()
         few = [negatives[i] for i in rng.permutation(len(negatives))[: landmarks // 4]]
-        marks = list(dict.fromkeys(plus[: landmarks // 4] + _noised(plus[: landmarks // 4], rng) + negatives[: landmarks // 4] + few))
+        text = lambda ks: [words[k] for k in ks]
+        lead = text(plus[: landmarks // 4])
+        marks = list(dict.fromkeys(lead + _noised(lead, rng) + text(negatives[: landmarks // 4]) + text(few)))
         row, key, v = _explicit(marks)
         vocabulary = np.unique(key)
-        dense = np.zeros((len(vocabulary), len(marks)))
+        dense = np.zeros((len(vocabulary), len(marks)), np.float32)
         dense[np.searchsorted(vocabulary, key), row] = v
-        lam, vec = np.linalg.eigh(dense.T @ dense)
+        lam, vec = np.linalg.eigh((dense.T @ dense).astype(np.float64))
         good = lam > 1e-4 * lam[-1]
         half = vec[:, good] / np.sqrt(lam[good])
-        words = plus + _noised(plus, rng) + negatives + _noised(negatives[:3000], rng)
-        n_plus = 2 * len(plus)
-        y = np.where(np.arange(len(words)) < n_plus, 1.0, -1.0)
-        # a word counts by the texts it decides
-        often = np.sqrt(np.minimum([chosen[w] for w in plus], 100)) + 3
-        rare = np.sqrt(np.clip([dn[w] for w in negatives], 1, 100)) + 0.5
+        some = text(plus) + _noised(text(plus), rng) + text(negatives) + _noised(text(negatives[:3000]), rng)
+        y = np.where(np.arange(len(some)) < 2 * len(plus), 1.0, -1.0)
+        # a unit counts by the texts it decides
+        often = np.sqrt(np.minimum(dp[plus], 100)) + 3
+        rare = np.sqrt(np.clip(dn[negatives], 1, 100)) + 0.5
         weight = np.concatenate((often, often, rare, 0.5 * rare[:3000]))
-        w = _svm(_gram(words, vocabulary, dense) @ half, y, weight)
+        w = _svm(_gram(some, vocabulary, dense) @ half.astype(np.float32), y, weight)
         machine = Machine(vocabulary, dense @ (half @ w[:-1]), float(w[-1]), 1.0, 0.0)
-        of = dict(zip(every, np.concatenate([machine.values(every[a : a + 4000]) for a in range(0, len(every), 4000)])))
-        best = [max(u, key=lambda q: (of[q], q)) for u in pos]
-        worst = [max(u, key=lambda q: (of[q], q)) for u in neg]
+        of = machine.every(words)
+        best, worst = ([best_of(of, u) for u in side] for side in (pos, neg))
         if r < rounds - 1:
-            # the machine's own choice stands for a positive text if clean texts do not hold it
-            chosen = Counter({q: dp[q] for q in insult}) + Counter(q for q in best if of[q] > 0.3 and dn[q] * n_pos * 8 < dp[q] * n_neg)
-            chosen = chosen or Counter(witness)
-            hard = [q for q, _ in Counter(worst).most_common() if of[q] > -0.95 and q not in chosen]
+            # the machine's own choice stands for the positive texts if clean texts hardly hold it
+            chosen = np.flatnonzero((dp > 0) & (of > 0.3) & (dn * n_pos * 8 < dp * n_neg))
+            chosen = chosen if len(chosen) else witness
+            hard, n = np.unique(worst, return_counts=True)
+            taken = set(chosen.tolist())
+            hard = [k for k in hard[np.lexsort((hard, -n))].tolist() if of[k] > -0.95 and k not in taken]
             negatives = list(dict.fromkeys(hard + negatives))
-    values = np.array([of[q] for q in best] + [of[q] for q in worst])
+    values = of[np.array(best + worst)]
     machine.slope, machine.offset = _curve(values, np.array([1.0] * len(best) + [-1.0] * len(worst)))
     return machine
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Machine | None:
-    """Train on a bounded sample of labelled documents whose crc32(doc_id) mod 5 is not 0."""
-    spark = docs.sparkSession
+def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, chars: int = SAMPLE_CHARS) -> DataFrame:
+    """(doc_id, text, toxic): at most `rows` labelled documents of each class whose crc32(doc_id) mod 5 is not 0."""
     seen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     seen = seen.where("doc_id is not null and toxic in (0, 1)").where(crc_mod("doc_id", 5) != 0)
+    seen = seen.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    ids: dict[int, int] = {}
-    for y in (0, 1):
-        for r in seen.where(F.col("toxic") == y).orderBy(*order).limit(sample).collect():
-            ids[r.doc_id] = y
-    if len(set(ids.values())) < 2:
-        return None
-    some = spark.createDataFrame(list(ids.items()), "doc_id long, toxic int")
+    ids = [seen.where(F.col("toxic") == y).orderBy(*order).limit(rows) for y in (0, 1)]
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") <= chars)
-    rows = text.join(F.broadcast(some), "doc_id").collect()
-    return train([(units(r.text), r.toxic) for r in sorted(rows, key=lambda r: r.doc_id)])
+    # ids: at most 2 * rows
+    return text.join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id")
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Machine | None:
+    """Train on the bounded sample, in one task; only the machine comes to the driver."""
+
+    @lean
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [r for b in it for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "toxic")))]
+        machine = train([(text, y) for _, text, y in sorted(got)])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(machine)], pa.binary())], ["machine"])
+
+    found = sample(docs, labels, rows, chars).repartition(1).mapInArrow(run, "machine binary").collect()
+    return pickle.loads(found[0].machine) if found else None
+
+
+class _Scorer:
+    """A worker's machine with the values it remembers."""
+
+    def __init__(self, machine: Machine | None):
+        self.machine, self.known = machine, {}
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        m, known = self.machine, self.known
+        if m is None:
+            return np.zeros(len(texts))
+        of = [units(t) for t in texts]
+        if len(known) > _CACHE:
+            known.clear()
+        new = list(set().union(*of).difference(known))
+        known.update(zip(new, m.every(new).tolist()))
+        return m.probability(np.array([max(map(known.__getitem__, u), default=m.bias) for u in of] or np.zeros(0)))
 
 
 def score(docs: DataFrame, machine: Machine | None) -> DataFrame:
     """docs with score (double) and predicted (int) added, other columns as they are."""
-    spark = docs.sparkSession
-    batches(spark)
-    held = spark.sparkContext.broadcast(machine)
+    held = docs.sparkSession.sparkContext.broadcast(machine)
     names = [c for c in docs.columns if c not in ("score", "predicted")]
     schema = docs.select(*names).schema.add("score", "double").add("predicted", "integer")
 
     @lean
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
-        known: dict[str, float] = {}
-        for batch in it:
-            scores = [np.zeros(0)]
-            for part in slices(batch.column("text").to_pylist(), lambda t: len(t or ""), SLICE):
-                if m is None:
-                    scores.append(np.zeros(len(part)))
-                    continue
-                of = [units(t) | disguised(t) for t in part]
-                if len(known) > _CACHE:
-                    known.clear()
-                new = list(set().union(*of).difference(known))
-                for a in range(0, len(new), 2000):
-                    known.update(zip(new[a : a + 2000], m.values(new[a : a + 2000]).tolist()))
-                scores.append(m.probability(np.array([max(map(known.__getitem__, u), default=m.bias) for u in of])))
-            p = np.concatenate(scores)
+        scorer = _Scorer(held.value)
+        for batch in small_batches(it):
+            parts = slices(batch.column("text").to_pylist(), lambda t: len(t or ""), SLICE)
+            p = np.concatenate([np.zeros(0), *map(scorer.scores, parts)])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
 
     return docs.select(*names).mapInArrow(run, schema)
