@@ -2,7 +2,7 @@
 
 1. One pass over the texts gives each document the size and a 128-bit fingerprint of its
    set of 5-word shingles, band keys of its sketch (128 coordinates, 32 bands of 4), and one
-   byte per coordinate.  Documents with equal sets form a class; its least doc_id stands for it.
+   byte per coordinate.  Documents with equal sets form a class, which is one node from here on.
 2. Classes that share a band are candidates.  Small buckets give all their pairs; in a large
    bucket each member is paired with its nearest few by sketch, bucket by bucket in
    blocks, and after the first components a second pass pairs, again in blocks, what
@@ -14,7 +14,7 @@
    verified links and classes are joined into components by star contraction.
 
 Cases: null, empty or blank texts have no shingles, link with nothing and are kept; texts
-of 1 to 4 words are one shingle; rows that repeat a doc_id are one document (it links with
+of 1 to 4 words are one shingle; very long texts are read whole; rows that repeat a doc_id are one document (it links with
 whatever one of its texts links with, and every such row is returned); an empty table gives
 an empty result; further columns are ignored; a null doc_id is never linked and its
 component is null.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tideglass.llm.components import components
 from tideglass.llm.hashing import U64, mix, shingle_sets, slices
-from tideglass.llm.shared import SLICE, drop, keep, lean, semi, small_batches
+from tideglass.llm.shared import SLICE, Scratch, keep, lean, semi, small, small_batches
 from tideglass.llm.sketch import band_keys, sketches
 
 T, ROWS = 128, 4
@@ -49,40 +49,38 @@ def _texts(batch: pa.RecordBatch) -> list:
     return batch.column("text").cast(pa.binary()).to_pylist()
 
 
-@lean
-def _profile(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _prints(v: np.ndarray, b: np.ndarray) -> list[pa.Array]:
+    """n and the two halves of the fingerprint of each set."""
+    m = mix(v ^ U64(0x5851F42D4C957F2D))
+    sums = np.concatenate((np.zeros(1, U64), np.cumsum(m)))
+    more = np.concatenate((np.zeros(1, U64), np.cumsum(mix(m))))
+    return [pa.array(np.diff(b), pa.int64()), *(pa.array((x[b[1:]] - x[b[:-1]]).view(np.int64)) for x in (sums, more))]
+
+
+def _parts(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(doc_ids, shingle hashes, bounds) of some documents at a time."""
     for batch in small_batches(it):
         rows = list(zip(batch.column("doc_id").to_pylist(), _texts(batch)))
         for part in slices(rows, lambda r: len(r[1] or b""), SLICE):
-            v, b = shingle_sets([r[1] for r in part])
-            n = np.diff(b)
-            sk = sketches(v, b, T)
-            m = mix(v ^ U64(0x5851F42D4C957F2D))
-            sums = np.concatenate((np.zeros(1, U64), np.cumsum(m)))
-            more = np.concatenate((np.zeros(1, U64), np.cumsum(mix(m))))
-            keys = band_keys(sk, ROWS).view(np.int64)
-            # as the lowest bits of a minimum over many elements are uniform, one byte tells coordinates apart
-            low = (sk & U64(255)).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([r[0] for r in part], pa.int64()),
-                    pa.array(n, pa.int64()),
-                    pa.array((sums[b[1:]] - sums[b[:-1]]).view(np.int64)),
-                    pa.array((more[b[1:]] - more[b[:-1]]).view(np.int64)),
-                    pa.ListArray.from_arrays(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32), pa.array(keys.ravel())),
-                    pa.array([x.tobytes() for x in low], pa.binary()),
-                ],
-                ["doc_id", "n", "f1", "f2", "bands", "sig"],
-            )
+            yield pa.array([r[0] for r in part], pa.int64()), *shingle_sets([r[1] for r in part])
+
+
+@lean
+def _profile(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for ids, v, b in _parts(it):
+        sk = sketches(v, b, T)
+        keys = band_keys(sk, ROWS).view(np.int64)
+        # as the lowest bits of a minimum over many elements are uniform, one byte tells coordinates apart
+        low = (sk & U64(255)).astype(np.uint8)
+        bands = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32), pa.array(keys.ravel()))
+        yield pa.RecordBatch.from_arrays([ids, *_prints(v, b), bands, pa.array([x.tobytes() for x in low], pa.binary())], ["doc_id", "n", "f1", "f2", "bands", "sig"])
 
 
 @lean
 def _shingles(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in small_batches(it):
-        rows = list(zip(batch.column("doc_id").to_pylist(), _texts(batch)))
-        for part in slices(rows, lambda r: len(r[1] or b""), SLICE):
-            v, b = shingle_sets([r[1] for r in part])
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([v[b[i] : b[i + 1]].tobytes() for i in range(len(part))], pa.binary())], ["node", "shingles"])
+    for ids, v, b in _parts(it):
+        sets = pa.array([v[b[i] : b[i + 1]].tobytes() for i in range(len(ids))], pa.binary())
+        yield pa.RecordBatch.from_arrays([ids, *_prints(v, b), sets], ["doc_id", "n", "f1", "f2", "shingles"])
 
 
 def _agree(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -225,21 +223,28 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept."""
-    spark = docs.sparkSession
+    with Scratch(docs.sparkSession) as scratch:
+        return _near_duplicates(docs, scratch)
+
+
+def _near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    prof = keep(docs.mapInArrow(_profile, "doc_id long, n long, f1 long, f2 long, bands array<long>, sig binary"), "profile")
+    prof = scratch.keep(docs.mapInArrow(_profile, "doc_id long, n long, f1 long, f2 long, bands array<long>, sig binary"), "profile")
     real = prof.where("n > 0 and doc_id is not null")
-    classes = keep(real.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    # candidates: representatives that share a band
-    reps = real.join(classes.select("n", "f1", "f2", F.col("rep").alias("doc_id")), ["n", "f1", "f2", "doc_id"], "left_semi")
-    banded = reps.select(F.col("doc_id").alias("node"), F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count("*").alias("size_"), F.min("node").alias("lead")).where("size_ > 1")
-    bucket = keep(banded.join(shared, "band").select("band", "node", "size_"), "bucket")
-    nodes = keep(bucket.select("node").distinct(), "nodes")
+    key = ["n", "f1", "f2"]
+    classes = real.groupBy(*key).agg(F.min("doc_id").alias("rep"))
+    classes = scratch.keep(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    # candidates: classes that share a band; equal sets have equal bands, so any row of a class shows them
+    reps = scratch.keep(real.join(classes.withColumnRenamed("rep", "doc_id"), [*key, "doc_id"]).dropDuplicates(["node"]).drop("f1", "f2"), "reps")
+    banded = reps.select("node", F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.count("*").alias("size_")).where("size_ > 1")
+    bucket = scratch.keep(banded.join(shared, "band").select("band", "node", "size_"), "bucket")
+    nodes = scratch.keep(bucket.select("node").distinct(), "nodes")
     n_nodes = nodes.count()
-    ids = nodes.withColumnRenamed("node", "doc_id")
-    info = keep(semi(prof, ids, "doc_id", rows=n_nodes).where("n > 0").select(F.col("doc_id").alias("node"), "n", "sig").dropDuplicates(["node", "n"]), "info")
-    sets = keep(semi(docs, ids, "doc_id", rows=n_nodes).mapInArrow(_shingles, "node long, shingles binary"), "sets")
+    info = scratch.keep(semi(reps.select("node", "n", "sig"), nodes, "node", rows=n_nodes), "info")
+    which = small(scratch.keep(semi(classes, nodes, "node", rows=n_nodes).withColumnRenamed("rep", "doc_id"), "which"))
+    found = semi(docs, which.select("doc_id").distinct(), "doc_id", rows=n_nodes).mapInArrow(_shingles, "doc_id long, n long, f1 long, f2 long, shingles binary")
+    sets = scratch.keep(found.join(which, [*key, "doc_id"]).select("node", "shingles").dropDuplicates(["node"]), "sets")
 
     blocks = F.ceil(F.col("size_") / BLOCK)
     cut = lambda salt: F.when(F.col("size_") <= SMALL, F.lit(0)).otherwise(F.pmod(F.xxhash64("node", "band", F.lit(salt)), blocks))
@@ -247,51 +252,60 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     dealt = bucket.withColumn("block", cut(1).cast("long")).join(info, "node")
     dealt = dealt.select("band", "block", "node", "size_", "n", "sig").repartition("band", "block").sortWithinPartitions("band", "block")
     pairs = dealt.mapInArrow(_near_pairs, "a long, b long")
-    first = keep(_links(pairs, sets), "links")
-    seen = keep(components(first), "seen")
+    first = scratch.keep(_links(pairs, sets), "links")
+    seen = scratch.keep(components(first), "seen")
 
     # what large buckets still hold in several components: those outside the bucket's main one are checked
     # against all of that component and against each other, cell by cell
     large = bucket.where(F.col("size_") > SMALL).join(seen, "node", "left")
-    large = keep(large.select("band", "node", F.coalesce("component", "node").alias("component")), "large")
+    large = scratch.keep(large.select("band", "node", F.coalesce("component", "node").alias("component")), "large")
     per = large.groupBy("band", "component").agg(F.count("*").alias("k")).groupBy("band").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    guests = large.join(per, "band").where("component != main").select("main", "node", "component").distinct()
-    guests = keep(guests, "guests")
-    hosts = guests.select("main").distinct().join(seen.select(F.col("component").alias("main"), "node"), "main", "left")
-    hosts = hosts.select("main", F.coalesce("node", "main").alias("node"), F.col("main").alias("component"))
+    per = small(scratch.keep(per.select("band", "main"), "mains"))
+    guests = scratch.keep(large.join(per, "band").where("component != main").select("main", "node", "component").distinct(), "guests")
+    # the tables of one row a component are broadcast if few, so that a giant component's members stay spread
+    mains = small(scratch.keep(guests.select("main").distinct(), "main-ids"))
+    alone = mains.join(seen.select(F.col("component").alias("main")).distinct(), "main", "left_anti")
+    hosts = seen.select("node", F.col("component").alias("main")).join(mains, "main").select("main", "node", F.col("main").alias("component"))
+    hosts = hosts.unionByName(alone.select("main", F.col("main").alias("node"), F.col("main").alias("component")))
     cells = lambda c: F.ceil(F.col(c) / CELL).cast("long")
-    crowd = hosts.unionByName(guests)
+    crowd = scratch.keep(hosts.unionByName(guests), "crowd")
     count = crowd.groupBy("main").agg(F.count("*").alias("n_own")).join(guests.groupBy("main").agg(F.count("*").alias("n_out")), "main")
-    full = lambda d: d.join(info, "node").join(sets, "node").join(count, "main")
+    count = small(scratch.keep(count, "counts"))
+    full = lambda d: d.join(count, "main").join(info, "node").join(sets, "node")
     spot = lambda c: F.pmod(F.xxhash64("node", F.lit(c)), cells(c)).cast("long")
     every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), cells(c) - 1))
     columns = ["main", "i", "j", "node", "n", "sig", "component", "visitor", "shingles"]
     members = full(crowd).withColumn("i", spot("n_own")).withColumn("j", every("n_out")).withColumn("visitor", F.lit(False)).select(columns)
     visitors = full(guests).withColumn("j", spot("n_out")).withColumn("i", every("n_own")).withColumn("visitor", F.lit(True)).select(columns)
     rest = members.unionByName(visitors).repartition("main", "i", "j").sortWithinPartitions("main", "i", "j", "visitor").mapInArrow(_rest_links, "a long, b long")
-    second = keep(rest.distinct(), "links")
+    second = scratch.keep(rest.distinct(), "rest-links")
 
     # rows that repeat a doc_id with other texts tie their classes together
-    many = real.select("doc_id", "n", "f1", "f2").distinct().groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")
-    ties = real.join(many, "doc_id", "left_semi").join(classes, ["n", "f1", "f2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    held = real.select("doc_id", *key).distinct()
+    many = held.groupBy("doc_id").agg(F.count("*").alias("k"), F.min(F.struct(*key)).alias("least")).where("k > 1")
+    many = small(scratch.keep(many.select("doc_id", *[F.col(f"least.{c}").alias(f"_{c}") for c in key]), "repeated"))
+    ties = held.join(many, "doc_id").join(classes.select(*key, F.col("node").alias("a")), key)
+    ties = ties.join(classes.select(*[F.col(c).alias(f"_{c}") for c in key], F.col("node").alias("b")), [f"_{c}" for c in key]).select("a", "b")
     # components of components
     of = lambda c: seen.select(F.col("node").alias(c), F.col("component").alias(f"{c}_c"))
     joined = second.unionByName(ties).join(of("a"), "a", "left").join(of("b"), "b", "left")
-    final = keep(components(joined.select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b"))), "final")
-
-    out = prof.select("doc_id", "n", "f1", "f2").join(classes.select("n", "f1", "f2", "rep"), ["n", "f1", "f2"], "left")
-    out = out.join(seen.select(F.col("node").alias("rep"), F.col("component").alias("c1")), "rep", "left")
-    out = out.withColumn("c1", F.coalesce("c1", "rep")).join(final.select(F.col("node").alias("c1"), F.col("component").alias("c2")), "c1", "left")
-    component = F.coalesce("c2", "c1", "doc_id")
-    component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(component)
-    out = keep(out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")), "result")
-    for x in (prof, classes, bucket, nodes, info, sets, first, seen, large, guests, second, final):
-        drop(x)
+    final = scratch.keep(components(joined.select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b"))), "final")
+
+    # each class's component, named by the least doc_id of its classes
+    of_class = classes.join(seen.select("node", F.col("component").alias("c1")), "node", "left").withColumn("c1", F.coalesce("c1", "node"))
+    of_class = of_class.join(final.select(F.col("node").alias("c1"), F.col("component").alias("c2")), "c1", "left")
+    of_class = scratch.keep(of_class.select(*key, "rep", "node", F.coalesce("c2", "c1").alias("c")), "of-class")
+    names = of_class.where("c != node").select("c").distinct()
+    names = scratch.keep(of_class.join(names, "c", "left_semi").groupBy("c").agg(F.min("rep").alias("name")), "names")
+    of_class = of_class.join(names, "c", "left").select(*key, F.coalesce("name", "rep").alias("name"))
+    out = prof.select("doc_id", *key).join(of_class, key, "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("name", "doc_id"))
+    out = keep(out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")), "near-duplicates")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs with one document of each group: the one whose doc_id is least; all columns stay."""
-    found = near_duplicates(docs)
+    found = near_duplicates(docs)  # read when the result is
     gone = found.where(~F.col("kept")).select("doc_id").distinct()
     return semi(docs, gone, "doc_id", anti=True)

@@ -91,6 +91,19 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(self.paths[-1])
 
 
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table of short rows, marked for broadcast only if its counted rows are few."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """Column names made of `names` that are none of `taken`, however they are spelled."""
+    mark = "_"
+    while {f"{mark}{n}".lower() for n in names} & {t.lower() for t in taken}:
+        mark += "_"
+    return [f"{mark}{n}" for n in names]
+
+
 def semi(df: DataFrame, ids: DataFrame, key: str, anti: bool = False, rows: int | None = None) -> DataFrame:
     """df's rows whose key is (not) in ids; ids is broadcast only if its counted rows are few."""
     rows = ids.count() if rows is None else rows
