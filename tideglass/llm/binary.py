@@ -39,14 +39,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tideglass.llm.hashing import slices
-from tideglass.llm.shared import SLICE, lean, new_path, small_batches
+from tideglass.llm.shared import SLICE, batched, keep, lean, new_path, small_batches
 
 MAGIC = b"TEFS0002"
 END = 2
 SAMPLE = 256
 #: Ids of a segment, about; one document is never cut.
 SEGMENT = 1_000_000
-_CACHE = 350_000
+_CACHE = 250_000
 #: Words handed to the tokenizer at once: its results are large.
 _WORDS = 8_000
 # Fixed value: the pattern of a pre-tokeniser that takes runs of letters, single digits and runs of other marks.
@@ -379,7 +379,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END, segment: i
         if keys:
             yield flush()
 
-    rows.mapInArrow(run, _SEGMENTS).write.option("compression", "uncompressed").parquet(path)
+    with batched(docs.sparkSession):
+        rows.mapInArrow(run, _SEGMENTS).write.option("compression", "uncompressed").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -414,4 +415,4 @@ def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
     spark = docs.sparkSession
     path = new_path(spark, "token-ids")
     write(docs, path, tokenizer)
-    return read(spark, path)
+    return keep(read(spark, path), "token-documents", 4)

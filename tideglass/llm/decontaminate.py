@@ -180,7 +180,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
             out = docs.mapInArrow(run, schema)
         else:
             # the next part of a large benchmark: unite with what the earlier parts found
-            out = keep(out, "hits").withColumnsRenamed({"hits": "_h", "items": "_i"}).drop("n_words")
+            out = keep(out, "hits", 500).withColumnsRenamed({"hits": "_h", "items": "_i"}).drop("n_words")
             more = T.StructType([*out.schema.fields, *T._parse_datatype_string(_FOUND).fields])
             out = out.mapInArrow(_runner(held, out.columns), more).drop("_h", "_i")
     if out is None:
@@ -239,7 +239,8 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda s, h: s + h.n)
     # code point order is Spark's own order of strings
     digest = F.sha2(F.encode(F.array_join(F.array_sort("items"), ","), "UTF-8"), 256)
-    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    report = found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    return keep(report, "contamination", 500)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -247,7 +248,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     names = docs.columns
     plain = docs.withColumnsRenamed({c: f"_kept_{c}" for c in names if c in ("n_words", "hits", "items")})
     clean = hits(plain, benchmark).where(F.size("items") == 0).drop("n_words", "hits", "items")
-    return clean.withColumnsRenamed({f"_kept_{c}": c for c in names}).select(*names)
+    return keep(clean.withColumnsRenamed({f"_kept_{c}": c for c in names}).select(*names), "clean", 500)
 
 
 def digest_of(items: list[str]) -> str:

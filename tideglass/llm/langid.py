@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideglass.llm.hashing import slices
-from tideglass.llm.shared import SLICE, crc_mod, lean, small_batches
+from tideglass.llm.shared import SLICE, crc_mod, keep, lean, small_batches
 
 ORDERS = 4
 BUCKETS = 1 << 16
@@ -132,7 +132,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, chars: int = CHARS) -> Model | No
 
     counts = np.zeros((buckets, len(langs)))
     place = {lang: k for k, lang in enumerate(langs)}
-    for r in rows.mapInArrow(count, "lang string, counts binary").toLocalIterator():
+    for r in keep(rows.mapInArrow(count, "lang string, counts binary"), "counts", 500).toLocalIterator():
         counts[:, place[r.lang]] += np.frombuffer(bytes(r.counts), np.int64)
     return Model(langs, counts, np.array([share[x] for x in langs], float))
 
@@ -157,4 +157,4 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                 scores.append(p)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(langs, pa.string()), pa.array(np.concatenate(scores))], [*names, "lang_pred", "score"])
 
-    return docs.select(*names).mapInArrow(run, schema)
+    return keep(docs.select(*names).mapInArrow(run, schema), "languages", 500)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tideglass.llm.components import components
 from tideglass.llm.hashing import U64, mix, shingle_sets, slices
-from tideglass.llm.shared import SLICE, Scratch, keep, lean, semi, small, small_batches
+from tideglass.llm.shared import SLICE, Scratch, batched, keep, lean, semi, small, small_batches
 from tideglass.llm.sketch import band_keys, sketches
 
 T, ROWS = 128, 4
@@ -223,7 +223,7 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept."""
-    with Scratch(docs.sparkSession) as scratch:
+    with batched(docs.sparkSession), Scratch(docs.sparkSession) as scratch:
         return _near_duplicates(docs, scratch)
 
 

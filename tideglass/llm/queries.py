@@ -43,7 +43,7 @@ from s left join comp on comp.doc_id = s.doc_id
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    scored = toxicity.scores(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 

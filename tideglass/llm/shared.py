@@ -10,6 +10,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(it: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces, so that what is made of one is small; Spark bounds the bytes of a whole one."""
+    """The batches in pieces, so that what is made of one is small."""
     for batch in it:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
@@ -51,13 +52,34 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def batched(spark: SparkSession, rows: int = 500):
+    """Bound the rows that go to Python workers at once in the jobs that run inside; the session's setting comes back."""
+    before = spark.conf.get(_ROWS, None)
+    spark.conf.set(_ROWS, str(rows))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_ROWS)
+        else:
+            spark.conf.set(_ROWS, before)
+
+
+def keep(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors.
 
-    The caller owns the table: drop() deletes it, Scratch those of one operator.
+    Python workers get at most `rows` rows at once.  The caller owns the table: drop() deletes it, Scratch those of one operator.
     """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    if rows:
+        with batched(df.sparkSession, rows):
+            df.write.parquet(path)
+    else:
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tideglass.llm.hashing import slices
-from tideglass.llm.shared import SLICE, lean, small_batches
+from tideglass.llm.shared import SLICE, keep, lean, small_batches
 
 BLOCK = 64
 #: Characters behind a piece that can decide where it ends (a contraction of two letters, one blank more).
@@ -215,4 +215,4 @@ def count_edited(docs: DataFrame, ranks: str, pattern: str, edits=script) -> Dat
             columns = [pa.array([o[i] for o in out], pa.int64()) for i in range(3)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *columns], [*names, *more])
 
-    return docs.select(*names).mapInArrow(run, schema)
+    return keep(docs.select(*names).mapInArrow(run, schema), "counts", 500)

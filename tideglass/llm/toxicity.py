@@ -44,19 +44,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideglass.llm.hashing import slices
-from tideglass.llm.shared import SLICE, crc_mod, lean, small_batches
+from tideglass.llm.shared import SLICE, batched, crc_mod, fresh, keep, lean, small_batches
 
 ORDER, SPAN, DECAY = 4, 7, 0.85
 SAMPLE, SAMPLE_CHARS = 2500, 12_000
 LANDMARKS, ROUNDS = 320, 3
 #: Characters of a unit, between the least that hold more than one subsequence with the end marks, and PIECE; longer words are read in windows that overlap by half.
 LEAST, PIECE = 3, 32
-#: Values a worker remembers.
-_CACHE = 300_000
+#: Values a worker remembers, in each of two generations.
+_CACHE = 250_000
+#: Patterns of equal letters whose norms it remembers.
+_PATTERN_CACHE = 60_000
 _MARK = re.compile(r"[^\w\s]+|_+")
 #: Two neighbouring words are read together, too, if they have so many characters.
 LEAST_JOINED, JOINED = 4, 8
-_A = np.uint64(0x9E3779B97F4A7C15)
+#: one odd number for each place of a subsequence, and one for the table's slots
+_A = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 #: offsets of the second to fourth character of each pattern
 _PATTERNS = [(i, j, k) for k in range(3, SPAN) for j in range(2, k) for i in range(1, j)]
 
@@ -67,34 +70,45 @@ def units(text: str | None) -> set[str]:
         return set()
     ws = _MARK.sub("", text.lower()).split()
     n = np.fromiter(map(len, ws), np.int32, len(ws))
-    out = set(ws)
+    out = {w for w in set(ws) if len(w) >= LEAST}
     both = n[:-1] + n[1:]
     out.update([ws[i] + ws[i + 1] for i in np.flatnonzero((both >= LEAST_JOINED) & (both <= JOINED)).tolist()])
+    runs: list[str] = []
     for most in (1, 2):
         edge = np.flatnonzero(np.diff(np.concatenate(([False], n <= most, [False])).view(np.int8)))
-        out.update(["".join(ws[a:b]) for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist()) if b - a > 2])
-    for w in [w for w in out if len(w) > PIECE]:
-        out.update(w[at : at + PIECE] for at in range(0, len(w) - PIECE // 2, PIECE // 2))
-    return {w for w in out if LEAST <= len(w) <= PIECE}
+        runs += ["".join(ws[a:b]) for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist()) if b - a > 2]
+    out.update(runs)
+    if n.max(initial=0) > PIECE or runs and max(map(len, runs)) > PIECE:
+        for w in [w for w in out if len(w) > PIECE]:
+            out.remove(w)
+            out.update(w[at : at + PIECE] for at in range(0, len(w) - PIECE // 2, PIECE // 2))
+    return out
 
 
-def occurrences(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
-    """Per pattern (row of words, subsequence key, weight) of every occurrence."""
+def _laid(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(letters of all words with their end marks, word of each)."""
     codes = np.frombuffer("".join(f"\x02{w}\x03" for w in words).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
-    length = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
-    own = np.repeat(np.arange(len(words)), length)
+    return codes, np.repeat(np.arange(len(words)), np.fromiter((len(w) + 2 for w in words), np.int64, len(words)))
+
+
+def _keys(codes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(span - 1, key at each first letter) for each pattern; some of them reach into the next word."""
     n = len(codes)
-    step = lambda key, o: ((key[: max(0, n - o)] ^ (key[: max(0, n - o)] >> np.uint64(29))) * _A) + codes[o:]
-    inside = {k: np.flatnonzero(own[: max(0, n - k)] == own[k:]) for k in range(3, SPAN)}
-    one = codes * _A
+    one, *others = (codes * a for a in _A[:ORDER])
     for i in range(1, SPAN - 2):
-        two = step(one, i)
+        two = one[: max(0, n - i)] + others[0][i:]
         for j in range(i + 1, SPAN - 1):
-            three = step(two, j)
+            three = two[: max(0, n - j)] + others[1][j:]
             for k in range(j + 1, SPAN):
-                at = inside[k]
-                key = step(three, k)[at]
-                yield own[at], (key ^ (key >> np.uint64(31))) * _A, DECAY ** (k + 1)
+                yield k, three[: max(0, n - k)] + others[2][k:]
+
+
+def occurrences(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
+    """Per pattern (row of words, subsequence key, weight) of every occurrence."""
+    codes, own = _laid(words)
+    inside = {k: np.flatnonzero(own[: max(0, len(own) - k)] == own[k:]) for k in range(3, SPAN)}
+    for k, key in _keys(codes):
+        yield own[inside[k]], key[inside[k]], DECAY ** (k + 1)
 
 
 def _raw(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,7 +132,7 @@ def norms(words: list[str]) -> np.ndarray:
     """
     of = [bytes(map(w.find, w)) for w in words]
     new = {p: w for p, w in zip(of, words) if p not in _NORMS}
-    if len(_NORMS) > _CACHE:
+    if len(_NORMS) > _PATTERN_CACHE:
         _NORMS.clear()
         new = dict(zip(of, words))
     some = list(new.items())
@@ -136,31 +150,47 @@ class Machine:
     def __init__(self, keys: np.ndarray, weights: np.ndarray, bias: float, slope: float, offset: float):
         self.bits = 20
         self.bias, self.slope, self.offset = bias, slope, offset
-        order = np.argsort(keys)
+        order = np.argsort(self._slots(keys), kind="stable")
         self.keys, self.weights = keys[order], weights[order].astype(np.float64)
 
-    def values(self, words: list[str]) -> np.ndarray:
-        """Decision value of each unit."""
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * _A[-1]) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def dots(self, words: list[str]) -> np.ndarray:
+        """Decision value of each unit before its norm and the bias."""
         if not hasattr(self, "_first"):
-            # the keys are sorted, so those of one slot (leading bits) follow each other
-            slot = (self.keys >> np.uint64(64 - self.bits)).astype(np.int64)
-            self._first = np.full(1 << self.bits, -1, np.int32)
+            # the keys are sorted by slot, so those of one slot follow each other
+            slot = self._slots(self.keys)
+            self._some = np.zeros(1 << self.bits, bool)
+            self._some[slot] = True
+            self._first = np.zeros(1 << self.bits, np.int32)
             self._first[slot[::-1]] = np.arange(len(slot), dtype=np.int32)[::-1]
             self._most = int(np.bincount(slot).max(initial=0))
+        codes, own = _laid(words)
         dot = np.zeros(len(words))
-        for row, key, w in occurrences(words):
-            first = self._first[(key >> np.uint64(64 - self.bits)).astype(np.int64)]
-            hit = np.flatnonzero(first >= 0)
-            row, key, first = row[hit], key[hit], first[hit]
+        for k, key in _keys(codes):
+            slot = self._slots(key)
+            hit = np.flatnonzero(self._some.take(slot))
+            hit = hit[own[hit] == own[hit + k]]
+            key, first, row = key[hit], self._first[slot[hit]], own[hit]
             for o in range(self._most):
                 at = np.minimum(first + o, len(self.keys) - 1)
                 good = np.flatnonzero(self.keys[at] == key)
-                dot += np.bincount(row[good], self.weights[at[good]], len(words)) * w
-        return dot / norms(words) + self.bias
+                dot += np.bincount(row[good], self.weights[at[good]], len(words)) * DECAY ** (k + 1)
+        return dot
+
+    def values(self, words: list[str], above: bool = False) -> np.ndarray:
+        """Decision value of each unit; with `above`, minus infinity for those at the bias and below."""
+        dot = self.dots(words)
+        if not above:
+            return dot / norms(words) + self.bias
+        out, at = np.full(len(words), -np.inf), np.flatnonzero(dot > 0)
+        out[at] = dot[at] / norms([words[i] for i in at.tolist()]) + self.bias
+        return out
 
-    def every(self, words: list[str]) -> np.ndarray:
+    def every(self, words: list[str], above: bool = False) -> np.ndarray:
         """values() in bounded memory."""
-        return np.concatenate([np.zeros(0), *(self.values(words[a : a + 2000]) for a in range(0, len(words), 2000))])
+        return np.concatenate([np.zeros(0), *(self.values(words[a : a + 2000], above) for a in range(0, len(words), 2000))])
 
     def probability(self, value):
         return 1 / (1 + np.exp(-np.clip(self.slope * np.asarray(value) + self.offset, -60, 60)))
@@ -368,7 +398,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, chars: int = SAM
         machine = train([(text, y) for _, text, y in sorted(got)])
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(machine)], pa.binary())], ["machine"])
 
-    found = sample(docs, labels, rows, chars).repartition(1).mapInArrow(run, "machine binary").collect()
+    with batched(docs.sparkSession):
+        found = sample(docs, labels, rows, chars).repartition(1).mapInArrow(run, "machine binary").collect()
     return pickle.loads(found[0].machine) if found else None
 
 
@@ -376,22 +407,29 @@ class _Scorer:
     """A worker's machine with the values it remembers."""
 
     def __init__(self, machine: Machine | None):
-        self.machine, self.known = machine, {}
+        self.machine, self.known, self.old = machine, {}, {}
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        m, known = self.machine, self.known
+        m = self.machine
         if m is None:
             return np.zeros(len(texts))
         of = [units(t) for t in texts]
-        if len(known) > _CACHE:
-            known.clear()
-        new = list(set().union(*of).difference(known))
-        known.update(zip(new, m.every(new).tolist()))
-        return m.probability(np.array([max(map(known.__getitem__, u), default=m.bias) for u in of] or np.zeros(0)))
-
-
-def score(docs: DataFrame, machine: Machine | None) -> DataFrame:
-    """docs with score (double) and predicted (int) added, other columns as they are."""
+        if len(self.known) > _CACHE:
+            self.known, self.old = {}, self.known
+        known, old = self.known, self.old
+        new = set().union(*of).difference(known)
+        again = new.intersection(old)
+        known.update((w, old[w]) for w in again)
+        new = list(new.difference(again))
+        # what lies at the bias or below matters only to texts that have nothing above
+        known.update(zip(new, m.every(new, above=True).tolist()))
+        best = np.array([max(map(known.__getitem__, u), default=m.bias) for u in of] or np.zeros(0))
+        for i in np.flatnonzero(np.isneginf(best)):
+            best[i] = m.every(sorted(of[i])).max()
+        return m.probability(best)
+
+
+def _scored(docs: DataFrame, machine: Machine | None) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(machine)
     names = [c for c in docs.columns if c not in ("score", "predicted")]
     schema = docs.select(*names).schema.add("score", "double").add("predicted", "integer")
@@ -407,9 +445,20 @@ def score(docs: DataFrame, machine: Machine | None) -> DataFrame:
     return docs.select(*names).mapInArrow(run, schema)
 
 
+def score(docs: DataFrame, machine: Machine | None) -> DataFrame:
+    """docs with score (double) and predicted (int) added, other columns as they are; written in the shared folder."""
+    return keep(_scored(docs, machine), "scored", 500)
+
+
+def scores(docs: DataFrame, machine: Machine | None, key: str = "doc_id") -> DataFrame:
+    """(key, score, predicted) per row of docs: score() without the texts."""
+    return keep(_scored(docs.select(key, "text"), machine).select(key, "score", "predicted"), "scores", 500)
+
+
 def clean(docs: DataFrame, machine: Machine | None) -> DataFrame:
     """docs without those that the machine rejects; all columns stay as they are."""
     names = docs.columns
-    plain = docs.withColumnsRenamed({c: f"_kept_{c}" for c in names if c in ("score", "predicted")})
-    kept = score(plain, machine).where("predicted = 0").drop("score", "predicted")
-    return kept.withColumnsRenamed({f"_kept_{c}": c for c in names}).select(*names)
+    new = dict(zip(names, fresh([*names, "score", "predicted"], *names)))
+    plain = docs.withColumnsRenamed({c: new[c] for c in names if c.lower() in ("score", "predicted")})
+    kept = _scored(plain, machine).where("predicted = 0").drop("score", "predicted")
+    return keep(kept.withColumnsRenamed({v: k for k, v in new.items()}).select(*names), "not-toxic", 500)
