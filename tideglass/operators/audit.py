@@ -49,8 +49,8 @@ def signal_audit(signals: DataFrame) -> DataFrame:
     return _row(rows, "A6", "1A", gap >= 1, gap)
 
 
-def quality_audits(facts: DataFrame) -> DataFrame:
-    """Checks B and D over one row of facts; a missing fact fails its check."""
+def quality_audits(facts: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Checks B and D over each row of facts, with its keys; a missing fact fails its check."""
     tests = [
         ("B1", "1B", "stamp_duty > 0 and commission_rate >= 0.00025 and slippage_bps >= 2"),
         ("B2", "1B", "n_steps >= 3"),
@@ -64,7 +64,7 @@ def quality_audits(facts: DataFrame) -> DataFrame:
         ("D5", "3", "sharpe < 2.5"),
     ]
     rows = F.array(*[F.struct(F.lit(c).alias("check_id"), F.lit(p).alias("phase"), F.coalesce(F.expr(e), F.lit(False)).alias("passed"), F.lit(e).alias("detail")) for c, p, e in tests])
-    return facts.select(F.inline(rows))
+    return facts.select(*keys, F.inline(rows))
 
 
 def gate(results: DataFrame, order: tuple[str, ...] = ("1A", "1B", "2", "3")) -> DataFrame:
@@ -87,7 +87,7 @@ def run_audits(run: dict[str, DataFrame]) -> DataFrame:
 
 
 def run_metrics(rets: DataFrame) -> DataFrame:
-    """One row: Sharpe without a risk-free rate, total return and volatility in percent, from (seq_no, ret)."""
+    """One row: n, Sharpe without a risk-free rate, total return and volatility in percent, from (seq_no, ret)."""
     total = (F.exp(F.sum(F.log1p("ret"))) - 1) * 100
     sharpe = F.when(F.stddev_samp("ret") > 0, F.avg("ret") / F.stddev_samp("ret") * 252**0.5).otherwise(0.0)
-    return rets.agg(sharpe.alias("sharpe"), total.alias("total_return_pct"), (F.stddev_samp("ret") * 252**0.5 * 100).alias("volatility_pct"))
+    return rets.agg(F.count("ret").alias("n"), sharpe.alias("sharpe"), total.alias("total_return_pct"), (F.stddev_samp("ret") * 252**0.5 * 100).alias("volatility_pct"))

@@ -11,6 +11,8 @@ CODE_WORDS = ["fix", "bug", "ci", "workflow", "refactor", "implement", "write co
 DOC_WORDS = ["document", "report", "analysis", "spec", "summary", "explain", "describe"]
 SEARCH_WORDS = ["latest", "recent", "current", "new", "update", "news", "today", "now"]
 LEVELS = ((90, "S"), (80, "A"), (60, "B"))
+# The loop's default settings.
+LOW_GAIN, MEDIUM_GAIN, STOPS = 5.0, 10.0, 3
 
 
 def _hits(text: Column, words: list[str]) -> Column:
@@ -47,7 +49,7 @@ def weighted_scores(items: DataFrame, by: str) -> DataFrame:
 
 def response_metrics(text: Column, tokens: Column) -> dict[str, Column]:
     """test_pass_rate, boundary_coverage, compile_ok of a reply; a null reply gives zeros."""
-    body = F.length(F.trim(text))
+    body = F.length(F.regexp_replace(text, r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$", ""))
     substance = F.when(body > 200, 100.0).when(body > 50, 50.0).otherwise(0.0)
     code = F.length(text) - F.length(F.replace(text, F.lit("`"), F.lit(""))) >= 2
     failed = F.lower(text).rlike("error|failed|fail|exception|traceback")
@@ -75,11 +77,21 @@ def average_gain(scores: DataFrame, by: str, order: str, score: str = "score", l
     return ends.select(by, F.when(F.col("n") < 2, 100.0).otherwise((F.col("b") - F.col("a")) / (F.col("n") - 1)).alias("average_gain"))
 
 
-def gain_actions(rows: DataFrame, by: str, order: str, gain: str = "gain", stop_after: int = 3) -> DataFrame:
-    """rows with low_run (gains below 10 in a row) and action; a run ends with a gain of 10 or more."""
+def gain_actions(rows: DataFrame, by: str, order: str, gain: str = "gain", stop_after: int = 3, looped: bool = False) -> DataFrame:
+    """rows with low_run (gains below 10 in a row) and action; a run ends with a gain of 10 or more.
+
+    This is the evaluator alone; in the loop (`looped`) a row below 5 ends the run too, as the strategy is
+    switched, which resets the counter, or the task is stopped.
+    """
     line = W.partitionBy(by).orderBy(order)
-    rows = rows.withColumn("_island", F.sum((F.col(gain) >= 10).cast("int")).over(line.rowsBetween(W.unboundedPreceding, 0)))
+    if looped:
+        # the row that ends a run still belongs to it
+        edge = ((F.col(gain) >= 10) | (F.col(gain) < 5)).cast("int")
+        rows = rows.withColumn("_island", F.coalesce(F.sum(edge).over(line.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    else:
+        rows = rows.withColumn("_island", F.sum((F.col(gain) >= 10).cast("int")).over(line.rowsBetween(W.unboundedPreceding, 0)))
     run = F.sum((F.col(gain) < 10).cast("int")).over(W.partitionBy(by, "_island").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+    run = F.when(F.col(gain) >= 10, 0).otherwise(run)
     rows = rows.withColumn("low_run", run)
     g = F.col(gain)
     action = F.when(g >= 20, "continue").when(g >= 10, "continue_low_freq").when(g >= 5, "mark_risk").when(F.col("low_run") >= stop_after, "force_stop").otherwise("switch_strategy")
@@ -121,10 +133,22 @@ def search_query(text: Column) -> Column:
     return F.array_join(F.slice(F.filter(F.split(F.trim(text), r"\s+"), lambda w: F.length(w) > 3), 1, 5), " ")
 
 
-def queue_view(tasks: DataFrame, order: str = "seq") -> DataFrame:
-    """tasks with place: paused ones first, then pending ones in order; others have none."""
+def queue_view(tasks: DataFrame, order: str = "seq", buckets: int = 64) -> DataFrame:
+    """tasks with place: paused ones first, then pending ones in order; others have none.
+
+    Places are counted within ranges of `order` (a number) and offset by the ranges before, so that no task sees all rows.
+    """
     rank = F.when(F.col("status") == "paused", 0).when(F.col("status") == "pending", 1)
-    return tasks.withColumn("place", F.when(rank.isNotNull(), F.row_number().over(W.orderBy(rank.asc_nulls_last(), order))))
+    rows = tasks.withColumn("_rank", rank)
+    ends = F.broadcast(rows.where("_rank is not null").agg(F.min(order).alias("_low"), F.max(order).alias("_high")))
+    part = F.floor((F.col(order) - F.col("_low")) * buckets / (F.col("_high") - F.col("_low") + 1))
+    rows = rows.join(ends, F.lit(True)).withColumn("_part", F.when(F.col("_rank").isNotNull(), part)).drop("_low", "_high")
+    sizes = rows.where("_rank is not null").groupBy("_rank", "_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_rank", "_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = F.broadcast(sizes.select("_rank", "_part", before.alias("_before")))  # two rows a range at most
+    inside = F.row_number().over(W.partitionBy("_rank", "_part").orderBy(order))
+    rows = rows.withColumn("_inside", inside).join(sizes, ["_rank", "_part"], "left")
+    return rows.withColumn("place", (F.col("_before") + F.col("_inside")).cast("int")).select(*tasks.columns, "place")
 
 
 def quota_windows(events: DataFrame, ts: str = "ts", hours: int = 5, limit: int = 1000) -> DataFrame:
@@ -190,14 +214,18 @@ def tuner_snapshot(history: DataFrame, by: str) -> DataFrame:
     )
 
 
-def tuning_suggestions(snapshot: DataFrame, low: float = 5.0, medium: float = 10.0, stops: int = 3, least: int = 30) -> DataFrame:
-    """snapshot with suggestions: array<struct<parameter, current, suggested>>; none below `least` cycles."""
+def tuning_suggestions(snapshot: DataFrame, low: float = LOW_GAIN, medium: float = MEDIUM_GAIN, stops: int = STOPS, least: int = 30) -> DataFrame:
+    """snapshot with suggestions: array<struct<parameter, current, suggested>>; none below `least` cycles.
+
+    low, medium and stops are the current settings; suggested values scale the defaults, and a threshold is only
+    lowered, the limit of stops only raised.
+    """
     tip = lambda name, now, new: F.struct(F.lit(name).alias("parameter"), F.lit(float(now)).alias("current"), F.lit(float(new)).alias("suggested"))
     g = F.col("avg_marginal_gain")
     tips = F.array(
-        F.when((g > 0) & (g < 10), tip("low_gain_threshold", low, max(2.0, low * 0.6))),
-        F.when(F.col("force_stop_rate") > 0.3, tip("consecutive_stop_limit", stops, min(6, stops + 1))),
-        F.when((F.col("avg_completion") < 50) & (F.col("strategy_switch_rate") > 0.2), tip("medium_gain_threshold", medium, max(5.0, medium * 0.7))),
+        F.when((g > 0) & (g < 10) & F.lit(max(2.0, LOW_GAIN * 0.6) < low), tip("low_gain_threshold", low, max(2.0, LOW_GAIN * 0.6))),
+        F.when((F.col("force_stop_rate") > 0.3) & F.lit(min(6, STOPS + 1) > stops), tip("consecutive_stop_limit", stops, min(6, STOPS + 1))),
+        F.when((F.col("avg_completion") < 50) & (F.col("strategy_switch_rate") > 0.2), tip("medium_gain_threshold", medium, max(5.0, MEDIUM_GAIN * 0.7))),
     )
     none = F.array().cast("array<struct<parameter:string,current:double,suggested:double>>")
     return snapshot.withColumn("suggestions", F.when(F.col("n_cycles") < least, none).otherwise(F.filter(tips, lambda t: t.isNotNull())))
@@ -205,7 +233,7 @@ def tuning_suggestions(snapshot: DataFrame, low: float = 5.0, medium: float = 10
 
 def lease_outcomes(runs: DataFrame, ttl: float = 600.0) -> DataFrame:
     """runs (task, owner, started, ended) with outcome: skip while another owner's lease holds, interrupted past the time limit."""
-    line = W.partitionBy("task").orderBy("started")
+    line = W.partitionBy("task").orderBy("started", *[c for c in ("event_id",) if c in runs.columns])
     held = F.max(F.least(F.coalesce("ended", F.col("started") + ttl), F.col("started") + ttl)).over(line.rowsBetween(W.unboundedPreceding, -1))
     late = F.coalesce("ended", F.lit(float("inf"))) - F.col("started") > ttl
     return runs.withColumn("outcome", F.when(F.coalesce(held > F.col("started"), F.lit(False)), "skip").when(late, "interrupted").otherwise("success"))

@@ -11,13 +11,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BEAR = ("BEAR", "0", "HIGH_VOL")
+#: Outcomes that credit() folds in one array.
+CHUNK = 1024
 # Words that make a failed item critical.
 CRITICAL = ["前视偏差", "Purging", "全局", "过拟合"]
 
 # Fixed values: (marker, any of these words, all of these words, none of these words, check).
 RULES: list[tuple[str, list[str], list[str], list[str], str]] = [
-    ("LOOKAHEAD", ["Purging", "purge"], [], [], "purge_gap"),
-    ("LOOKAHEAD", ["Embargo", "embargo"], [], [], "embargo"),
+    ("LOOKAHEAD", ["purging", "purge"], [], [], "purge_gap"),
+    ("LOOKAHEAD", ["embargo"], [], [], "embargo"),
     ("LOOKAHEAD", [], ["HMM", "全局"], [], "no_global_scaling"),
     ("LOOKAHEAD", ["扩窗", "滚动"], [], [], "expanding"),
     ("SHORT", [">= 0", "做空"], [], [], "long_only"),
@@ -102,8 +104,10 @@ def rule_table(spark: SparkSession) -> DataFrame:
 def items_with_rules(items: DataFrame) -> DataFrame:
     """(item_no, marker, check, rule): the first matching rule of the item's marker, null for none (the item then passes)."""
     rules = F.broadcast(rule_table(items.sparkSession))
-    has = lambda a: F.exists(a, lambda w: F.contains(F.col("check"), w))
-    match = ((F.size("any_of") == 0) | has("any_of")) & F.forall("all_of", lambda w: F.contains(F.col("check"), w)) & ~has("none_of")
+    # a word of the rules is met as it stands or in lower case
+    holds = lambda w: F.contains(F.col("check"), w) | F.contains(F.lower("check"), w)
+    has = lambda a: F.exists(a, holds)
+    match = ((F.size("any_of") == 0) | has("any_of")) & F.forall("all_of", holds) & ~has("none_of")
     joined = items.join(rules, (F.col("marker") == F.col("r_marker")) & match, "left")
     return joined.groupBy("item_no", "marker", "check").agg(F.min_by("rule", "priority").alias("rule"))
 
@@ -165,17 +169,31 @@ def arbitrate(proposal: DataFrame, verdicts: DataFrame, credit: float = 0.5, key
 def credit(outcomes: DataFrame, by: str = "agent_set", order: str = "seq", start: float = 0.5, step: float = 0.01, last: int = 8) -> DataFrame:
     """(by, builder, critic, history): the clamped credit walk over each group's outcomes in order.
 
-    The fold keeps two numbers; the history is the group's last outcomes.
+    Steps clamped to [0, 1] compose: any run of them is x -> clamp(x + shift, low, high).  So chunks of CHUNK
+    outcomes are folded apart, and then a group's chunks in order; no group is gathered whole.
     """
-    rows = outcomes.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, "outcome"))), lambda x: x.outcome).alias("o"))
-    held = lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
-
-    def walk(a, x):
-        d = F.when(x > 0, step).otherwise(-step)
-        return F.struct(held(a.builder + d).alias("builder"), held(a.critic - d).alias("critic"))
-
-    both = F.aggregate("o", F.struct(F.lit(start).alias("builder"), F.lit(start).alias("critic")), walk)
-    return rows.select(by, both.builder.alias("builder"), both.critic.alias("critic"), F.slice("o", F.greatest(F.size("o") - last + 1, F.lit(1)), last).alias("history"))
+    kind = "struct<shift:double,low:double,high:double>"
+    triple = lambda s, l, h: F.struct(s.alias("shift"), l.alias("low"), h.alias("high"))  # noqa: E731, E741
+    none = triple(F.lit(0.0), F.lit(float("-inf")), F.lit(float("inf"))).cast(kind)
+    held = lambda x, l, h: F.least(F.greatest(x, l), h)  # noqa: E731, E741
+    # first a, then b
+    after = lambda a, b: triple(a.shift + b.shift, held(a.low + b.shift, b.low, b.high), held(a.high + b.shift, b.low, b.high))
+    one = lambda d: triple(d, F.lit(0.0), F.lit(1.0))
+    rows = outcomes.withColumn("_r", F.row_number().over(W.partitionBy(by).orderBy(order)) - 1)
+    d = F.when(F.col("outcome") > 0, step).otherwise(-step)
+    parts = rows.groupBy(by, F.floor(F.col("_r") / CHUNK).alias("_c")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", d.alias("d")))), lambda x: x.d).alias("o"))
+    fold = lambda sign: F.aggregate("o", none, lambda a, x: after(a, one(sign * x)))
+    parts = parts.select(by, "_c", fold(1).alias("b"), fold(-1).alias("c"))
+    whole = parts.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("_c", "b", "c"))).alias("o"))
+    value = lambda f: F.aggregate("o", none, lambda a, x: after(a, f(x)), lambda a: held(F.lit(start) + a.shift, a.low, a.high))
+    walk = whole.select(by, value(lambda x: x.b).alias("builder"), value(lambda x: x.c).alias("critic"))
+    return walk.join(latest(outcomes, by, order, "outcome", last).withColumnRenamed("latest", "history"), by)
+
+
+def latest(rows: DataFrame, by: str, order: str, value: str, n: int) -> DataFrame:
+    """(by, latest): each group's last n values in order."""
+    newest = rows.withColumn("_r", F.row_number().over(W.partitionBy(by).orderBy(F.desc(order)))).where(F.col("_r") <= n)
+    return newest.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("_r")).alias("r"), F.col(value).alias("v")))), lambda x: x.v).alias("latest"))
 
 
 def eg_weights(returns: DataFrame, eta: float = 0.1, by: tuple[str, ...] = ()) -> DataFrame:

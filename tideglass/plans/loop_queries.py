@@ -37,7 +37,7 @@ def task_type(spark, d):
 
 @query(
     "response_metrics",
-    """with b as (select conv_id, turn, case when len(trim(text, ' ')) > 200 then 100.0 when len(trim(text, ' ')) > 50 then 50.0 else 0.0 end as s,
+    """with b as (select conv_id, turn, case when len(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) > 200 then 100.0 when len(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) > 50 then 50.0 else 0.0 end as s,
   len(text) - len(replace(text, '`', '')) >= 2 as code, regexp_matches(lower(text), 'error|failed|fail|exception|traceback') as bad,
   case when contains(text, '#') or contains(text, '**') then 100.0 else 40.0 end as st, least(100.0, len(text) // 4 / 5.0) as e from conversations),
 c as (select *, case when code and not bad then 100.0 when code then 50.0 else 100.0 end as k from b)

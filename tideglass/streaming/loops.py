@@ -22,8 +22,11 @@ def _action(gain: float, run: int, stop_after: int) -> str:
     return "force_stop" if run >= stop_after else "switch_strategy"
 
 
-def gain_actions(stream: DataFrame, stop_after: int = 3) -> DataFrame:
-    """(key, seq, gain) to actions, the run of low gains kept per key: one number of state a key."""
+def gain_actions(stream: DataFrame, stop_after: int = 3, looped: bool = False) -> DataFrame:
+    """(key, seq, gain) to actions, the run of low gains kept per key: one number of state a key.
+
+    With `looped`, a gain below 5 ends the run, as the strategy is switched or the task stopped.
+    """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         run = state.get[0] if state.exists else 0
@@ -32,6 +35,7 @@ def gain_actions(stream: DataFrame, stop_after: int = 3) -> DataFrame:
             for seq, gain in part.sort_values("seq")[["seq", "gain"]].itertuples(index=False):
                 run = 0 if gain >= 10 else run + 1
                 rows.append((key[0], seq, gain, run, _action(gain, run, stop_after)))
+                run = 0 if looped and gain < 5 else run
             yield pd.DataFrame(rows, columns=["key", "seq", "gain", "low_run", "action"])
         state.update((run,))
 
