@@ -82,7 +82,7 @@ class Space:
     def __init__(self, sample: list[tuple[int, list[float]]], top: float, scale: float, pivots: int = PIVOTS):
         self.top, self.scale = top, scale
         self.ids = np.array([i for i, _ in sample], np.int64)
-        self.rows = self.quantised(np.array([v for _, v in sample], np.float64).reshape(len(sample), -1))
+        self.rows = self.quantised(np.array([v for _, v in sample], np.float64) if sample else np.zeros((0, 0)))
         at = _pivots(np.hstack((self.rows, self.rest(self.rows)[:, None])), pivots) if sample else np.zeros(0, np.int64)
         self.pivots = self.rows[at]
         self.pivot_rest = self.rest(self.pivots)
