@@ -295,8 +295,9 @@ def _near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     of_class = classes.join(seen.select("node", F.col("component").alias("c1")), "node", "left").withColumn("c1", F.coalesce("c1", "node"))
     of_class = of_class.join(final.select(F.col("node").alias("c1"), F.col("component").alias("c2")), "c1", "left")
     of_class = scratch.keep(of_class.select(*key, "rep", "node", F.coalesce("c2", "c1").alias("c")), "of-class")
-    names = of_class.where("c != node").select("c").distinct()
-    names = scratch.keep(of_class.join(names, "c", "left_semi").groupBy("c").agg(F.min("rep").alias("name")), "names")
+    # one row a component: broadcast if few, so that a giant one's classes stay spread
+    names = small(scratch.keep(of_class.where("c != node").select("c").distinct(), "linked"))
+    names = small(scratch.keep(of_class.join(names, "c", "left_semi").groupBy("c").agg(F.min("rep").alias("name")), "names"))
     of_class = of_class.join(names, "c", "left").select(*key, F.coalesce("name", "rep").alias("name"))
     out = prof.select("doc_id", *key).join(of_class, key, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("name", "doc_id"))
