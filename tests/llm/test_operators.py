@@ -182,9 +182,24 @@ def test_decontamination_brute_force(spark):
     assert got == want
     clean = decontaminate.decontaminated(docs, bench)
     assert clean.columns == docs.columns and clean.count() == sum(v[1] == 0 for v in want.values())
+    best = {}
+    for i, x in items:
+        y = words(x)
+        for k in range(max(1, len(y) - 9)) if y else ():
+            for d, t in enumerate(texts):
+                w = words(t)
+                for p in range(len(w)):
+                    n = 0
+                    while k + n < len(y) and p + n < len(w) and y[k + n] == w[p + n]:
+                        n += 1
+                    if n >= min(10, len(y)):
+                        best.setdefault((str(i), k), []).append((-n, d, p))
+    found = decontaminate.longest_matches(docs.repartition(5), bench.union(bench)).collect()
+    assert {(r.item_id, r.item_at): (-r.n_words, r.doc_id, r["at"], r.n_found) for r in found} == {k: (*min(v), len(v)) for k, v in best.items()}
+    assert max(r.n_words for r in found) > 10 and decontaminate.longest_matches(docs, bench.limit(0)).count() == 0
     index = decontaminate.Index([("a", items[0][1].encode())])
     shard = decontaminate.Shard([("x y " + items[0][1] + " z").encode()], index)
-    assert max(m[3] for m in shard.longest(index)) == 30
+    assert [(m[1], m[3]) for m in shard.longest(index, [None])] == [(30 - k, 2 + k) for k in range(21)]
     assert decontaminate.report(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
@@ -201,6 +216,28 @@ def test_language_id(spark):
     assert [got[i].lang_pred for i in (200, 201, 202)] == ["und"] * 3
 
 
+def test_language_id_counts_characters_and_joins_groups(spark):
+    # the bucket of an n-gram depends on its characters alone, wherever it stands
+    texts = ["日本 語", "Été", None, "本 語é"]
+    seen = [{} for _ in range(langid.ORDERS)]
+    for n, (at, first) in enumerate(langid.grams(texts, langid.BUCKETS)):
+        for t, a, b in zip(texts, first[:-1], first[1:]):
+            t = f" {t.lower()} " if t else ""
+            assert b - a == len(t) and all(at[a + max(0, len(t) - n) : b] == langid.BUCKETS)
+            for k in range(len(t) - n):
+                assert at[a + k] < langid.BUCKETS and seen[n].setdefault(t[k : k + n + 1], at[a + k]) == at[a + k]
+        assert len(set(seen[n].values())) == len(seen[n])
+    rng = random.Random(3)
+    letters = {"a": "абвгд", "b": "абежз", "c": "日本語字中", "d": "aeiou", "e": "aeixy"}
+    lang = {i: "abcde"[i % 5] for i in range(300)}
+    texts = [" ".join("".join(rng.choices(letters[lang[i]], k=4)) for _ in range(1 + i % 9)) for i in range(300)] + [None, "", "7!", "zzz", "字" * 60_000]
+    docs = docs_of(spark, texts, lang=lang)
+    one, many = ({r.doc_id: (r.lang_pred, round(r.score, 9)) for r in langid.identify(docs, langid.fit(docs, group=g)).collect()} for g in (128, 2))
+    assert one == many and [one[i][0] for i in (300, 301, 302, 304)] == ["und"] * 3 + ["c"]
+    held = [i for i in range(300) if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert sum(one[i][0] == lang[i] for i in held) >= 0.9 * len(held)
+
+
 def test_token_files_round_trip(spark):
     t = Tokenizer.from_file(WORD)
     texts = [*EDGE, "Hello, WORLD. don't", "<|endoftext|> x.", "É. ΑΣ. İ. 日本語!", "Hello, WORLD. don't"]

@@ -6,7 +6,7 @@ the order of their next words, the positions that can begin a benchmark window;
 next words are the start of no window can match nothing and are left out, which leaves
 every answer as it is.  Every test suffix is looked up by binary search: the run of
 equal prefixes gives all occurrences of the window at that place of the test item, and the
-neighbours in the array, compared word by word, the longest verbatim match and its location.
+runs of occurrences along one diagonal the longest verbatim match and its location (longest_matches).
 A window is 10 consecutive words of an item, or the whole of a shorter item.
 
 The benchmark's index goes to the executors in parts of at most PART items; each part is one
@@ -49,6 +49,7 @@ class Index:
 
     def __init__(self, items: list[tuple[str | None, bytes | None]], window: int = WINDOW):
         self.window = window
+        self.md5 = [hashlib.md5(t or b"").hexdigest() for _, t in items]
         self.vocabulary: dict[bytes, int] = {}
         seqs, owner, self.items = [], [], [i for i, _ in items]
         for k, (_, text) in enumerate(items):
@@ -58,7 +59,7 @@ class Index:
                 owner.append(np.full(len(ids) + 1, k, np.int64))
         seq = np.concatenate(seqs) if seqs else np.zeros(0, np.int64)
         own = np.concatenate(owner) if owner else np.zeros(0, np.int64)
-        start = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else np.zeros(0, np.int64)
+        self.start = start = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else np.zeros(0, np.int64)
         size = np.diff(np.append(start, len(seq))) - 1
         # one row per window: its words, padded with 0, and its length
         at = [s + i for s, n in zip(start, size) for i in range(max(1, n - window + 1))]
@@ -76,6 +77,11 @@ class Index:
             self.heads.append(table)
         self.short = sorted(set(self.length[self.length < _GRAM].tolist()))
 
+    def place(self, w: int) -> tuple[str | None, str, int]:
+        """The window's item, the md5 of its text, and its first word there."""
+        at, item = int(self.at[w]), int(self.owner[w])
+        return self.items[item], self.md5[item], at - int(self.start[np.searchsorted(self.start, at, "right") - 1])
+
 
 def _head(rows: np.ndarray, g: int) -> np.ndarray:
     key = np.zeros(len(rows), np.uint64)
@@ -128,24 +134,39 @@ class Shard:
         p = self.array[np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
         return w, p
 
-    def longest(self, index: Index) -> list[tuple[int, int, int, int]]:
-        """(item, place in the item's words, document, words) of each test suffix's longest verbatim match of at least a window."""
-        out = []
+    def lengths(self, index: Index, w: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Words of the verbatim match that begins at each occurrence of occurrences().
+
+        A match is longer than its window exactly if the next word's window occurs one place on, so it runs as
+        far as occurrences follow each other on their diagonal (place in the item less place in the shard).
+        """
+        at = index.at[w]
+        order = np.lexsort((at, at - p))
+        at, line = at[order], (at - p)[order]
+        follows = (np.diff(at) == 1) & (np.diff(line) == 0) if len(at) else np.zeros(0, bool)
+        # the last occurrence of each one's run
+        last = np.flatnonzero(np.append(~follows, True)) if len(at) else np.zeros(0, np.int64)
+        end = last[np.searchsorted(last, np.arange(len(at)))]
+        out = np.zeros(len(at), np.int64)
+        out[order] = end - np.arange(len(at))
+        return out + index.length[w]
+
+    def longest(self, index: Index, keys: list) -> list[tuple]:
+        """(window, words, document's key, place in its words, occurrences) of each test suffix's longest verbatim match.
+
+        Of equal matches the one in the document of the least key (null last) and there the first.
+        """
         w, p = self.occurrences(index)
-        best: dict[int, tuple[int, int]] = {}
-        for i, q in zip(w.tolist(), p.tolist()):
-            n, s = int(index.length[i]), int(index.at[i])
-            while index.seq[s + n] and index.seq[s + n] == self.seq[q + n]:
-                n += 1
-            if n > best.get(i, (0, 0))[0]:
-                best[i] = (n, q)
-        for i, (n, q) in best.items():
-            begin = int(index.at[i])
-            while begin and index.seq[begin - 1]:
-                begin -= 1
-            d = int(np.searchsorted(self.first, q, "right")) - 1
-            out.append((int(index.owner[i]), int(index.at[i]) - begin, d, n))
-        return out
+        if not len(w):
+            return []
+        n = self.lengths(index, w, p)
+        doc = np.searchsorted(self.first, p, "right") - 1
+        rank = np.empty(len(keys), np.int64)
+        rank[sorted(range(len(keys)), key=lambda d: (keys[d] is None, keys[d] or 0))] = np.arange(len(keys))
+        order = np.lexsort((p, rank[doc], -n, w))
+        first = order[np.flatnonzero(np.diff(np.concatenate(([-1], w[order]))))]
+        many = np.bincount(w)
+        return [(int(w[o]), int(n[o]), keys[doc[o]], int(p[o] - self.first[doc[o]]), int(many[w[o]])) for o in first]
 
 
 _FOUND = "n_words long, hits array<struct<at:long,n:long>>, items array<string>"
@@ -223,6 +244,50 @@ def _runner(held, names: list[str]):
     return run
 
 
+_MATCH = "item_id string, item_md5 string, item_at long, n_words long, doc_id long, at long, n_found long"
+
+
+def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The longest verbatim match of every test suffix that has one of a window or more, over all docs.
+
+    item_id, item_md5 (of the item's text; items without an id and different texts of one id stay apart), item_at (the suffix's first word,
+    from 0), n_words, doc_id and at (where the match begins; of equal ones the least doc_id, then place, null last),
+    n_found (places where the suffix's window occurs).  A task keeps one row a suffix of the part, whose size is bounded.
+    """
+    spark = docs.sparkSession
+    out = None
+    for part in _parts(benchmark.select("item_id", "text").distinct()):
+        found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_matcher(spark.sparkContext.broadcast(Index(part, window))), _MATCH)
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return keep(spark.createDataFrame([], _MATCH), "matches")
+    best = F.min(F.struct((-F.col("n_words")).alias("n"), F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("at")))
+    out = out.groupBy("item_id", "item_md5", "item_at").agg(best.alias("b"), F.sum("n_found").alias("n_found"))
+    out = out.select("item_id", "item_md5", "item_at", (-F.col("b.n")).alias("n_words"), "b.doc_id", "b.at", "n_found")
+    return keep(out, "matches", 500)
+
+
+def _matcher(held):
+    @lean
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = held.value
+        best: dict[int, tuple] = {}
+        for batch in small_batches(it):
+            rows = list(zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()))
+            for part in slices(rows, lambda r: len(r[1] or b""), SLICE):
+                for w, n, key, at, many in Shard([t for _, t in part], index).longest(index, [k for k, _ in part]):
+                    new = (-n, key is None, key or 0, at)
+                    old = best.get(w)
+                    best[w] = (min(new, old[0]), old[1] + many) if old else (new, many)
+        for at in range(0, len(best), 10_000):
+            rows = [(*index.place(w), -m[0], None if m[1] else m[2], m[3], many) for w, (m, many) in list(best.items())[at : at + 10_000]]
+            kinds = (pa.string(), pa.string(), *[pa.int64()] * 5)
+            names = [f.split()[0] for f in _MATCH.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
+
+    return run
+
+
 def _united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, n in sorted(spans):
