@@ -195,7 +195,7 @@ def test_decontamination_brute_force(spark):
                     if n >= min(10, len(y)):
                         best.setdefault((str(i), k), []).append((-n, d, p))
     found = decontaminate.longest_matches(docs.repartition(5), bench.union(bench)).collect()
-    assert {(r.item_id, r.item_at): (-r.n_words, r.doc_id, r["at"], r.n_found) for r in found} == {k: (*min(v), len(v)) for k, v in best.items()}
+    assert {(r.item_id, r.item_at): (-r.n_words, r.doc_id, r.doc_at, r.n_found) for r in found} == {k: (*min(v), len(v)) for k, v in best.items()}
     assert max(r.n_words for r in found) > 10 and decontaminate.longest_matches(docs, bench.limit(0)).count() == 0
     index = decontaminate.Index([("a", items[0][1].encode())])
     shard = decontaminate.Shard([("x y " + items[0][1] + " z").encode()], index)

@@ -244,14 +244,14 @@ def _runner(held, names: list[str]):
     return run
 
 
-_MATCH = "item_id string, item_md5 string, item_at long, n_words long, doc_id long, at long, n_found long"
+_MATCH = "item_id string, item_md5 string, item_at long, n_words long, doc_id long, doc_at long, n_found long"
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The longest verbatim match of every test suffix that has one of a window or more, over all docs.
 
     item_id, item_md5 (of the item's text; items without an id and different texts of one id stay apart), item_at (the suffix's first word,
-    from 0), n_words, doc_id and at (where the match begins; of equal ones the least doc_id, then place, null last),
+    from 0), n_words, doc_id and doc_at (where the match begins; of equal ones the least doc_id, then place, null last),
     n_found (places where the suffix's window occurs).  A task keeps one row a suffix of the part, whose size is bounded.
     """
     spark = docs.sparkSession
@@ -261,9 +261,9 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
         out = found if out is None else out.unionByName(found)
     if out is None:
         return keep(spark.createDataFrame([], _MATCH), "matches")
-    best = F.min(F.struct((-F.col("n_words")).alias("n"), F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("at")))
+    best = F.min(F.struct((-F.col("n_words")).alias("n"), F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("doc_at")))
     out = out.groupBy("item_id", "item_md5", "item_at").agg(best.alias("b"), F.sum("n_found").alias("n_found"))
-    out = out.select("item_id", "item_md5", "item_at", (-F.col("b.n")).alias("n_words"), "b.doc_id", "b.at", "n_found")
+    out = out.select("item_id", "item_md5", "item_at", (-F.col("b.n")).alias("n_words"), "b.doc_id", "b.doc_at", "n_found")
     return keep(out, "matches", 500)
 
 

@@ -93,19 +93,19 @@ with d as materialized (
   select item_id, h, k - 1 as item_at, case when len(ws) < 10 then len(ws) else 10 end as n, array_to_string(ws[k:k+9], ' ') as win
   from (select item_id, h, ws, unnest(range(1, greatest(1, len(ws) - 9) + 1)) as k from i where len(ws) > 0)
 ), dw as (
-  select r, doc_id, l.n, k - 1 as at, array_to_string(ws[k:k+l.n-1], ' ') as win
+  select r, doc_id, l.n, k - 1 as place, array_to_string(ws[k:k+l.n-1], ' ') as win
   from (select distinct n from iw) l, lateral (select r, doc_id, ws, unnest(range(1, len(ws) - l.n + 2)) as k from d where len(ws) >= l.n)
 ), occ as (
-  select item_id, h, item_at, iw.n, r, doc_id, at,
-    item_at - row_number() over (partition by item_id, h, r, item_at - at order by item_at) as run
+  select item_id, h, item_at, iw.n, r, doc_id, place,
+    item_at - row_number() over (partition by item_id, h, r, item_at - place order by item_at) as run
   from dw join iw on iw.win = dw.win and iw.n = dw.n
 ), m as (
-  select *, n + max(item_at) over (partition by item_id, h, r, item_at - at, run) - item_at as n_words from occ
+  select *, n + max(item_at) over (partition by item_id, h, r, item_at - place, run) - item_at as n_words from occ
 ), b as (
-  select *, row_number() over (partition by item_id, h, item_at order by n_words desc, doc_id nulls last, at) as k,
+  select *, row_number() over (partition by item_id, h, item_at order by n_words desc, doc_id nulls last, place) as k,
     count(*) over (partition by item_id, h, item_at) as n_found from m
 )
-select item_id, h as item_md5, item_at::bigint as item_at, n_words::bigint as n_words, doc_id, at::bigint as at, n_found::bigint as n_found
+select item_id, h as item_md5, item_at::bigint as item_at, n_words::bigint as n_words, doc_id, place::bigint as doc_at, n_found::bigint as n_found
 from b where k = 1
 """
 
