@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tideglass.llm import binary, decontaminate, langid, licenses, mixing, near_dedup, sharding, tokencount, topk, toxicity
+from tideglass.llm import binary, decontaminate, langid, licenses, mixing, near_dedup, queries, sharding, tokencount, topk, toxicity
 from tideglass.llm.hashing import shingle_sets
 from tideglass.llm.sketch import sketches
 
@@ -254,3 +254,41 @@ def test_elias_fano(n):
     v = np.sort(np.random.RandomState(n).randint(0, 9 * n, n))
     ef = binary.EliasFano.encode(v, int(v[-1]))
     assert (ef.get_many(np.arange(n)) == v).all() and all(ef.get(i) == v[i] for i in range(0, n, max(1, n // 50)))
+
+
+def test_stored_trees_take_edits_of_a_table(spark):
+    how = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    rng = random.Random(8)
+    rows = [(i, prose(rng, rng.randint(1, 400))) for i in range(40)] + [(40, None), (41, ""), (42, "it's\n\n  日本 x"), (3, "another text"), (None, "no id"), (5, "same"), (5, "same")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    put = lambda: rng.choice(["", " ", "\n", "'s", "x", " 12 new words", "é"])
+    edits = [(rng.randrange(44), k, rng.choice([None, rng.randrange(2500), -3]), rng.choice([None, 0, 1, 30, 9999]), rng.choice([None, put()])) for k in range(400)] + [(None, 0, 0, 0, "lost"), (99, 0, 0, 0, "lost")]
+    table = spark.createDataFrame(edits, "doc_id long, seq int, place int, removed int, put string")
+    encoder = tokencount.Encoder(*how)
+    now = tokencount.trees(docs, *how)
+    want = {(i, t or "", i, t or ""): 2 if t == "same" else 1 for i, t in rows}
+    assert now.count() == len(want) == now.select("tree_id").distinct().count()
+    for part in (table.where("seq < 200"), table.where("seq >= 200"), table.limit(0)):
+        before, now = now, tokencount.apply_edits(now, part, *how)
+        todo, next_ = [tuple(r) for r in part.orderBy("seq").collect()], {}
+        for (i, t, key, first), n in want.items():
+            for j, _, place, removed, new in todo:
+                if i is not None and j == i:
+                    a = min(max(len(t) if place is None else place, 0), len(t))
+                    t = t[:a] + (new or "") + t[a + min(max(removed or 0, 0), len(t) - a) :]
+            next_[i, t, key, first] = n
+        want = next_
+        got = now.collect()
+        assert sorted((str(r.doc_id), r.text, r.n_rows, r.n_tokens) for r in got) == sorted((str(i), t, n, sum(encoder.counts(encoder.split(t)))) for (i, t, _, _), n in want.items())
+        assert {r.tree_id for r in got} == {r.tree_id for r in before.collect()}
+        for r in got:
+            assert tokencount.Document.stored(r.text, r.lengths, r.counts, encoder).tokens == r.n_tokens and sum(np.frombuffer(r.lengths, "<u4")) == len(r.text)
+    assert sum(r.n_edits for r in got) == 0 and sum(r.n_reencoded for r in got) == 0
+
+
+def test_edits_of_the_query_are_those_of_the_script(spark):
+    docs = spark.createDataFrame([(i, "ab c" * (i % 40)) for i in range(80)] + [(80, None)], "doc_id long, text string")
+    got: dict = {}
+    for r in queries._script(docs).orderBy("doc_id", "seq").collect():
+        got.setdefault(r.doc_id, []).append((r.place, r.removed, r.put))
+    assert got == {i: tokencount.script("ab c" * (i % 40), str(i)) for i in range(80) if i % 40}

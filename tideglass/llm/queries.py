@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideglass.llm import binary, decontaminate, langid, licenses, mixing, near_dedup, sharding, tokencount, topk, toxicity
-from tideglass.llm.shared import crc_mod, table
+from tideglass.llm.shared import crc_mod, drop, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -217,3 +217,28 @@ def op6_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_edit_aware_counts"] = op6_edit_aware_counts
+
+
+def _script(docs: DataFrame) -> DataFrame:
+    """The edits of tokencount.script as a table."""
+    h, n = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.length("text").cast("long")
+    edit = lambda seq, place, removed, put: F.struct(F.lit(seq).alias("seq"), place.cast("long").alias("place"), removed.cast("long").alias("removed"), put.alias("put"))
+    half = F.floor(n / 2)
+    note = F.concat(F.lit(" ["), (h % 9973).cast("string"), F.lit("] revised "))
+    odd = h % 2 == 1
+    end = edit(2, F.when(odd, n).otherwise(F.greatest(n - 40, F.lit(0))), F.when(odd, 0).otherwise(15), F.when(odd, " The end.").otherwise(""))
+    three = F.array(edit(0, half, F.least(half, 20 + h % 60), F.lit("")), edit(1, h % (n + 1), F.lit(0), note), end)
+    return docs.where(F.length("text") > 0).select("doc_id", F.inline(three))
+
+
+def op6_stored_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs, how = table(spark, sf_dir, "documents").select("doc_id", "text"), (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    stored = tokencount.trees(docs, *how)
+    edited = tokencount.apply_edits(stored, _script(docs), *how)
+    drop(stored)
+    return edited.select("doc_id", "n_rows", "n_tokens", "n_edits", "n_reencoded")
+
+
+QUERIES["op6_stored_trees"] = op6_stored_trees

@@ -11,6 +11,10 @@ these, splices them in and updates the sums on the path to the root.
 The pre-tokeniser has no state but its position, so equal text from a common boundary on gives
 equal pieces: counts after edits equal those of a full encoding.
 
+trees() writes the trees of a table of documents as a table, one for each distinct (doc_id, text), and apply_edits() applies a table
+of edits to stored trees: texts are not encoded again beyond what the edits touch, and the result is such a table, ready for
+the next edits.  Edits meet their trees by a shuffle of the touched trees alone and run through a task one by one.
+
 Cases: null and empty texts have 0 tokens; an edit outside the text is clipped to it; an
 empty edit changes nothing; rows are treated one by one, so repeated ids do no harm; further columns stay.
 """
@@ -24,9 +28,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tideglass.llm.hashing import slices
-from tideglass.llm.shared import SLICE, keep, lean, small_batches
+from tideglass.llm.shared import SLICE, keep, lean, semi, small_batches
 
 BLOCK = 64
 #: Characters behind a piece that can decide where it ends (a contraction of two letters, one blank more).
@@ -88,6 +93,19 @@ class Document:
         for i in range(self.leaves - 1, 0, -1):
             self.tree[i] = self.tree[2 * i] + self.tree[2 * i + 1]
 
+    @classmethod
+    def stored(cls, text: str, lengths: bytes, counts: bytes, encoder: Encoder) -> Document:
+        """The document whose pieces' lengths and counts pack() gave; nothing is encoded."""
+        d = cls.__new__(cls)
+        d.text, d.encoder = text, encoder
+        d._build(np.frombuffer(lengths, "<u4").astype(np.int64), np.frombuffer(counts, "<u4").astype(np.int64))
+        return d
+
+    def pack(self) -> tuple[bytes, bytes]:
+        """The lengths and counts of all pieces."""
+        flat = (np.concatenate([b[i] for b in self.blocks]).astype("<u4").tobytes() for i in range(2))
+        return next(flat), next(flat)
+
     @property
     def tokens(self) -> int:
         return int(self.tree[1, 1])
@@ -216,3 +234,88 @@ def count_edited(docs: DataFrame, ranks: str, pattern: str, edits=script) -> Dat
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *columns], [*names, *more])
 
     return keep(docs.select(*names).mapInArrow(run, schema), "counts", 500)
+
+
+_TREE = "doc_id long, tree_id string, n_rows long, text string, n_tokens long, lengths binary, counts binary"
+_EDITED = f"{_TREE}, n_edits long, n_reencoded long"
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[k]) for i, (_, k) in enumerate(fields)], [n for n, _ in fields])
+
+
+def trees(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
+    """The stored trees of docs (doc_id, text): one for each distinct (doc_id, text), n_rows rows of docs.
+
+    tree_id names a tree for good, whatever edits come; lengths and counts hold the characters and tokens of each
+    piece, from which the sums are built when it is read.  A null text is kept as an empty one.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.groupBy("doc_id", "text").agg(F.count("*").alias("n_rows"))
+    rows = rows.select("doc_id", F.md5(F.encode(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "text"), "UTF-8")).alias("tree_id"), "n_rows", "text")
+
+    @lean
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(ranks, pattern)
+        for batch in small_batches(it):
+            columns = [batch.column(c).to_pylist() for c in ("doc_id", "tree_id", "n_rows", "text")]
+            for part in slices(zip(*columns), lambda r: len(r[3]), SLICE):
+                out = []
+                for r in part:
+                    d = Document(r[3], encoder)
+                    out.append((*r, d.tokens, *d.pack()))
+                yield _batch(out, _TREE)
+
+    return keep(rows.mapInArrow(run, _TREE), "trees", 500)
+
+
+def apply_edits(stored: DataFrame, edits: DataFrame, ranks: str, pattern: str) -> DataFrame:
+    """Stored trees after edits (doc_id, seq, place, removed, put), with n_edits and n_reencoded (pieces encoded again) added.
+
+    The edits of an id are applied to each of its trees in the order of seq (equal ones: place, removed, put); places count
+    characters of the text as the edits before have left it.  A null place is the end of the text, a null removed 0,
+    a null put nothing.  Edits of ids without a tree and edits without an id do nothing.
+    """
+    names = [f.split()[0] for f in _TREE.split(", ")]
+    stored = stored.select(*names)
+    edits = edits.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("seq").cast("long").alias("seq"), F.col("place").cast("long").alias("place"), F.col("removed").cast("long").alias("removed"), "put")
+    touched = edits.select("doc_id").distinct()
+    n = touched.count()
+    whole = stored.where("doc_id is not null")
+    rest = semi(whole, touched, "doc_id", anti=True, rows=n).unionByName(stored.where("doc_id is null"))
+    some = semi(whole, touched, "doc_id", rows=n)
+    # a tree comes before its edits
+    order = ["tree_id", "is_edit", "seq", "place", "removed", "put"]
+    both = some.withColumn("is_edit", F.lit(False)).unionByName(edits.join(some.select("doc_id", "tree_id"), "doc_id").withColumn("is_edit", F.lit(True)), allowMissingColumns=True)
+    both = both.select(*names, *order[1:]).repartition("tree_id").sortWithinPartitions(*order)
+
+    @lean
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(ranks, pattern)
+        now, of, n, done, out, size = None, None, 0, 0, [], 0
+
+        def closed() -> tuple:
+            return (of["doc_id"], of["tree_id"], of["n_rows"], now.text, now.tokens, *now.pack(), n, encoder.encoded - done)
+
+        for batch in small_batches(it, 100):
+            for r in batch.to_pylist():
+                if r["is_edit"]:
+                    now.edit(len(now.text) if r["place"] is None else r["place"], r["removed"] or 0, r["put"] or "")
+                    n += 1
+                    continue
+                if now is not None:
+                    out.append(closed())
+                    size += len(now.text)
+                now, of, n, done = Document.stored(r["text"], r["lengths"], r["counts"], encoder), r, 0, encoder.encoded
+                if size > SLICE:
+                    yield _batch(out, _EDITED)
+                    out, size = [], 0
+        if now is not None:
+            out.append(closed())
+        if out:
+            yield _batch(out, _EDITED)
+
+    new = both.mapInArrow(run, _EDITED).unionByName(rest.withColumn("n_edits", F.lit(0).cast("long")).withColumn("n_reencoded", F.lit(0).cast("long")))
+    return keep(new, "edited", 500)
