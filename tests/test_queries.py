@@ -26,7 +26,7 @@ def plain(x):
     return float(x) if hasattr(x, "__float__") and not isinstance(x, (bool, str)) else x
 
 
-@pytest.mark.parametrize("name", sorted(set(more_queries.ORACLE_SQL) - {"run_metrics", "benchmark_cagr", "fit_audits"}) + ["response_metrics"])
+@pytest.mark.parametrize("name", sorted(set(more_queries.ORACLE_SQL) - {"run_metrics", "benchmark_cagr", "fit_audits", "trust_context"}) + ["response_metrics"])
 def test_query_equals_its_sql(spark, con, name):
     df = registry.QUERIES[name](spark, SF)
     names = sorted(df.columns)

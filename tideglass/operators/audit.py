@@ -91,3 +91,20 @@ def run_metrics(rets: DataFrame) -> DataFrame:
     total = (F.exp(F.sum(F.log1p("ret"))) - 1) * 100
     sharpe = F.when(F.stddev_samp("ret") > 0, F.avg("ret") / F.stddev_samp("ret") * 252**0.5).otherwise(0.0)
     return rets.agg(F.count("ret").alias("n"), sharpe.alias("sharpe"), total.alias("total_return_pct"), (F.stddev_samp("ret") * 252**0.5 * 100).alias("volatility_pct"))
+
+
+def trust_context(run: dict[str, DataFrame]) -> DataFrame:
+    """One row of what the checks read: n_steps, intervals (one a step), embargoes, signals, and the curve's metrics in percent.
+
+    The metrics are null where returns do not vary.  A run has at most 100 steps, a row each.
+    """
+    from tideglass.operators import backtest
+
+    steps = run["steps"].agg(F.count("*").alias("n_steps"), F.sort_array(F.collect_list(F.struct("step", "train_end", "test_start", "test_end"))).alias("intervals"))
+    logs = [run[t].agg(F.count("*").alias(n)) for t, n in (("embargo", "n_embargoes"), ("signals", "n_signals"))]
+    so_far = W.orderBy("step", "seq").rowsBetween(W.unboundedPreceding, 0)
+    fall = run["equity"].select((F.col("equity") / F.max("equity").over(so_far) - 1).alias("f")).agg((F.min("f") * 100).alias("max_drawdown_pct"))
+    found = run_metrics(backtest.equity_returns(run["equity"])).crossJoin(fall)
+    varies = F.col("volatility_pct") > 0
+    found = found.select(*[F.when(varies, F.col(c)).alias(c) for c in ("sharpe", "total_return_pct", "volatility_pct", "max_drawdown_pct")])
+    return reduce(lambda a, b: a.crossJoin(b), [*logs, found], steps)

@@ -239,6 +239,25 @@ def lease_outcomes(runs: DataFrame, ttl: float = 600.0) -> DataFrame:
     return runs.withColumn("outcome", F.when(F.coalesce(held > F.col("started"), F.lit(False)), "skip").when(late, "interrupted").otherwise("success"))
 
 
+def hybrid_route(task_level: Column, score: Column, gain: Column, index: Column, bottleneck: float = 30.0, low: float = 10.0) -> Column:
+    """`judge` or `rule`, by which a task is scored: L1 tasks are judged, L2 ones once their rule score is stuck after a switch."""
+    stuck = F.coalesce((score < bottleneck) & (gain < low) & (index > 0), F.lit(False))
+    return F.when((task_level == "L1") | ((task_level == "L2") & stuck), "judge").otherwise("rule")
+
+
+def sweep_stale(runs: DataFrame, now: float, max_age: float = 600.0) -> DataFrame:
+    """runs (status, started, finished) with queued or running ones older than max_age interrupted at `now`; unstarted ones have no age."""
+    live = F.col("status").isin("queued", "running")
+    stale = F.coalesce(live & (F.lit(now) - F.col("started") > max_age), F.lit(False))
+    return runs.withColumns({"status": F.when(stale, "interrupted").otherwise(F.col("status")), "finished": F.when(stale, F.lit(now)).otherwise(F.col("finished"))})
+
+
+def run_budget(runs: DataFrame, by: str, limit: int = 10) -> DataFrame:
+    """(by, active, has_budget): queued and running runs, and whether one more may start."""
+    active = F.count_if(F.col("status").isin("queued", "running"))
+    return runs.groupBy(by).agg(active.alias("active"), (active < limit).alias("has_budget"))
+
+
 def status_totals(tasks: DataFrame) -> DataFrame:
     return tasks.groupBy("status").agg(F.count("*").alias("tasks"))
 

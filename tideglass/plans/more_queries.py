@@ -237,3 +237,41 @@ def run_metrics(spark, d):
     rets = backtest.equity_returns(loop_queries._run(spark, d)["equity"])
     rows = audit.run_metrics(rets)
     return rows.select("n", *[F.round(c, 6).alias(c) for c in ("sharpe", "total_return_pct", "volatility_pct")])
+
+
+@query(
+    "trust_context",
+    f"""{_RUN}, er as (select seq_no, ret from (select row_number() over (order by step, seq) as seq_no, equity / lag(equity) over (order by step, seq) - 1 as ret from eq) where ret is not null)
+select (select count(*) from steps) as n_steps, (select count(*) from steps)::int as n_intervals, round(avg(ret) / stddev_samp(ret) * sqrt(252), 6) as sharpe, round((exp(sum(ln(1 + ret))) - 1) * 100, 6) as total_return_pct,
+  round(stddev_samp(ret) * sqrt(252) * 100, 6) as volatility_pct, round((select min(f) from (select equity / max(equity) over (order by step, seq rows unbounded preceding) - 1 as f from eq)) * 100, 6) as max_drawdown_pct from er""",
+)
+def trust_context(spark, d):
+    rows = audit.trust_context(loop_queries._run(spark, d))
+    return rows.select("n_steps", F.size("intervals").alias("n_intervals"), *[F.round(c, 6).alias(c) for c in ("sharpe", "total_return_pct", "volatility_pct", "max_drawdown_pct")])
+
+
+@query("hybrid_route", f"with {_GAIN} select event_id, case when user_id % 3 = 0 or (user_id % 3 = 1 and value < 30 and gain < 10 and event_id % 4 > 0) then 'judge' else 'rule' end as route from gn")
+def hybrid_route(spark, d):
+    rows = control.gains(table(spark, d, "events"), "user_id", "event_id", "value")
+    task_level = F.element_at(F.array(F.lit("L1"), F.lit("L2"), F.lit("L3")), (F.col("user_id") % 3 + 1).cast("int"))
+    return rows.select("event_id", control.hybrid_route(task_level, F.col("value"), F.col("gain"), F.col("event_id") % 4).alias("route"))
+
+
+_RUNS = "ru as (select event_id, user_id, case event_type when 'click' then 'queued' when 'view' then 'running' else 'success' end as status, case when value >= 1 then value * 20 end as started, null::double as finished from events)"
+_SWEPT = f"{_RUNS}, sw as (select * replace (case when status in ('queued', 'running') and 1500.0 - started > 600 then 'interrupted' else status end as status, case when status in ('queued', 'running') and 1500.0 - started > 600 then 1500.0::double else finished end as finished) from ru)"
+
+
+def _swept(spark, d):
+    status = F.when(F.col("event_type") == "click", "queued").when(F.col("event_type") == "view", "running").otherwise("success")
+    runs = table(spark, d, "events").select("event_id", "user_id", status.alias("status"), F.when(F.col("value") >= 1, F.col("value") * 20).alias("started"), F.lit(None).cast("double").alias("finished"))
+    return control.sweep_stale(runs, 1500.0)
+
+
+@query("stale_sweep", f"with {_SWEPT} select event_id, status, finished from sw")
+def stale_sweep(spark, d):
+    return _swept(spark, d).select("event_id", "status", "finished")
+
+
+@query("run_budget", f"with {_SWEPT} select user_id, count(*) filter (status in ('queued', 'running')) as active, count(*) filter (status in ('queued', 'running')) < 3 as has_budget from sw group by user_id")
+def run_budget(spark, d):
+    return control.run_budget(_swept(spark, d), "user_id", 3)

@@ -108,15 +108,29 @@ select n, round(tr, 6) as total_return, round(ar, 6) as annual_return, round(vol
 from ci""",
 )
 def metrics_full(spark, d):
-    rows = metrics.record(_port(spark, d), n_trials=4)
+    return _rounded(metrics.record(_port(spark, d), n_trials=4))
+
+
+def _rounded(rows: DataFrame) -> DataFrame:
     six = ["total_return", "annual_return", "volatility", "sharpe", "sharpe_ci_lower", "sharpe_ci_upper", "sortino", "calmar", "max_drawdown", "win_rate", "profit_factor", "excess_return", "skewness", "kurtosis", "rolling_sharpe_12m", "var_95", "cvar_95"]
     return rows.select("n", *[_r(c, 6) for c in six], _r("deflated_sharpe", 5), "max_dd_duration_days", _r("period_return_mean"), _r("period_vol"), "freq")
 
 
-@query("metrics_weekly")
+def _weekly_sql() -> str:
+    """metrics_full over weeks, which are counted as months; one trial, which is not deflated."""
+    sql = ORACLE_SQL["metrics_full"]
+    for a, b in (
+        ("select l_shipdate::date as dt", "select date_trunc('week', l_shipdate)::date as dt"), ("252.0 as ann", "12.0 as ann"), ("least(252, n // 2)", "least(12, n // 2)"), ("251 preceding", "11 preceding"),
+        ("i >= 252", "i >= 12"), ("sqrt(252)", "sqrt(12)"), ("'daily'", "'monthly'"), ("least(greatest((sh - sg * sqrt(2 * ln(4.0))) / sg, -50), 50)", "sh"),
+    ):
+        sql = sql.replace(a, b)
+    return sql
+
+
+@query("metrics_weekly", _weekly_sql())
 def metrics_weekly(spark, d):
     rets = panel.returns(daily_panel(spark, d, weekly=True))
-    return metrics.record(metrics.series(panel.portfolio(rets))).drop("series_id")
+    return _rounded(metrics.record(metrics.series(panel.portfolio(rets))))
 
 
 @query("metrics_by_asset", f"with {_BASE} select asset, count(*) as n, round(exp(sum(ln(1 + ret))) - 1, 6) as total_return, round(stddev_samp(ret) * sqrt(252), 6) as volatility, round(quantile_cont(ret, 0.05), 6) as var_95 from rets group by asset")
