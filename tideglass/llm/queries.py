@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideglass.llm import binary, decontaminate, langid, licenses, mixing, near_dedup, sharding, tokencount, topk, toxicity
+from tideglass.llm import binary, decontaminate, langid, licenses, mixing, near_dedup, rewrite, sharding, tokencount, topk, toxicity, variants, warc
 from tideglass.llm.shared import crc_mod, drop, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -242,3 +242,24 @@ def op6_stored_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_stored_trees"] = op6_stored_trees
+
+
+def op11_dictionary_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+QUERIES["op11_dictionary_warc"] = op11_dictionary_warc
+
+
+def op12_merge_sort_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rewrite.sorted_and_rewritten(table(spark, sf_dir, "clients"))
+
+
+QUERIES["op12_merge_sort_rewrite"] = op12_merge_sort_rewrite
+
+
+def op13_rare_first_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+QUERIES["op13_rare_first_variants"] = op13_rare_first_variants

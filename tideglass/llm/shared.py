@@ -107,10 +107,15 @@ class Scratch:
         while self.paths:
             delete(self.spark, self.paths.pop())
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def folder(self, name: str) -> str:
+        """A path of its own for files that tasks write themselves."""
         self.paths.append(new_path(self.spark, name))
-        df.write.parquet(self.paths[-1])
-        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+        return self.paths[-1]
+
+    def keep(self, df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
+        path = self.folder(name)
+        df.write.options(**(options or {})).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
