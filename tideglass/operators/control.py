@@ -231,14 +231,6 @@ def tuning_suggestions(snapshot: DataFrame, low: float = LOW_GAIN, medium: float
     return snapshot.withColumn("suggestions", F.when(F.col("n_cycles") < least, none).otherwise(F.filter(tips, lambda t: t.isNotNull())))
 
 
-def lease_outcomes(runs: DataFrame, ttl: float = 600.0) -> DataFrame:
-    """runs (task, owner, started, ended) with outcome: skip while another owner's lease holds, interrupted past the time limit."""
-    line = W.partitionBy("task").orderBy("started", *[c for c in ("event_id",) if c in runs.columns])
-    held = F.max(F.least(F.coalesce("ended", F.col("started") + ttl), F.col("started") + ttl)).over(line.rowsBetween(W.unboundedPreceding, -1))
-    late = F.coalesce("ended", F.lit(float("inf"))) - F.col("started") > ttl
-    return runs.withColumn("outcome", F.when(F.coalesce(held > F.col("started"), F.lit(False)), "skip").when(late, "interrupted").otherwise("success"))
-
-
 def hybrid_route(task_level: Column, score: Column, gain: Column, index: Column, bottleneck: float = 30.0, low: float = 10.0) -> Column:
     """`judge` or `rule`, by which a task is scored: L1 tasks are judged, L2 ones once their rule score is stuck after a switch."""
     stuck = F.coalesce((score < bottleneck) & (gain < low) & (index > 0), F.lit(False))

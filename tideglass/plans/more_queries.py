@@ -98,18 +98,6 @@ def executor_stats(spark, d):
     return control.executor_stats(table(spark, d, "events").select("event_type", (F.col("value") < 5).alias("is_error")), "event_type")
 
 
-@query(
-    "lease_outcomes",
-    """with r as (select event_id, event_type as task, epoch(ts) as started, epoch(ts) + value * 20 as ended from events),
-h as (select *, max(least(ended, started + 600)) over (partition by task order by started, event_id rows between unbounded preceding and 1 preceding) as held from r)
-select event_id, case when coalesce(held > started, false) then 'skip' when ended - started > 600 then 'interrupted' else 'success' end as outcome from h""",
-)
-def lease_outcomes(spark, d):
-    started = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    runs = table(spark, d, "events").select("event_id", F.col("event_type").alias("task"), started.alias("started"), (started + F.col("value") * 20).alias("ended"))
-    return control.lease_outcomes(runs).select("event_id", "outcome")
-
-
 @query("status_totals", "select case when value < 20 then 'paused' when value < 60 then 'pending' else 'done' end as status, count(*) as tasks from events group by 1")
 def status_totals(spark, d):
     status = F.when(F.col("value") < 20, "paused").when(F.col("value") < 60, "pending").otherwise("done")
