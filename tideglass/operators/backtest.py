@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tideglass.functions.stats import trade_cost
 from tideglass.operators import schedule
+from tideglass.operators.ordered import running
 
 CAPITAL = 1_000_000.0
 COST_CAP = 0.005
@@ -148,13 +149,16 @@ def cpcv_summary(sharpes: DataFrame) -> DataFrame:
     return sharpes.agg(F.count("*").alias("n_paths"), F.avg("sharpe").alias("mean_sharpe"), F.percentile("sharpe", F.lit(0.5)).alias("median_sharpe"), F.stddev_pop("sharpe").alias("std_sharpe"), F.avg((F.col("sharpe") > 0).cast("double")).alias("pct_positive"))
 
 
-def cycle_outcomes(rets: DataFrame, cycles: int) -> DataFrame:
-    """(cycle, outcome, n): mean of each of `cycles` equal slices of the returns (seq_no, ret) in order; the last takes the rest."""
-    rows = rets.withColumn("_i", F.row_number().over(W.orderBy("seq_no")) - 1)  # one row a trading day
-    total = F.count("*").over(W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    # slice c begins at floor(c * total / cycles); the last slice holding i has the greatest such c
-    slice_ = F.least(F.floor(((F.col("_i") + 1) * cycles - 1) / F.col("_n")), F.lit(cycles - 1))
-    return rows.withColumn("_n", total).groupBy(slice_.cast("int").alias("cycle")).agg(F.avg("ret").alias("outcome"), F.count("*").alias("n"))
+def cycle_outcomes(rets: DataFrame, cycles: int, width: int = 10_000) -> DataFrame:
+    """(cycle, outcome, n): mean of each of `cycles` equal slices of the returns (seq_no, ret) in order; the last takes the rest.
+
+    Rows are numbered within cells of `width` of seq_no, an integer, and offset by the cells before; their number is one broadcast row.
+    """
+    rows = running(rets.withColumn("_all", F.lit(0)), ["_all"], ["seq_no"], F.lit(1), "_i", width, how="sum")
+    rows = rows.join(F.broadcast(rets.agg(F.count("*").alias("_n"))), F.lit(True))
+    # slice c begins at floor(c * total / cycles); the last slice holding a row has the greatest such c
+    slice_ = F.least(F.floor((F.col("_i") * cycles - 1) / F.col("_n")), F.lit(cycles - 1))
+    return rows.groupBy(slice_.cast("int").alias("cycle")).agg(F.avg("ret").alias("outcome"), F.count("*").alias("n"))
 
 
 def benchmarks(rets: DataFrame, assets: DataFrame, index_like: str = "510300") -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tideglass.operators.ordered import running
+
 # Words by which a task's type, an error and a need to search are told.
 CODE_WORDS = ["fix", "bug", "ci", "workflow", "refactor", "implement", "write code", "function", "class", "method", "test"]
 DOC_WORDS = ["document", "report", "analysis", "spec", "summary", "explain", "describe"]
@@ -98,30 +100,57 @@ def gain_actions(rows: DataFrame, by: str, order: str, gain: str = "gain", stop_
     return rows.withColumn("action", action).drop("_island")
 
 
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def parse_reply(text: Column) -> dict[str, Column]:
-    """score and gain estimate of a judging reply: fenced or bare JSON, else the last number after `score`; clamped."""
+    """score and gain_estimate of a judging reply: fenced or bare JSON, else the last number after `score`; clamped.
+
+    The JSON is read as a VARIANT, so further, nested or repeated fields do no harm and numbers may be strings.  A field that is missing has
+    its default (50 and 0); one that is no number sends the reply to the pattern, as does JSON that is broken or no object.
+    A null reply gives the defaults.
+    """
+    text = F.coalesce(text, F.lit(""))
     fenced = F.regexp_replace(F.get(F.split(text, "```"), F.lit(1)), "^json", "")
-    body = F.when(F.contains(text, F.lit("```")), fenced).otherwise(text)
-    data = F.from_json(F.trim(body), "score double, marginal_gain_estimate double", {"mode": "PERMISSIVE"})
-    ok = F.trim(body).rlike(r"^\{[\s\S]*\}$") & F.get_json_object(F.trim(body), "$").isNotNull()
+    data = F.try_parse_json(_stripped(F.when(F.contains(text, F.lit("```")), fenced).otherwise(text)))
+    whole = F.coalesce(F.schema_of_variant(data).startswith("OBJECT"), F.lit(False))
+    there = F.try_variant_get(data, "$", "map<string,variant>")
+
+    def number(name: str, default: float) -> Column:
+        has = F.coalesce(F.map_contains_key(there, F.lit(name)), F.lit(False))
+        return F.when(~has, default).otherwise(F.try_variant_get(data, f"$.{name}", "double"))
+
+    score, gain = number("score", 50.0), number("marginal_gain_estimate", 0.0)
     numbers = F.regexp_extract_all(text, F.lit(r"(?i)score[\s:]*(\d+)"), F.lit(1))
-    found = F.when(F.size(numbers) > 0, F.element_at(numbers, -1).cast("double")).otherwise(50.0)
-    score = F.when(ok, F.coalesce(data.score, F.lit(50.0))).otherwise(found)
-    gain = F.when(ok, F.coalesce(data.marginal_gain_estimate, F.lit(0.0))).otherwise(0.0)
+    found = F.when(F.size(numbers) > 0, F.element_at(numbers, -1).cast("double"))
+    good = whole & score.isNotNull()
     hold = lambda x, a, b: F.least(F.greatest(x, F.lit(a)), F.lit(b))
-    return {"score": hold(score, 0.0, 100.0), "gain_estimate": hold(gain, -100.0, 100.0)}
+    told = F.when(good & gain.isNotNull(), score).otherwise(F.coalesce(found, F.when(good, score), F.lit(50.0)))
+    return {"score": hold(told, 0.0, 100.0), "gain_estimate": hold(F.when(good & gain.isNotNull(), gain).otherwise(0.0), -100.0, 100.0)}
 
 
 def parse_search(text: Column, n: int = 5) -> Column:
-    """array<struct<rank, title, url, snippet>> of a search reply: JSON list, fenced or bare, else urls and titles by pattern."""
-    tick = F.get(F.split(text, "`+(?:json)?"), F.lit(1))
-    body = F.trim(F.when(F.contains(text, F.lit("`")), tick).otherwise(text))
-    items = F.from_json(body, "array<struct<title:string,url:string,snippet:string>>")
-    typed = F.transform(F.slice(items, 1, n), lambda x, i: F.struct(i.alias("rank"), F.coalesce(x.title, F.lit("")).alias("title"), F.coalesce(x.url, F.lit("")).alias("url"), F.coalesce(x.snippet, F.lit("")).alias("snippet")))
-    urls = F.slice(F.regexp_extract_all(text, F.lit(r"https?://[^\s]+"), F.lit(0)), 1, n)
-    titles = F.regexp_extract_all(text, F.lit(r"(?i)title[:\s]+([^\n]+)"), F.lit(1))
+    """array<struct<rank, title, url, snippet>> of a search reply: a JSON list behind a `json mark, between single backticks or bare, else urls and titles by pattern.
+
+    Only what the marks enclose is read, by the pattern too.  Lists whose items are no objects are read by the pattern; a null reply
+    has no results.
+    """
+    marked = F.get(F.split(F.get(F.split(text, "`json"), F.lit(1)), "`"), F.lit(0))
+    body = F.when(F.contains(text, F.lit("`json")), marked).when(F.contains(text, F.lit("`")), F.get(F.split(text, "`"), F.lit(1))).otherwise(text)
+    data = F.try_parse_json(_stripped(body))
+    items = F.when(F.schema_of_variant(data).startswith("ARRAY"), F.try_variant_get(data, "$", "array<variant>"))
+    items = F.when(F.forall(items, lambda x: F.schema_of_variant(x).startswith("OBJECT")), items)
+
+    def part(x: Column, name: str) -> Column:
+        x = F.try_variant_get(x, "$", "map<string,variant>")
+        return F.when(F.map_contains_key(x, F.lit(name)), F.try_variant_get(F.try_element_at(x, F.lit(name)), "$", "string")).otherwise("")
+
+    typed = F.transform(F.slice(items, 1, n), lambda x, i: F.struct(i.alias("rank"), part(x, "title").alias("title"), part(x, "url").alias("url"), part(x, "snippet").alias("snippet")))
+    urls = F.slice(F.regexp_extract_all(body, F.lit(r"https?://[^\s]+"), F.lit(0)), 1, n)
+    titles = F.regexp_extract_all(body, F.lit(r"(?i)title[:\s]+([^\n]+)"), F.lit(1))
     loose = F.transform(urls, lambda u, i: F.struct(i.alias("rank"), F.coalesce(F.get(titles, i), F.substring(u, 1, 50)).alias("title"), u.alias("url"), F.lit("").alias("snippet")))
-    return F.coalesce(typed, loose)
+    return F.coalesce(typed, loose, F.array().cast("array<struct<rank:int,title:string,url:string,snippet:string>>"))
 
 
 def wants_search(text: Column) -> Column:
@@ -133,22 +162,19 @@ def search_query(text: Column) -> Column:
     return F.array_join(F.slice(F.filter(F.split(F.trim(text), r"\s+"), lambda w: F.length(w) > 3), 1, 5), " ")
 
 
-def queue_view(tasks: DataFrame, order: str = "seq", buckets: int = 64) -> DataFrame:
+def queue_view(tasks: DataFrame, order: str = "seq", width: int = 10_000) -> DataFrame:
     """tasks with place: paused ones first, then pending ones in order; others have none.
 
-    Places are counted within ranges of `order` (a number) and offset by the ranges before, so that no task sees all rows.
+    Places are counted within cells of `width` of `order` (an integer that is never null) and offset by the cells before; tasks
+    without a place are not shuffled.
     """
     rank = F.when(F.col("status") == "paused", 0).when(F.col("status") == "pending", 1)
     rows = tasks.withColumn("_rank", rank)
-    ends = F.broadcast(rows.where("_rank is not null").agg(F.min(order).alias("_low"), F.max(order).alias("_high")))
-    part = F.floor((F.col(order) - F.col("_low")) * buckets / (F.col("_high") - F.col("_low") + 1))
-    rows = rows.join(ends, F.lit(True)).withColumn("_part", F.when(F.col("_rank").isNotNull(), part)).drop("_low", "_high")
-    sizes = rows.where("_rank is not null").groupBy("_rank", "_part").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(W.orderBy("_rank", "_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    sizes = F.broadcast(sizes.select("_rank", "_part", before.alias("_before")))  # two rows a range at most
-    inside = F.row_number().over(W.partitionBy("_rank", "_part").orderBy(order))
-    rows = rows.withColumn("_inside", inside).join(sizes, ["_rank", "_part"], "left")
-    return rows.withColumn("place", (F.col("_before") + F.col("_inside")).cast("int")).select(*tasks.columns, "place")
+    ranked = running(rows.where("_rank is not null"), ["_rank"], [order], F.lit(1), "_n", width, how="sum")
+    paused = F.broadcast(rows.where("_rank = 0").agg(F.count("*").alias("_paused")))  # one row
+    place = F.when(F.col("_rank") == 0, F.col("_n")).otherwise(F.col("_n") + F.col("_paused")).cast("int")
+    ranked = ranked.join(paused, F.lit(True)).select(*tasks.columns, place.alias("place"))
+    return ranked.unionByName(rows.where("_rank is null").select(*tasks.columns, F.lit(None).cast("int").alias("place")))
 
 
 def quota_windows(events: DataFrame, ts: str = "ts", hours: int = 5, limit: int = 1000) -> DataFrame:

@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tideglass.operators.ordered import before_each, running
+from tideglass.sources.scratch import cut
+
 BEAR = ("BEAR", "0", "HIGH_VOL")
 #: Outcomes that credit() folds in one array.
 CHUNK = 1024
@@ -166,27 +169,36 @@ def arbitrate(proposal: DataFrame, verdicts: DataFrame, credit: float = 0.5, key
     return rows.select(key, "asset", (F.col("raw") / F.sum("raw").over(all_)).alias("w"), "confidence", "verdict")
 
 
-def credit(outcomes: DataFrame, by: str = "agent_set", order: str = "seq", start: float = 0.5, step: float = 0.01, last: int = 8) -> DataFrame:
-    """(by, builder, critic, history): the clamped credit walk over each group's outcomes in order.
+def _held(x: float, low: float, high: float) -> float:
+    return min(max(x, low), high)
+
+
+def _after(a: list[float], b: list[float]) -> list[float]:
+    """First a, then b: clamped steps (shift, low, high), two of them side by side."""
+    return [v for i in (0, 3) for v in (a[i] + b[i], _held(a[i + 1] + b[i], b[i + 1], b[i + 2]), _held(a[i + 2] + b[i], b[i + 1], b[i + 2]))]
+
+
+def credit(outcomes: DataFrame, by: str = "agent_set", order: str = "seq", start: float = 0.5, step: float = 0.01, last: int = 8, width: int = CHUNK) -> DataFrame:
+    """(by, builder, critic, history): the clamped credit walk over each group's outcomes in order, an integer that tells them apart.
 
-    Steps clamped to [0, 1] compose: any run of them is x -> clamp(x + shift, low, high).  So chunks of CHUNK
-    outcomes are folded apart, and then a group's chunks in order; no group is gathered whole.
+    Steps clamped to [0, 1] compose: any run of them is x -> clamp(x + shift, low, high).  So chunks of `width` numbers of
+    the order are folded apart, then level upon level; no group is sorted or gathered whole.
     """
     kind = "struct<shift:double,low:double,high:double>"
     triple = lambda s, l, h: F.struct(s.alias("shift"), l.alias("low"), h.alias("high"))  # noqa: E731, E741
     none = triple(F.lit(0.0), F.lit(float("-inf")), F.lit(float("inf"))).cast(kind)
     held = lambda x, l, h: F.least(F.greatest(x, l), h)  # noqa: E731, E741
-    # first a, then b
-    after = lambda a, b: triple(a.shift + b.shift, held(a.low + b.shift, b.low, b.high), held(a.high + b.shift, b.low, b.high))
-    one = lambda d: triple(d, F.lit(0.0), F.lit(1.0))
-    rows = outcomes.withColumn("_r", F.row_number().over(W.partitionBy(by).orderBy(order)) - 1)
+    # the clamp of one step: it moves by d, then stays within 0 and 1
+    one = lambda a, d: triple(a.shift + d, held(a.low + d, F.lit(0.0), F.lit(1.0)), held(a.high + d, F.lit(0.0), F.lit(1.0)))
     d = F.when(F.col("outcome") > 0, step).otherwise(-step)
-    parts = rows.groupBy(by, F.floor(F.col("_r") / CHUNK).alias("_c")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", d.alias("d")))), lambda x: x.d).alias("o"))
-    fold = lambda sign: F.aggregate("o", none, lambda a, x: after(a, one(sign * x)))
-    parts = parts.select(by, "_c", fold(1).alias("b"), fold(-1).alias("c"))
-    whole = parts.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("_c", "b", "c"))).alias("o"))
-    value = lambda f: F.aggregate("o", none, lambda a, x: after(a, f(x)), lambda a: held(F.lit(start) + a.shift, a.low, a.high))
-    walk = whole.select(by, value(lambda x: x.b).alias("builder"), value(lambda x: x.c).alias("critic"))
+    parts = outcomes.groupBy(by, F.floor(F.col(order) / width).alias("c")).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), d.alias("d")))), lambda x: x.d).alias("o"))
+    fold = lambda sign: F.aggregate("o", none, lambda a, x: one(a, sign * x))
+    parts = parts.select(by, "c", fold(1).alias("b"), fold(-1).alias("k"))
+    v = F.array("b.shift", "b.low", "b.high", "k.shift", "k.low", "k.high")
+    parts = cut(parts.select(by, "c", v.alias("v")))
+    ends = parts.join(before_each(parts, [by], _after), [by, "c"]).groupBy(by).agg(F.max_by("v", "c").alias("v"), F.max_by("before", "c").alias("before"))
+    at = lambda i: held(F.coalesce(held(F.lit(start) + F.col("before")[i], F.col("before")[i + 1], F.col("before")[i + 2]), F.lit(start)) + F.col("v")[i], F.col("v")[i + 1], F.col("v")[i + 2])
+    walk = ends.select(by, at(0).alias("builder"), at(3).alias("critic"))
     return walk.join(latest(outcomes, by, order, "outcome", last).withColumnRenamed("latest", "history"), by)
 
 
@@ -196,13 +208,13 @@ def latest(rows: DataFrame, by: str, order: str, value: str, n: int) -> DataFram
     return newest.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("_r")).alias("r"), F.col(value).alias("v")))), lambda x: x.v).alias("latest"))
 
 
-def eg_weights(returns: DataFrame, eta: float = 0.1, by: tuple[str, ...] = ()) -> DataFrame:
+def eg_weights(returns: DataFrame, eta: float = 0.1, by: tuple[str, ...] = (), width: int = 10_000) -> DataFrame:
     """(by..., t, strategy, w) of (by..., t, strategy, ret): multiplicative updates in closed form.
 
-    After t updates from even weights, w is the softmax of eta times the summed returns.
+    After t updates from even weights, w is the softmax of eta times the summed returns; t is an integer, summed in cells of `width`.
     """
-    s = F.sum("ret").over(W.partitionBy(*by, "strategy").orderBy("t").rowsBetween(W.unboundedPreceding, 0))
-    rows = returns.select(*by, "t", "strategy", (eta * s).alias("s"))
+    rows = running(returns, [*by, "strategy"], ["t"], F.col("ret"), "_sum", width, how="sum")
+    rows = rows.select(*by, "t", "strategy", (eta * F.col("_sum")).alias("s"))
     now = W.partitionBy(*by, "t")
     rows = rows.withColumn("e", F.exp(F.col("s") - F.max("s").over(now)))
     return rows.select(*by, "t", "strategy", (F.col("e") / F.sum("e").over(now)).alias("w"))
