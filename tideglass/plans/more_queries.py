@@ -23,12 +23,6 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def _values(rows: list[tuple], names: str) -> str:
-    """A literal table for the SQL side."""
-    word = lambda x: "null" if x is None else str(x).lower() if isinstance(x, bool) else repr(x) if not isinstance(x, str) else "'" + x.replace("'", "''") + "'"
-    return "(values " + ", ".join("(" + ", ".join(map(word, r)) + ")" for r in rows) + f") as x({names})"
-
-
 _GAIN = loop_queries._GAIN
 _LOOP = f"""{_GAIN}, ed as (select *, gain >= 10 or gain < 5 as edge from gn),
 sp as (select *, coalesce(sum(edge::int) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding), 0) as part from ed),
@@ -119,20 +113,28 @@ def credit_walk(spark, d):
     return walk.join(ids, "agent_set")
 
 
-_TEXTS = [(1, "股市上涨,利好突破"), (2, "暴跌之后反弹"), (3, "回避衰退,低迷"), (4, ""), (5, None), (6, "no keyword"), (7, "上涨 上涨 下跌"), (8, "上涨下滑增长放量")]
+#: What a turn's number adds to its text: the words themselves are the query's subject, and the tables' prose has none of them.
+_ADDED = ["", "，".join(sentiment.BULLISH[:3]), sentiment.BEARISH[0] + "!", sentiment.BULLISH[3] + sentiment.BEARISH[1], " ".join(sentiment.BEARISH), "".join(sentiment.BULLISH), sentiment.BULLISH[0] * 3 + sentiment.BEARISH[2]]
 
 
 @query(
     "keyword_sentiment",
-    f"""with s as (select id, {loop_queries._count(sentiment.BULLISH)} as p, {loop_queries._count(sentiment.BEARISH)} as n from (select id, coalesce(t, '') as t from {_values(_TEXTS, 'id, t')}))
-select id::int as id, case when p + n = 0 then 0.5 else p / (p + n) end as sentiment from s""",
+    f"""with s as (select conv_id, turn, {loop_queries._count(sentiment.BULLISH)} as p, {loop_queries._count(sentiment.BEARISH)} as n
+  from (select conv_id, turn, coalesce(text, '') || ({loop_queries._list(_ADDED)})[(conv_id + turn) % {len(_ADDED)} + 1] as t from conversations))
+select conv_id, turn, case when p + n = 0 then 0.5 else p / (p + n) end as sentiment from s""",
 )
 def keyword_sentiment(spark, d):
-    return spark.createDataFrame(_TEXTS, "id int, t string").select("id", sentiment.score(F.col("t")).alias("sentiment"))
+    added = F.element_at(F.array(*map(F.lit, _ADDED)), ((F.col("conv_id") + F.col("turn")) % len(_ADDED) + 1).cast("int"))
+    text = F.concat(F.coalesce("text", F.lit("")), added)
+    return table(spark, d, "conversations").select("conv_id", "turn", sentiment.score(text).alias("sentiment"))
 
 
-_FACTS = [(1, 0.001, 0.0003, 3.0, 9, 4, 0.5, 0.1, 0.2, 0.01, 0.1, True, 0.8, 1.4), (2, 0.0, 0.0003, 3.0, 2, 4, 0.9, 0.1, 0.9, 0.2, 0.6, False, 0.4, 3.0), (3, None, None, None, None, None, None, None, None, None, None, None, None, None)]
-_FACT_NAMES = "id, stamp_duty, commission_rate, slippage_bps, n_steps, n_strategies, max_weight_corr, seed_sharpe_std, grid_sharpe_range, dsr_p_value, pbo, sensitivity_done, cpcv_positive, sharpe"
+_FACT_SQL = {
+    "stamp_duty": "case when min(value) < 5 then 0.001 else 0.0 end", "commission_rate": "0.0002 + 0.00001 * (count(*) % 12)", "slippage_bps": "case when count(*) % 7 > 0 then count(*) % 7 end",
+    "n_steps": "count(*) filter (where event_type = 'view')", "n_strategies": "count(distinct event_type)", "max_weight_corr": "(user_id % 10) / 10.0", "seed_sharpe_std": "coalesce(stddev_pop(value), 0) / 100.0",
+    "grid_sharpe_range": "(max(value) - min(value)) / 200.0", "dsr_p_value": "(user_id % 20) / 200.0", "pbo": "count(*) filter (where event_type = 'error') / (count(*) * 0.5)", "sensitivity_done": "max(value) > 80",
+    "cpcv_positive": "count(*) filter (where value > 30) / (count(*) * 1.0)", "sharpe": "avg(value) / 12.0",
+}
 _CHECKS = [
     ("B1", "1B", "stamp_duty > 0 and commission_rate >= 0.00025 and slippage_bps >= 2"), ("B2", "1B", "n_steps >= 3"), ("B3", "1B", "n_strategies >= 2 and max_weight_corr < 0.7"),
     ("B4", "1B", "seed_sharpe_std < 0.3"), ("B5", "1B", "grid_sharpe_range < 0.5"), ("D1", "3", "dsr_p_value < 0.05"), ("D2", "3", "pbo < 0.3"), ("D3", "3", "sensitivity_done"),
@@ -140,11 +142,14 @@ _CHECKS = [
 ]
 
 
-@query("quality_audits", " union all ".join(f"select id::int as id, '{c}' as check_id, '{p}' as phase, coalesce({e}, false) as passed from f" for c, p, e in _CHECKS).join([f"with f as (select * from {_values(_FACTS, _FACT_NAMES)}) ", ""]))
+_FACTS = f"select user_id, {', '.join(f'{e} as {n}' for n, e in _FACT_SQL.items())} from events group by user_id"
+
+
+@query("quality_audits", f"with f as materialized ({_FACTS}) " + " union all ".join(f"select user_id, '{c}' as check_id, '{p}' as phase, coalesce({e}, false) as passed from f" for c, p, e in _CHECKS))
 def quality_audits(spark, d):
-    kinds = {"id": "int", "n_steps": "int", "n_strategies": "int", "sensitivity_done": "boolean"}
-    facts = spark.createDataFrame(_FACTS, ", ".join(f"{c} {kinds.get(c, 'double')}" for c in _FACT_NAMES.split(", ")))
-    return audit.quality_audits(facts, keys=("id",)).select("id", "check_id", "phase", "passed")
+    """Each user's events stand for a run: its facts are counted from them."""
+    facts = table(spark, d, "events").groupBy("user_id").agg(*[F.expr(e).alias(n) for n, e in _FACT_SQL.items()])
+    return audit.quality_audits(facts, keys=("user_id",)).select("user_id", "check_id", "phase", "passed")
 
 
 @query(
@@ -183,18 +188,20 @@ def strategy_counts(spark, d):
     return report.strategy_counts(_cycle_log(spark, d)).withColumn("share_pct", F.round("share_pct", 4))
 
 
-_RECORDS = [(1, 0.12, 0.9, 0.01, 0.2, 1000), (2, 0.03, 0.9, 0.2, 0.6, 400), (3, -0.1, -0.5, 0.9, 0.5, 0), (4, 0.06, 0.5, 0.05, 0.50001, 756)]
+_RECORD_SQL = {"annual_return": "round(avg(value) / 1000 - 0.03, 6)", "deflated_sharpe": "(user_id % 9) / 10.0", "dsr_p_value": "(user_id % 7) / 60.0", "pbo": "count(*) filter (where event_type = 'view') / (count(*) * 1.0)", "n": "count(*) * 8"}
+_RECORDS = f"select user_id, {', '.join(f'{e} as {n}' for n, e in _RECORD_SQL.items())} from events group by user_id"
 
 
 @query(
     "report_notes",
-    f"""select id::int as id, case when annual_return > 0.05 and deflated_sharpe > 0.5 then 'positive' when annual_return > 0 then 'neutral' else 'cautious' end as conclusion,
+    f"""select user_id, case when annual_return > 0.05 and deflated_sharpe > 0.5 then 'positive' when annual_return > 0 then 'neutral' else 'cautious' end as conclusion,
   array_to_string(list_filter([case when pbo > 0.5 then 'pbo' end, case when n > 0 and n < 756 then 'short_history' end, case when dsr_p_value > 0.05 then 'dsr' end], lambda x: x is not null), ',') as warnings
-from {_values(_RECORDS, 'id, annual_return, deflated_sharpe, dsr_p_value, pbo, n')}""",
+from ({_RECORDS})""",
 )
 def report_notes(spark, d):
-    rows = spark.createDataFrame(_RECORDS, "id int, annual_return double, deflated_sharpe double, dsr_p_value double, pbo double, n int")
-    return rows.select("id", report.conclusion().alias("conclusion"), F.array_join(report.warnings(), ",").alias("warnings"))
+    """Each user's events stand for a run: its record is made of them."""
+    rows = table(spark, d, "events").groupBy("user_id").agg(*[F.expr(e).alias(n) for n, e in _RECORD_SQL.items()])
+    return rows.select("user_id", report.conclusion().alias("conclusion"), F.array_join(report.warnings(), ",").alias("warnings"))
 
 
 @query(

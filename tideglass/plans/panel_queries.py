@@ -371,10 +371,14 @@ def strategy_matrix(spark, d):
     return backtest.strategy_matrix(res["equity"], res["steps"].count()).select("strategy_id", "obs", _r("ret"))
 
 
-@query("wf_step_info")
+@query(
+    "wf_step_info",
+    f"with {_WF}, {_MEMBERS}, {_TRAIN}, wt as materialized ({_W['risk_parity']}), pr as (select step, dt, sum(ret * w) as ret from mr join wt using (step, asset) where side = 'test' group by step, dt) select step::int as step, round(avg(ret), 9) as portfolio_return, ts as test_start, tend as test_end from pr join steps using (step) group by step, ts, tend",
+    dates=("test_start", "test_end"),
+)
 def wf_step_info(spark, d):
     p = _panel(spark, d)
-    return backtest.run(p, strategies.risk_parity)["step_info"]
+    return backtest.run(p, strategies.risk_parity)["step_info"].withColumn("portfolio_return", _r("portfolio_return", 9))
 
 
 _CPCV = """dn as (select dt, row_number() over (order by dt) - 1 as i, (select count(*) from (select distinct dt from full_)) // 6 as size from (select distinct dt from full_)),
