@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideglass.llm.hashing import slices
-from tideglass.llm.shared import SLICE, keep, lean, small_batches
+from tideglass.llm.shared import SLICE, fresh, keep, lean, small_batches
 
 WINDOW = 10
 #: Items of the benchmark, and bytes of their texts, per broadcast.
@@ -190,7 +190,7 @@ def _parts(benchmark: DataFrame) -> Iterator[list[tuple[str | None, bytes | None
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with n_words, hits (disjoint runs of hit words: first word, number) and items (sorted ids) added."""
     spark = docs.sparkSession
-    names = [c for c in docs.columns if c not in ("n_words", "hits", "items")]
+    names = [c for c in docs.columns if c.lower() not in ("n_words", "hits", "items")]
     docs = docs.select(*names)
     schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string(_FOUND).fields])
     out = None
@@ -311,9 +311,10 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without those that hold a window of the benchmark; all columns stay."""
     names = docs.columns
-    plain = docs.withColumnsRenamed({c: f"_kept_{c}" for c in names if c in ("n_words", "hits", "items")})
+    new = dict(zip(names, fresh([*names, "n_words", "hits", "items"], *names)))
+    plain = docs.withColumnsRenamed({c: new[c] for c in names if c.lower() in ("n_words", "hits", "items")})
     clean = hits(plain, benchmark).where(F.size("items") == 0).drop("n_words", "hits", "items")
-    return keep(clean.withColumnsRenamed({f"_kept_{c}": c for c in names}).select(*names), "clean", 500)
+    return keep(clean.withColumnsRenamed({v: k for k, v in new.items()}).select(*names), "clean", 500)
 
 
 def digest_of(items: list[str]) -> str:

@@ -37,7 +37,12 @@ BUCKETS = 1 << 16
 GROUP = 128
 SAMPLE, CHARS = 1500, 20_000
 SMOOTH, TEMPER = 0.1, 60.0
-_LETTER = re.compile(r"[^\W\d_]")
+_WORDLIKE = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether text holds a letter (Unicode category L): numbers such as superscripts and fractions are none."""
+    return any(m[0].isalpha() for m in _WORDLIKE.finditer(text or ""))
 
 
 def grams(texts: list[str | None], buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -169,7 +174,7 @@ def _runner(held, names: list[str], state: list[str]):
             for part in slices(texts, lambda t: len(t or ""), SLICE // 4):
                 for t, *new in zip(part, *(x.tolist() for x in model.judge(part))):
                     lang, evidence, tempered, mass = (b[len(out)] for b in before)
-                    if not t or not _LETTER.search(t):
+                    if not has_letter(t):
                         out.append((None, None, None, None))
                     elif lang is None:
                         out.append((model.langs[new[0]], *new[1:]))
