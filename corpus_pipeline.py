@@ -52,6 +52,9 @@ STAGES = [
     ("token_ids", token_ids_stage),
 ]
 
+#: Stages whose result is a table of their own, with all rows of theirs; run() deletes it once its copy is written.
+OWN_TABLES = ("toxicity", "decontamination")
+
 #: The classifier, the rounding and the tokenizer have no SQL form.
 ORACLE_SQL = None
 
@@ -59,7 +62,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, done = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = keep(stage(spark, docs, sf_dir), name)
+        made = stage(spark, docs, sf_dir)
+        docs = keep(made, name)
+        if name in OWN_TABLES:
+            drop(made)
         if done is not None:
             drop(done)
         done = docs
