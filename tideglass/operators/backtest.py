@@ -86,7 +86,12 @@ def equity_returns(eq: DataFrame) -> DataFrame:
 
 def strategy_matrix(eq: DataFrame, n_steps: int) -> DataFrame:
     """(strategy_id, obs, ret): the curve's returns cut into n_steps pieces of equal length, the last one's rest trimmed."""
-    rets = equity_returns(eq).withColumn("i", F.row_number().over(W.orderBy("seq_no")) - 1).withColumn("n", F.count("*").over(W.partitionBy()))
+    return matrix_of(equity_returns(eq), n_steps)
+
+
+def matrix_of(line: DataFrame, n_steps: int) -> DataFrame:
+    """strategy_matrix() of returns (seq_no, ret)."""
+    rets = line.withColumn("i", F.row_number().over(W.orderBy("seq_no")) - 1).withColumn("n", F.count("*").over(W.partitionBy()))
     per = F.floor(F.col("n") / n_steps)
     rows = rets.withColumn("per", per).where((F.col("n") >= 20) & (F.col("per") >= 5) & F.lit(n_steps >= 2))
     rows = rows.withColumn("strategy_id", F.least(F.floor(F.col("i") / F.col("per")), F.lit(n_steps - 1)).cast("int"))
@@ -136,8 +141,15 @@ def sweep(panel: DataFrame, weigh, grid: list[dict[str, int]], capital: float =
 
 
 def cpcv_sharpes(panel: DataFrame, weigh, n_groups: int = 6, n_test: int = 2) -> DataFrame:
-    """(path, sharpe): mean / deviation * sqrt(252) of each path's test returns."""
-    rows = schedule.step_returns(schedule.cpcv_members(panel, n_groups, n_test), "path")
+    """(path, sharpe): mean / deviation * sqrt(252) of each path's test returns.
+
+    Paths of fewer than 20 training or 2 test days, or fewer than 5 or 2 days of returns, are skipped.
+    """
+    found = schedule.cpcv_members(panel, n_groups, n_test)
+    rows = schedule.step_returns(found, "path")
+    days = lambda df, name: df.groupBy("path").agg(*[F.count_distinct(F.when(F.col("side") == s, F.col("dt"))).alias(f"{name}_{s}") for s in ("train", "test")])
+    long = days(found, "n").join(days(rows, "r"), "path").where("n_train >= 20 and n_test >= 2 and r_train >= 5 and r_test >= 2")
+    rows = rows.join(F.broadcast(long.select("path")), "path")
     weights = weigh(rows.where("side = 'train'"), "path")
     daily = rows.where("side = 'test'").join(weights, ["path", "asset"]).groupBy("path", "dt").agg(F.sum(F.col("ret") * F.col("w")).alias("ret"))
     value = F.avg("ret") / F.greatest(F.stddev_samp("ret"), F.lit(1e-10)) * 252**0.5

@@ -9,6 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 NAMES = ("ret_1d", "ret_5d", "ret_20d", "vol_20d", "max_corr", "spread")
@@ -152,3 +153,20 @@ def select_states(features: DataFrame, steps: DataFrame, least: int = 2, most: i
     """The fit of least BIC of each step; ties go to fewer states."""
     best = F.min_by(F.struct("n_states", "bic", "state", "n_obs", "fit_start", "fit_end", "occupancy"), F.struct("bic", "n_states"))
     return fits(features, steps, least, most).groupBy("step").agg(best.alias("f")).select("step", "f.*")
+
+
+def ranked(rets: DataFrame, ends: DataFrame, n_states: int = 4, window: int = 20) -> DataFrame:
+    """(step, regime) of (step, decided): the market's mean return of the last `window` days, ranked in its history up to that day.
+
+    State 0 holds the lowest n-th of the history, as the fitted model's states rise with their mean return; steps whose day has no full
+    window are absent.  One row a trading day meets one row a step, which is broadcast.
+    """
+    line = W.orderBy("dt")
+    mean = rets.groupBy("dt").agg(F.avg("ret").alias("m"))
+    # rounded, so that a day equals itself whatever the order of its sums
+    r = F.when(F.row_number().over(line) >= window, F.round(F.avg("m").over(line.rowsBetween(-(window - 1), 0)), 12))
+    days = mean.select("dt", r.alias("r")).where("r is not null")
+    now = days.join(F.broadcast(ends.select("step", "decided")), F.col("dt") == F.col("decided")).select("step", "decided", F.col("r").alias("now"))
+    seen = days.join(F.broadcast(now), F.col("dt") <= F.col("decided"))
+    below = seen.groupBy("step").agg(F.count_if(F.col("r") < F.col("now")).alias("k"), F.count("*").alias("n"))
+    return below.select("step", F.floor(F.col("k") * n_states / F.col("n")).cast("int").alias("regime"))

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tideglass.operators import backtest, metrics, overfit
+from tideglass.sources.scratch import cut
+
 #: Periods of a year, and those below which a deflated Sharpe ratio is called unreliable.
 YEAR, SHORT = 252, 756
 
@@ -46,12 +49,16 @@ def conclusion() -> Column:
     return F.when(good, "positive").when(F.col("annual_return") > 0, "neutral").otherwise("cautious")
 
 
-def lines(record: dict, verdicts: dict, strategies: list[dict], benchmarks: list[dict], annual_turnover: float) -> list[str]:
-    """The report's lines from one record (with pbo, warnings, conclusion) and the small tables above."""
+def lines(record: dict, verdicts: dict, strategies: list[dict], benchmarks: list[dict], annual_turnover: float, cpcv: dict | None = None) -> list[str]:
+    """The report's lines from one record (with pbo, warnings, conclusion) and the small tables above; cpcv is a summary with paths."""
     pct = lambda x: f"{100 * x:+.2f}%"
     out = ["[performance]", f"annual return: {pct(record['annual_return'])}", f"Sharpe ratio: {record['sharpe']:.3f}"]
-    out += [f"deflated Sharpe: {record['deflated_sharpe']:.3f} (p = {record['dsr_p_value']:.4f})", f"maximum drawdown: {pct(record['max_drawdown'])}"]
-    out += ["", "[overfitting]", f"PBO: {record['pbo']:.3f}", *(f"warning: {w}" for w in record["warnings"])]
+    out += [f"deflated Sharpe: {record['deflated_sharpe']:.3f} (p = {record['dsr_p_value']:.4f})", f"Sortino ratio: {record['sortino']:.3f}", f"Calmar ratio: {record['calmar']:.3f}"]
+    out += [f"maximum drawdown: {pct(record['max_drawdown'])}", f"longest drawdown: {record['max_dd_duration_days']:.0f} days", f"win rate: {100 * record['win_rate']:.1f}%", f"profit factor: {record['profit_factor']:.2f}"]
+    out += ["", "[overfitting]", f"PBO: {record['pbo']:.3f}"]
+    if cpcv and cpcv["n_paths"] > 0:
+        out += [f"CPCV Sharpe: {cpcv['mean_sharpe']:.3f} +/- {cpcv['std_sharpe']:.3f}", f"CPCV paths: {cpcv['n_paths']}, positive: {100 * cpcv['pct_positive']:.0f}%"]
+    out += [f"warning: {w}" for w in record["warnings"]]
     out += ["", "[benchmarks]", *(f"against {b['series']}: {100 * record['annual_return'] - b['cagr_pct']:+.2f}% ({b['cagr_pct']:+.2f}%)" for b in benchmarks)]
     out += ["", "[costs]", f"annual turnover: {100 * annual_turnover:.1f}%"]
     out += ["", "[strategies]", *(f"{s['strategy']}: {s['quarters']} ({s['share_pct']:.0f}%)" for s in strategies)]
@@ -59,6 +66,33 @@ def lines(record: dict, verdicts: dict, strategies: list[dict], benchmarks: list
     return [*out, "", "[conclusion]", record["conclusion"]]
 
 
+def summary(run: dict[str, DataFrame], log: DataFrame, benchmark: DataFrame | None = None, step_days: int = 63) -> DataFrame:
+    """One row: the record of a run's equity (deflated by its effective trials), n_trials, pbo, annual_turnover, verdict counts, warnings, conclusion.
+
+    A run's curve is one series of a few thousand rows, cut to a table that record, matrix and PBO read.
+    """
+    line = cut(backtest.equity_returns(run["equity"]))
+    matrix = backtest.matrix_of(line, run["steps"].count())
+    n_trials = overfit.effective_trials(matrix).first()
+    n_trials = max(int(n_trials[0]) if n_trials else 1, 1)
+    place = F.expr("date_add(date'1970-01-01', int(seq_no))")
+    found = metrics.record(line.select(F.lit("run").alias("series_id"), place.alias("dt"), "ret"), n_trials=n_trials, benchmark=benchmark)
+    moved = run["turnover"].where("turnover is not null").agg(F.coalesce(F.avg("turnover"), F.lit(0.0)).alias("t"))
+    rows = found.drop("series_id").withColumn("n_trials", F.lit(n_trials)).crossJoin(F.broadcast(overfit.pbo(matrix).select("pbo")))
+    rows = rows.crossJoin(F.broadcast(moved.select((F.col("t") * YEAR / step_days).alias("annual_turnover")))).crossJoin(F.broadcast(verdict_counts(log)))
+    return rows.withColumn("warnings", warnings()).withColumn("conclusion", conclusion())
+
+
+def text(told: DataFrame, log: DataFrame, benchmark_rets: DataFrame, cpcv: DataFrame | None = None) -> DataFrame:
+    """(line_no, line) of the report: told is summary()'s row, benchmark_rets are (series, dt, ret).  Only single rows and rows a strategy reach the driver."""
+    spark = told.sparkSession
+    record = told.first().asDict()
+    used = [r.asDict() for r in strategy_counts(log).orderBy("place").collect()]
+    marks = [r.asDict() for r in cagr(benchmark_rets, "series").orderBy("series").collect()]
+    out = lines(record, record, used, marks, record["annual_turnover"], cpcv.first().asDict() if cpcv is not None else None)
+    return spark.createDataFrame(list(enumerate(out, 1)), "line_no int, line string")
+
+
 def write(spark, text: list[str], path: str) -> None:
     """The report as one text file in a folder of any store that Spark writes to."""
     spark.createDataFrame([("\n".join(text),)], "value string").coalesce(1).write.mode("overwrite").text(path)
