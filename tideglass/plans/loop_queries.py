@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tideglass.operators import audit, backtest, control, decide, panel, sentiment, strategies
+from tideglass.operators import audit, backtest, control, decide, features, panel, sentiment, strategies
+from tideglass.plans import panel_queries
 from tideglass.plans.panel_queries import _panel, _rets, dated
-from tideglass.sources.tables import table
+from tideglass.sources.scratch import cut
+from tideglass.sources.tables import daily_panel, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -152,23 +154,35 @@ def _run(spark, d):
     return backtest.run(_panel(spark, d), strategies.momentum)
 
 
-@query("audits")
+@query(
+    "audits",
+    f"""with {panel_queries._WF},
+a1 as (select min(date_diff('day', te, ts)) as g from steps),
+nx as (select *, lead(ts) over (order by step) as next_start from steps),
+a2 as (select count(*) filter (e <> prev) as n from (select prev, lag(tend) over (order by step) as e from steps) where prev is not null)
+select 'A1' as check_id, '1A' as phase, g >= 3 as passed, g::varchar as detail from a1
+union all select 'A2', '1A', n = 0, n::varchar from a2
+union all select 'A5', '1A', coalesce(bool_and(tend < next_start), true), (count(*) filter (tend >= next_start))::varchar from nx where next_start is not null
+union all select 'A6', '1A', coalesce(min(date_diff('day', te, next_start)) >= 1, true), min(date_diff('day', te, next_start))::varchar from nx where next_start is not null""",
+)
 def audits(spark, d):
     return audit.run_audits(_run(spark, d))
 
 
 @query("decision_cycle")
 def decision_cycle(spark, d):
-    from tideglass.operators import schedule
+    """Decisions over the whole rule file with the regimes of the fitted model, whose criterion is on record."""
+    from tideglass.operators import cycle, regime, schedule
 
-    p = _panel(spark, d)
+    p = cut(panel.complete(daily_panel(spark, d)))
+    rets = panel.returns(p)
     steps = schedule.local(schedule.walk_forward(p))
     train = schedule.step_returns(schedule.members(p, steps).where("side = 'train'"))
-    state = steps.select("step", (F.col("step") % 3).alias("regime"), (F.lit(0.2) + (F.col("step") % 5) * 0.15).alias("sentiment"))
-    proposal = decide.propose(state, strategies.pool(train))
-    items = spark.createDataFrame([(1, "LOOKAHEAD", "Purging"), (2, "COST", "滑点"), (3, "OVERFIT", "PBO")], "item_no int, marker string, check string")
-    ctx = steps.select("step", "train_end", "test_start", F.lit(0.7).alias("confidence"), (F.col("step") * 0.05).alias("pbo_value"))
-    return decide.arbitrate(proposal, decide.review(items, ctx, "step"))
+    ends = cut(cycle.training_ends(train))
+    fitted = regime.select_states(features.compute(rets), ends.withColumnRenamed("decided", "train_end")).select("step", F.col("state").alias("regime"))
+    state = cycle.states(p, ends, rets).drop("regime").join(fitted, "step", "left").withColumn("regime", F.coalesce("regime", F.lit(0)))
+    found = cycle.run(p, train, steps, rets, state=state, facts={"hmm_bic_recorded": True})
+    return found["decisions"].select("step", "asset", "w", "confidence", "verdict")
 
 
 @query("report_summary")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tideglass.functions.stats import trade_cost
 from tideglass.operators import backtest, features, metrics, overfit, panel, regime, schedule, strategies
+from tideglass.sources.scratch import cut
 from tideglass.sources.tables import daily_panel
 
 QUERIES: dict = {}
@@ -421,11 +422,23 @@ def benchmarks_6040(spark, d):
     return backtest.benchmarks(rets, panel.asset_index(rets)).select("series", "dt", _r("ret"))
 
 
-@query("sweep")
+def _sweep_sql() -> str:
+    """wf_equity of each parameter set with its own purge and step, and the record of its curve."""
+    parts = []
+    for i, (purge, months) in enumerate((a, b) for a in (3, 5, 10) for b in (1, 3)):
+        steps = _WF.replace("te + 5", f"te + {purge}").replace("te - 5", f"te - {purge}").replace("step * 3", f"step * {months}").replace("interval 3 month", f"interval {months} month")
+        members = _MEMBERS.replace("te - 5", f"te - {purge}")
+        curve = "er as (select row_number() over (order by step, seq) as i, ret from (select step, seq, equity / lag(equity) over (order by step, seq) - 1 as ret from eq) where ret is not null), cu as (select i, exp(sum(ln(1 + ret)) over (order by i)) as c from er), fall as (select min(round(c / m - 1, 12)) as dd from (select c, max(c) over (order by i) as m from cu))"
+        value = "count(*) as n, round((pow(exp(sum(ln(1 + ret))), 252.0 / count(*)) - 1.02) / (stddev_samp(ret) * sqrt(252)), 6) as sharpe, round((select dd from fall), 6) as max_drawdown"
+        parts.append(f"select * from (with recursive {steps}, {members}, {_TRAIN}, {_EQUITY}, {curve} select {i}::bigint as param_id, {purge}::bigint as purge, {months}::bigint as step_months, {value} from er)")
+    return " union all ".join(parts)
+
+
+@query("sweep", _sweep_sql())
 def sweep(spark, d):
-    p = _panel(spark, d)
+    p = cut(panel.complete(daily_panel(spark, d)))
     grid = [{"purge": a, "step_months": b} for a in (3, 5, 10) for b in (1, 3)]
-    return backtest.sweep(p, strategies.momentum, grid)
+    return backtest.sweep(p, strategies.momentum, grid).withColumns({c: F.round(c, 6) for c in ("sharpe", "max_drawdown")})
 
 
 @query("pbo")
