@@ -77,7 +77,8 @@ def summary(run: dict[str, DataFrame], log: DataFrame, benchmark: DataFrame | No
     n_trials = max(int(n_trials[0]) if n_trials else 1, 1)
     place = F.expr("date_add(date'1970-01-01', int(seq_no))")
     found = metrics.record(line.select(F.lit("run").alias("series_id"), place.alias("dt"), "ret"), n_trials=n_trials, benchmark=benchmark)
-    moved = run["turnover"].where("turnover is not null").agg(F.coalesce(F.avg("turnover"), F.lit(0.0)).alias("t"))
+    # the first step moves nothing and counts
+    moved = run["turnover"].agg(F.coalesce(F.avg(F.coalesce("turnover", F.lit(0.0))), F.lit(0.0)).alias("t"))
     rows = found.drop("series_id").withColumn("n_trials", F.lit(n_trials)).crossJoin(F.broadcast(overfit.pbo(matrix).select("pbo")))
     rows = rows.crossJoin(F.broadcast(moved.select((F.col("t") * YEAR / step_days).alias("annual_turnover")))).crossJoin(F.broadcast(verdict_counts(log)))
     return rows.withColumn("warnings", warnings()).withColumn("conclusion", conclusion())

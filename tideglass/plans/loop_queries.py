@@ -185,12 +185,29 @@ def decision_cycle(spark, d):
     return found["decisions"].select("step", "asset", "w", "confidence", "verdict")
 
 
-@query("report_summary")
+def _report_sql() -> str:
+    """metrics_full over the run's curve, whose rows are numbered as days, with the benchmark, the p value and the turnover."""
+    base = panel_queries._BASE
+    run = f"{panel_queries._WF}, {panel_queries._MEMBERS}, {panel_queries._TRAIN}, {panel_queries._EQUITY}"
+    curve = f"select * from (with recursive {run} select row_number() over (order by step, seq) as dt, ret from (select step, seq, equity / lag(equity) over (order by step, seq) - 1 as ret from eq) where ret is not null)"
+    moved = f"select * from (with {panel_queries._WF}, {panel_queries._MEMBERS}, {panel_queries._TRAIN}, {panel_queries._TURN} select avg(coalesce(turnover, 0)) * 252 / 63 as annual_turnover from tu)"
+    bench = f"select * from (with {base} select exp(sum(ln(1 + ret)) * 252.0 / count(*)) - 1 as yearly from port)"
+    # Simpson's rule for the normal distribution function at x
+    x = "(sh - sg * sqrt(2 * ln(4.0))) / sg"
+    cdf = f"0.5 + {x} / 6000 / sqrt(2 * pi()) * list_sum(list_transform(range(0, 2001), lambda i: (case when i in (0, 2000) then 1 when i % 2 = 1 then 4 else 2 end) * exp(-pow(({x}) * i / 2000, 2) / 2)))"
+    head = f"with port as materialized ({curve}), moved as ({moved}), bench as ({bench}), "
+    more = f", round(1 - ({cdf}), 6) as dsr_p_value, round(ar - (select yearly from bench), 6) as excess_vs_benchmark, round((select annual_turnover from moved), 6) as annual_turnover\nfrom ci"
+    sql = panel_queries.ORACLE_SQL["metrics_full"].replace(f"with {base}, ", head)
+    return sql.replace("\nfrom ci", more)
+
+
+@query("report_summary", _report_sql())
 def report_summary(spark, d):
     from tideglass.operators import metrics
 
-    run = _run(spark, d)
-    line = backtest.equity_returns(run["equity"]).select(F.lit("run").alias("series_id"), F.expr("date_add(date'1970-01-01', int(seq_no))").alias("dt"), "ret").persist()
-    turn = run["turnover"].agg(F.avg(F.coalesce("turnover", F.lit(0.0))).alias("t")).select((F.col("t") * 252 / 63).alias("annual_turnover"))
-    bench = panel.portfolio(_rets(spark, d))
-    return metrics.record(line, n_trials=4, benchmark=bench).crossJoin(F.broadcast(turn)).drop("series_id")
+    p = cut(panel.complete(daily_panel(spark, d)))
+    run = backtest.run(p, strategies.momentum)
+    line = cut(backtest.equity_returns(run["equity"]).select(F.lit("run").alias("series_id"), F.expr("date_add(date'1970-01-01', int(seq_no))").alias("dt"), "ret"))
+    turn = run["turnover"].agg(F.avg(F.coalesce("turnover", F.lit(0.0))).alias("t")).select(F.round(F.col("t") * 252 / 63, 6).alias("annual_turnover"))
+    found = metrics.record(line, n_trials=4, benchmark=panel.portfolio(panel.returns(p)))
+    return panel_queries._rounded(found, "dsr_p_value", "excess_vs_benchmark").crossJoin(F.broadcast(turn))

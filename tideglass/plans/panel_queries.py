@@ -112,9 +112,9 @@ def metrics_full(spark, d):
     return _rounded(metrics.record(_port(spark, d), n_trials=4))
 
 
-def _rounded(rows: DataFrame) -> DataFrame:
+def _rounded(rows: DataFrame, *more: str) -> DataFrame:
     six = ["total_return", "annual_return", "volatility", "sharpe", "sharpe_ci_lower", "sharpe_ci_upper", "sortino", "calmar", "max_drawdown", "win_rate", "profit_factor", "excess_return", "skewness", "kurtosis", "rolling_sharpe_12m", "var_95", "cvar_95"]
-    return rows.select("n", *[_r(c, 6) for c in six], _r("deflated_sharpe", 5), "max_dd_duration_days", _r("period_return_mean"), _r("period_vol"), "freq")
+    return rows.select("n", *[_r(c, 6) for c in (*six, *more)], _r("deflated_sharpe", 5), "max_dd_duration_days", _r("period_return_mean"), _r("period_vol"), "freq")
 
 
 def _weekly_sql() -> str:
