@@ -103,8 +103,8 @@ def matrix_of(line: DataFrame, n_steps: int) -> DataFrame:
 _STRIDE = 1000
 
 
-def sweep(panel: DataFrame, weigh, grid: list[dict[str, int]], capital: float = CAPITAL, **costs: float) -> DataFrame:
-    """One row a parameter set: param_id, its fields, n, sharpe, max_drawdown.
+def sweep(panel: DataFrame, weigh, grid: list[dict[str, int]], capital: float = CAPITAL, digits: int = 6, **costs: float) -> DataFrame:
+    """One row a parameter set: param_id, its fields, n, sharpe and max_drawdown to so many digits.
 
     All sets run in one plan: their steps are numbered apart, so weights, paths and folds of every
     set are computed side by side in the same stages.
@@ -136,7 +136,7 @@ def sweep(panel: DataFrame, weigh, grid: list[dict[str, int]], capital: float =
     line = line.where("ret is not null").persist()
     found = metrics.record(line).select(F.col("series_id").cast("int").alias("param_id"), "n", "sharpe", "max_drawdown")
     named = spark.createDataFrame([(i, *p.values()) for i, p in enumerate(grid)], ["param_id", *grid[0]])
-    zero = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("sharpe", "max_drawdown")]
+    zero = [F.round(F.coalesce(c, F.lit(0.0)), digits).alias(c) for c in ("sharpe", "max_drawdown")]
     return named.join(found, "param_id", "left").select("param_id", *grid[0], F.coalesce("n", F.lit(0)).alias("n"), *zero)
 
 
