@@ -139,7 +139,9 @@ def passages(text: Column, templates: list[tuple[str, str]] = TEMPLATES + TEXTS,
 
     A template is compared with every window of its own number of words, line ends ignored, that begins with one of its
     bigrams (another one gains by beginning later); of overlapping matches of a template the best, then first, is kept.
-    A text without enough bigrams of a template in all has no such window.
+    A text without enough bigrams of a template in all has no such window, nor has a start whose block of n words and the
+    next hold too few.  Windows that begin in one block overlap, so only each block's best can stay, and it is held against the
+    2n - 1 starts around it: the work is the text's length times that of a template, however often it is met.
     """
     plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9]+", " ")
     words = F.array(*[F.lit(w) for w in keywords(templates, t)])
@@ -150,22 +152,40 @@ def passages(text: Column, templates: list[tuple[str, str]] = TEMPLATES + TEXTS,
     grams = F.transform(F.transform(texts, pairs), lambda g: F.struct(g.alias("g"), F.array_intersect(g, every).alias("some")))
 
     def windows(g: Column, k: Column) -> Column:
-        starts = F.filter(F.transform(g, lambda x, i: F.when(F.array_contains(k.g, x), i)), lambda i: i.isNotNull())
-        cut = F.transform(starts, lambda i: F.struct(i.alias("at"), F.slice(g, i + 1, k.n - 1).alias("w")))
-        scored = F.transform(cut, lambda c: F.struct(c.at.alias("at"), k.n.alias("n"), k.license.alias("license"), (2.0 * F.size(F.array_intersect(c.w, k.g)) / (F.size(F.array_distinct(c.w)) + F.size(k.g))).alias("dice")))
-        return F.filter(scored, lambda m: m.dice >= t)
+        """The kept windows of one template: (dice, -at), so that the best, then first, is the largest."""
+        hit = F.transform(g, lambda x: F.array_contains(k.g, x))
+        block = lambda xs, b: F.slice(xs, b * k.n + 1, k.n)
+        blocks = F.sequence(F.lit(0), F.floor((F.size(g) - 1) / k.n).cast("int"))
+        counts = _once(hit, lambda h: F.struct(h.alias("h"), F.transform(blocks, lambda b: F.size(F.filter(block(h, b), lambda x: x))).alias("c")))
+
+        def dice(i: Column) -> Column:
+            w = F.slice(g, i + 1, k.n - 1)
+            return 2.0 * F.size(F.array_intersect(w, k.g)) / (F.size(F.array_distinct(w)) + F.size(k.g))
+
+        def rated(s: Column) -> Column:
+            enough = lambda i: F.get(s.c, F.floor(i / k.n).cast("int")) + F.coalesce(F.get(s.c, F.floor(i / k.n).cast("int") + 1), F.lit(0)) >= k.least
+            return F.transform(s.h, lambda h, i: F.when(h & enough(i), F.struct(dice(i).alias("dice"), (-i).alias("back"))))
 
-    def best(found: Column) -> Column:
-        better = lambda m, o: (F.abs(o.at - m.at) < m.n) & ((o.dice > m.dice) | ((o.dice == m.dice) & (o.at < m.at)))
-        return F.filter(found, lambda m: ~F.exists(found, lambda o: better(m, o)))
+        def kept(every: Column) -> Column:
+            tops = F.filter(F.transform(blocks, lambda b: F.array_max(block(every, b))), lambda m: m.dice >= t)
+            around = lambda m: F.slice(every, F.greatest(-m.back - k.n + 2, F.lit(1)), F.least(-m.back, k.n - 1) + k.n)
+            return F.filter(tops, lambda m: F.array_max(around(m)) == m)
+
+        found = _once(_once(counts, rated), kept)
+        return F.transform(found, lambda m: F.struct((-m.back).alias("at"), k.n.alias("n"), k.license.alias("license"), m.dice.alias("dice")))
 
     def against(u: Column) -> Column:
         near = F.filter(known, lambda k: F.size(F.array_intersect(k.g, u.some)) >= k.least)
-        return F.flatten(F.transform(F.transform(near, lambda k: windows(u.g, k)), best))
+        return F.flatten(F.transform(near, lambda k: windows(u.g, k)))
 
     return F.flatten(F.transform(grams, against))
 
 
+def _once(x: Column, f) -> Column:
+    """f(x), with x worked out once however often f names it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def _known(name: str, text: str, t: float) -> Column:
     own = bigrams(text)
     n = len("".join(c if c.isascii() and c.isalnum() else " " for c in text).split())

@@ -206,7 +206,51 @@ def op7_license_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_matches", "n_passages", "licenses", F.col("best.license").alias("license"), F.col("best.dice").alias("dice"), (-F.col("best.at")).cast("long").alias("at"))
 
 
+def _passages_sql() -> str:
+    """Templates (k, license, n words, g bigrams) of licenses.whole."""
+    every = licenses.TEMPLATES + licenses.TEXTS
+    words = lambda text: len("".join(c if c.isascii() and c.isalnum() else " " for c in text).split())
+    rows = (f"({k}, '{name}', {words(text)}, [{', '.join(repr(g) for g in licenses.bigrams(text))}])" for k, (name, text) in enumerate(every))
+    return "select * from (values " + ", ".join(rows) + ") as x(k, license, n, g)"
+
+
 QUERIES["op7_license_passages"] = op7_license_passages
+ORACLE_SQL["op7_license_passages"] = rf"""
+with t as materialized ({_passages_sql()}),
+tg as materialized (select k, n, len(g) as size, unnest(g) as x from t),
+p as materialized (select doc_id, regexp_replace(lower(coalesce(text, '')), '[^a-z0-9\n]+', ' ', 'g') as p from documents),
+u as (
+  select doc_id, replace(p, chr(10), ' ') as s from p
+  union all
+  select doc_id, unnest(string_split(p, chr(10))) as s from p
+), w as (select doc_id, list_filter(string_split(s, ' '), lambda x: x <> '') as ws from u),
+g as materialized (
+  select doc_id, list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) as g from w where len(ws) >= 2
+), units as (
+  select doc_id, license from g join t on len(g.g) <= 4 * len(t.g)
+  where 2.0::double * len(list_intersect(g.g, t.g)) / (len(g.g) + len(t.g)) >= {licenses.THRESHOLD}
+), dw as (select doc_id, list_filter(string_split(replace(p, chr(10), ' '), ' '), lambda x: x <> '') as ws from p),
+dg as materialized (select doc_id, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) as g from dw where len(ws) >= 2),
+pos as materialized (select doc_id, unnest(g) as x, unnest(range(len(g))) as i from dg),
+shared as materialized (select doc_id, k, i, n, size, x from pos join tg using (x)),
+dice as (
+  select a.doc_id, a.k, a.i, any_value(a.n) as n, any_value(a.size) as size, count(distinct b.x) as hits
+  from shared a join shared b on a.doc_id = b.doc_id and a.k = b.k and b.i between a.i and a.i + a.n - 2 group by a.doc_id, a.k, a.i
+), likely as (select * from dice where 2 * hits >= {licenses.THRESHOLD} * size),
+wins as materialized (
+  select doc_id, k, i, n, 2.0::double * hits / (len(list_distinct(g[i + 1:i + n - 1])) + size) as dice from likely join dg using (doc_id)
+), found as materialized (select * from wins where dice >= {licenses.THRESHOLD}),
+kept as (
+  select doc_id, license, dice, i from found m join t using (k) where not exists (
+    select 1 from found o where o.doc_id = m.doc_id and o.k = m.k and abs(o.i - m.i) < m.n and (o.dice > m.dice or (o.dice = m.dice and o.i < m.i)))
+), named as (select doc_id, license from units union all select doc_id, license from kept),
+a as (select doc_id, string_agg(distinct license, ',' order by license) as licenses from named group by doc_id),
+b as (select doc_id, count(*) as n, max(row(dice, -i, license)) as best from kept group by doc_id),
+c as (select doc_id, count(*) as n from units group by doc_id)
+select d.doc_id, coalesce(c.n, 0)::bigint as n_matches, coalesce(b.n, 0)::bigint as n_passages, coalesce(licenses, '') as licenses,
+  best[3] as license, best[1] as dice, (-best[2])::bigint as "at"
+from p d left join a using (doc_id) left join b using (doc_id) left join c using (doc_id)
+"""
 
 
 def op6_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
