@@ -1,12 +1,12 @@
 """Risk and return records of return series (series_id, dt, ret); every series in one plan.
 
-Pass one aggregates moments, quantiles and counts by series; pass two runs windows within a
-series (drawdown, rolling Sharpe); pass three is arithmetic on one row a series.
+All windows (drawdown, spells, rolling Sharpe, whole-series quantiles) part by series, so the rows are shuffled once; one
+aggregate over the same partitions and arithmetic on one row a series follow.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
@@ -44,14 +44,11 @@ def drawdown_durations(d: DataFrame) -> DataFrame:
     return spells.where("n > 0").select("series_id", "island", (F.col("n") - F.col("is_open").cast("int")).alias("rows"), "is_open")
 
 
-def basics(s: DataFrame) -> DataFrame:
-    """One row a series: n, annual factor, moments, tails, counts."""
-    gap = s.withColumn("gap", F.datediff("dt", F.lag("dt").over(by())))
+def _moments() -> list[Column]:
     loss = F.when(F.col("ret") < 0, F.col("ret"))
     win = F.when(F.col("ret") > 0, F.col("ret"))
-    return gap.groupBy("series_id").agg(
+    return [
         F.count("ret").alias("n"),
-        F.when(F.percentile("gap", F.lit(0.5)) > 5, 12).otherwise(252).alias("ann"),
         (F.exp(F.sum(F.when(F.col("ret") > -1, F.log1p("ret")))) * F.when(F.min("ret") <= -1, 0.0).otherwise(1.0) - 1).alias("total_return"),
         F.avg("ret").alias("mean"),
         F.stddev_samp("ret").alias("sd"),
@@ -59,40 +56,54 @@ def basics(s: DataFrame) -> DataFrame:
         F.sum(win).alias("win_sum"),
         F.sum(loss).alias("loss_sum"),
         F.count(win).alias("wins"),
-        F.percentile("ret", F.lit(0.05)).alias("var_95"),
         skewness("ret").alias("skewness"),
         kurtosis("ret").alias("kurtosis"),
-    )
+    ]
+
 
+def basics(s: DataFrame) -> DataFrame:
+    """One row a series: n, annual factor, moments, 5 % quantile, counts."""
+    gap = s.withColumn("gap", F.datediff("dt", F.lag("dt").over(by())))
+    ann = F.when(F.percentile("gap", F.lit(0.5)) > 5, 12).otherwise(252)
+    return gap.groupBy("series_id").agg(ann.alias("ann"), F.percentile("ret", F.lit(0.05)).alias("var_95"), *_moments())
 
-def rolling_sharpe(s: DataFrame, stats: DataFrame) -> DataFrame:
-    """(series_id, rolling_sharpe): mean over full windows of mean / population deviation, annualised.
 
-    A window's width depends on its series, so sums up to a row and up to the row a width before are
-    subtracted: one running window serves every width.
+def observed(s: DataFrame) -> DataFrame:
+    """s with what the record reads of each row: i, dd, under (rows since the peak, closed spells and open ones but
+    their last row), n, mean, var_95 and ann of its series, and rolling (annualised Sharpe of the full window that ends here).
+
+    A window's width w depends on its series: the row w before is the one before among the rows of equal i modulo w, so sums
+    up to both give the window's sums for every width.
     """
-    w = F.least(F.when(F.col("ann") == 252, 252).otherwise(12), F.floor(F.col("n") / 2)).cast("int")
-    rows = s.join(stats.select("series_id", w.alias("w"), "ann", "mean"), "series_id").withColumn("i", F.row_number().over(by()))
+    whole = W.partitionBy("series_id")
+    rows = drawdowns(s).withColumn("i", F.row_number().over(by())).withColumn("gap", F.datediff("dt", F.lag("dt").over(by())))
+    peak = F.last(F.when(F.col("dd") == 0, F.col("i")), ignorenulls=True).over(up())
+    rows = rows.withColumn("under", F.when((F.col("dd") < 0) & F.lead("dt").over(by()).isNotNull(), F.col("i") - peak))
+    ann = F.when(F.percentile("gap", F.lit(0.5)).over(whole) > 5, 12).otherwise(252)
+    rows = rows.select("*", F.count("ret").over(whole).alias("n"), F.avg("ret").over(whole).alias("mean"), F.percentile("ret", F.lit(0.05)).over(whole).alias("var_95"), ann.alias("ann"))
     # deviations from the series' mean keep the sums small
     x = F.col("ret") - F.col("mean")
-    sums = rows.select("series_id", "i", "w", "ann", "mean", F.sum(x).over(up()).alias("a"), F.sum(x * x).over(up()).alias("b"))
-    before = sums.select("series_id", (F.col("i") + F.col("w")).alias("i"), F.col("a").alias("a0"), F.col("b").alias("b0"))
-    both = sums.where("i >= w and w >= 2").join(before, ["series_id", "i"], "left")
-    m = (F.col("a") - F.coalesce("a0", F.lit(0.0))) / F.col("w")
-    var = (F.col("b") - F.coalesce("b0", F.lit(0.0))) / F.col("w") - m * m
+    rows = rows.withColumn("w", F.least(F.col("ann"), F.floor(F.col("n") / 2)).cast("int")).select("*", F.sum(x).over(up()).alias("a"), F.sum(x * x).over(up()).alias("b"))
+    same = W.partitionBy("series_id", F.pmod("i", F.greatest("w", F.lit(1)))).orderBy("i")
+    rows = rows.select("*", F.lag("a", 1, 0.0).over(same).alias("a0"), F.lag("b", 1, 0.0).over(same).alias("b0"))
+    m = (F.col("a") - F.col("a0")) / F.col("w")
+    var = (F.col("b") - F.col("b0")) / F.col("w") - m * m
     value = F.when(var > 1e-18, (m + F.col("mean")) / F.sqrt(var) * F.sqrt("ann")).otherwise(0.0)
-    return both.groupBy("series_id").agg(F.avg(value).alias("rolling_sharpe"))
+    return rows.withColumn("rolling", F.when((F.col("i") >= F.col("w")) & (F.col("w") >= 2), value)).drop("a", "b", "a0", "b0", "w")
 
 
 def record(s: DataFrame, n_trials: int = 1, risk_free: float = 0.02, confidence: float = 0.95, benchmark: DataFrame | None = None) -> DataFrame:
     """The full record, one row a series; series of fewer than 2 returns give zeros."""
-    s = s.where("ret is not null")
-    stats = basics(s)
-    depth = drawdowns(s)
-    falls = depth.groupBy("series_id").agg(F.min("dd").alias("max_drawdown"))
-    spells = drawdown_durations(depth).groupBy("series_id").agg(F.max("rows").alias("max_dd_duration_days"))
-    tail = s.join(stats.select("series_id", "var_95"), "series_id").where("ret <= var_95 + 1e-15").groupBy("series_id").agg(F.avg("ret").alias("cvar_95"))
-    rows = stats.join(falls, "series_id", "left").join(spells, "series_id", "left").join(tail, "series_id", "left").join(rolling_sharpe(s, stats), "series_id", "left")
+    tail = F.when(F.col("ret") <= F.col("var_95") + 1e-15, F.col("ret"))
+    rows = observed(s.where("ret is not null")).groupBy("series_id").agg(
+        F.max("ann").alias("ann"),
+        F.max("var_95").alias("var_95"),
+        F.avg(tail).alias("cvar_95"),
+        F.min("dd").alias("max_drawdown"),
+        F.max("under").alias("max_dd_duration_days"),
+        F.avg("rolling").alias("rolling_sharpe"),
+        *_moments(),
+    )
     years = F.col("n") / F.col("ann")
     rows = rows.withColumn("annual_return", F.when(F.col("total_return") > -1, F.pow(1 + F.col("total_return"), 1 / years) - 1).otherwise(-1.0))
     rows = rows.withColumn("volatility", F.col("sd") * F.sqrt("ann"))

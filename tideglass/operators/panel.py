@@ -5,6 +5,8 @@ Windows run over one asset's rows; what is needed across assets is a grouped agg
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,9 +19,9 @@ def by_asset() -> WindowSpec:
 
 def complete(panel: DataFrame, value: str = "price") -> DataFrame:
     """Rows of the dates on which every asset has a value."""
-    n = panel.agg(F.count_distinct("asset").alias("n_assets"))
-    full = panel.groupBy("dt").agg(F.count(value).alias("n")).join(F.broadcast(n), F.col("n") == F.col("n_assets")).select("dt")
-    return panel.join(full, "dt", "left_semi")
+    n = panel.agg(F.count_distinct("asset").alias("_assets"))
+    rows = panel.withColumn("_valued", F.count(value).over(W.partitionBy("dt")))
+    return rows.join(F.broadcast(n), F.col("_valued") == F.col("_assets")).drop("_valued", "_assets")
 
 
 def returns(panel: DataFrame) -> DataFrame:
@@ -63,11 +65,18 @@ def fill_forward(panel: DataFrame, limit: int = 3) -> DataFrame:
     return panel.withColumn("price", F.last("price", ignorenulls=True).over(by_asset().rowsBetween(-limit, 0)))
 
 
+def _bounds(sigmas: float, tail: float) -> tuple[Callable[[WindowSpec | None], Column], Callable[[WindowSpec | None], Column]]:
+    """Lower and upper bound of `ret`, each over a window or, given none, as an aggregate."""
+    over = lambda c, w: c if w is None else c.over(w)
+    mean, sd = lambda w: over(F.avg("ret"), w), lambda w: over(F.stddev_samp("ret"), w)
+    q = lambda w, p: over(F.percentile("ret", F.lit(p)), w)
+    return (lambda w: F.greatest(mean(w) - sigmas * sd(w), q(w, tail)), lambda w: F.least(mean(w) + sigmas * sd(w), q(w, 1 - tail)))
+
+
 def winsor_bounds(rets: DataFrame, sigmas: float = 5.0, tail: float = 0.005) -> DataFrame:
     """(asset, lo, hi): the tighter of mean -/+ sigmas deviations and the tail quantiles."""
-    q = F.percentile("ret", F.array(F.lit(tail), F.lit(1 - tail)))
-    s = rets.groupBy("asset").agg(F.avg("ret").alias("m"), F.stddev_samp("ret").alias("s"), q.alias("q"))
-    return s.select("asset", F.greatest(F.col("m") - sigmas * F.col("s"), F.col("q")[0]).alias("lo"), F.least(F.col("m") + sigmas * F.col("s"), F.col("q")[1]).alias("hi"))
+    lo, hi = _bounds(sigmas, tail)
+    return rets.groupBy("asset").agg(lo(None).alias("lo"), hi(None).alias("hi"))
 
 
 def clip(x: Column, lo: Column, hi: Column) -> Column:
@@ -77,9 +86,12 @@ def clip(x: Column, lo: Column, hi: Column) -> Column:
 
 def clean(panel: DataFrame) -> DataFrame:
     """(dt, asset, price): flat runs nulled, short holes filled, incomplete dates dropped, returns clipped, prices rebuilt."""
-    kept = complete(fill_forward(halts(grid(panel.select("dt", "asset", "price")))))
-    rets = kept.withColumn("ret", F.try_divide("price", F.lag("price").over(by_asset())) - 1)
-    rets = rets.join(F.broadcast(winsor_bounds(rets.where("ret is not null"))), "asset")
+    filled = fill_forward(halts(grid(panel.select("dt", "asset", "price"))))
+    # the grid has every asset on every date, so a complete date is one without a null
+    whole = filled.withColumn("_holes", F.count_if(F.col("price").isNull()).over(W.partitionBy("dt"))).where("_holes = 0")
+    rets = whole.select("dt", "asset", "price", (F.try_divide("price", F.lag("price").over(by_asset())) - 1).alias("ret"))
+    lo, hi = (f(W.partitionBy("asset")) for f in _bounds(5.0, 0.005))
+    rets = rets.select("*", lo.alias("lo"), hi.alias("hi"))
     path = by_asset().rowsBetween(W.unboundedPreceding, 0)
     first = F.first("price").over(path)
     grown = F.sum(F.log1p(clip(F.col("ret"), F.col("lo"), F.col("hi")))).over(path)
