@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideglass.llm.shared import drop, keep
+from tideglass.llm.shared import Scratch, drop
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -26,15 +26,15 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.unionByName(own).where("a > b").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges (a, b); component is its least reachable node.
 
-    Self links and repeated links do no harm; an empty table gives an empty one.
+    Self links and repeated links do no harm; an empty table gives an empty one.  scratch owns the table.
     """
-    now = keep(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "cc")
+    now = scratch.keep(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "cc")
     mark = None
     for _ in range(rounds):
-        new = keep(_star(_star(now, True), False), "cc")
+        new = scratch.keep(_star(_star(now, True), False), "cc")
         drop(now)
         now = new
         # a star forest: every node has one parent and no parent is itself a child

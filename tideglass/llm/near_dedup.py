@@ -253,7 +253,7 @@ def _near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     dealt = dealt.select("band", "block", "node", "size_", "n", "sig").repartition("band", "block").sortWithinPartitions("band", "block")
     pairs = dealt.mapInArrow(_near_pairs, "a long, b long")
     first = scratch.keep(_links(pairs, sets), "links")
-    seen = scratch.keep(components(first), "seen")
+    seen = scratch.keep(components(first, scratch), "seen")
 
     # what large buckets still hold in several components: those outside the bucket's main one are checked
     # against all of that component and against each other, cell by cell
@@ -289,7 +289,7 @@ def _near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     # components of components
     of = lambda c: seen.select(F.col("node").alias(c), F.col("component").alias(f"{c}_c"))
     joined = second.unionByName(ties).join(of("a"), "a", "left").join(of("b"), "b", "left")
-    final = scratch.keep(components(joined.select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b"))), "final")
+    final = scratch.keep(components(joined.select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b")), scratch), "final")
 
     # each class's component, named by the least doc_id of its classes
     of_class = classes.join(seen.select("node", F.col("component").alias("c1")), "node", "left").withColumn("c1", F.coalesce("c1", "node"))

@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import functools
 import gc
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideglass.sources.scratch import shared_dir
+
 #: Rows of a table of ids (8 bytes each) that may be broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Bytes of text worked on at once inside a Python worker.
@@ -33,21 +33,6 @@ def small_batches(it: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.
             yield batch.slice(at, rows)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir).
-
-    Where that is unset, one of our own if driver and executors are one process; else an error.
-    """
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        place = tempfile.mkdtemp(prefix="tideglass-")
-        atexit.register(shutil.rmtree, place, True)
-        spark.conf.set("spark.checkpoint.dir", place)
-    return place.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -69,12 +54,18 @@ def batched(spark: SparkSession, rows: int = 500):
             spark.conf.set(_ROWS, before)
 
 
+_STAGES: ContextVar[tuple[Stage, ...]] = ContextVar("stages", default=())
+
+
 def keep(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors.
 
-    Python workers get at most `rows` rows at once.  The caller owns the table: drop() deletes it, Scratch those of one operator.
+    Python workers get at most `rows` rows at once.  The caller owns the table: drop() deletes it, Scratch those of one
+    operator, and an open Stage all that are written in its block.
     """
     path = new_path(df.sparkSession, name)
+    for owner in _STAGES.get():
+        owner.paths.append(path)
     if rows:
         with batched(df.sparkSession, rows):
             df.write.parquet(path)
@@ -118,6 +109,24 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
 
+class Stage(Scratch):
+    """Owner of every table that keep() writes while its block runs, results of operators included; those given to outlive() stay."""
+
+    def __enter__(self) -> Stage:
+        self._before = _STAGES.set((*_STAGES.get(), self))
+        return self
+
+    def __exit__(self, *error) -> None:
+        _STAGES.reset(self._before)
+        super().__exit__(*error)
+
+    def outlive(self, df: DataFrame, name: str) -> DataFrame:
+        """df as a table that an outer stage or the caller owns: it may read this stage's tables, which go when the block ends."""
+        out = keep(df, name)
+        self.paths.pop()
+        return out
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A written table of short rows, marked for broadcast only if its counted rows are few."""
     return F.broadcast(df) if df.count() <= rows else df
