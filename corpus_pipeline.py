@@ -1,7 +1,8 @@
 """Corpus pipeline: toxicity, near-duplicates, decontamination, mixing, token-id files.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the last
-return the columns of documents, whatever their names, and run() deletes a stage's table once the next one is written.
+return the columns of documents, whatever their names, and run() deletes a stage's table once the next one is
+written, with all tables that its operators wrote.
 
 * toxicity - documents the string-kernel machine rejects (score >= 0.5) go;
 * near_dedup - of each group of near-duplicates the document with the least doc_id stays;
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tideglass.llm import binary, decontaminate, mixing, near_dedup, toxicity
 from tideglass.llm.queries import tokenizer_path
-from tideglass.llm.shared import drop, keep, table
+from tideglass.llm.shared import Stage, drop, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,9 +53,6 @@ STAGES = [
     ("token_ids", token_ids_stage),
 ]
 
-#: Stages whose result is a table of their own, with all rows of theirs; run() deletes it once its copy is written.
-OWN_TABLES = ("toxicity", "decontamination")
-
 #: The classifier, the rounding and the tokenizer have no SQL form.
 ORACLE_SQL = None
 
@@ -62,10 +60,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, done = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        made = stage(spark, docs, sf_dir)
-        docs = keep(made, name)
-        if name in OWN_TABLES:
-            drop(made)
+        with Stage(spark) as tables:
+            docs = tables.outlive(stage(spark, docs, sf_dir), name)
         if done is not None:
             drop(done)
         done = docs
