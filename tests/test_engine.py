@@ -95,6 +95,24 @@ def test_eg_closed_form(spark):
     assert np.allclose([r.w for r in got], w)
 
 
+def test_eg_weights_stay_finite_where_exp_overflows(spark):
+    df = spark.createDataFrame([(1, "a", 7090.0), (1, "b", 7089.0), (2, "a", 3000.0), (2, "b", 3000.0), (2, "c", 10_000.0)], "t int, strategy string, ret double")
+    got = {(r.t, r.strategy): r.w for r in decide.eg_weights(df).collect()}
+    a = np.exp([0.0, -0.1, -9.0])
+    assert np.allclose([got[1, "a"], got[1, "b"]], a[:2] / a[:2].sum())
+    b = np.exp(np.array([1009.0, 1008.9, 1000.0]) - 1009.0)
+    assert np.allclose([got[2, "a"], got[2, "b"], got[2, "c"]], b / b.sum())
+
+
+def test_means_halfway_between_tenths_go_to_the_even_one(spark):
+    # 19.65 exactly, while a sum of doubles gives 19.650000000000002
+    items = [("a", s, 1.0) for s in (36.24, 3.7, 21.32, 17.34)] + [("b", float("nan"), 1.0), ("c", 1e300, 1.0), ("c", 1e300, 1.0), ("d", None, 1.0)]
+    df = spark.createDataFrame(items, "k string, score double, weight double").selectExpr("*", "'range' as scoring_mode", "0.5 as min_score")
+    for rows in (df, df.orderBy("score"), df.orderBy(F.desc("score"))):
+        got = {r.k: r.score for r in control.weighted_scores(rows, "k").where("k <> 'b'").collect()}
+        assert got == {"a": 19.6, "c": 1e300, "d": None}
+
+
 def test_gate_stops(spark):
     r = spark.createDataFrame([("A1", "1A", True, ""), ("B1", "1B", False, ""), ("D1", "3", True, "")], "check_id string, phase string, passed boolean, detail string")
     assert sorted(x.check_id for x in audit.gate(r).collect()) == ["A1", "B1"]

@@ -41,10 +41,20 @@ def type_score(kind: Column, a: Column, b: Column, c: Column) -> Column:
     return F.when(kind == "code", a * 0.5 + b * 0.3 + compiled * 0.2).when(kind == "document", a * 0.4 + b * 0.4 + c * 0.2).otherwise(a * 0.6 + b * 0.4)
 
 
+def exact_sum(x: Column) -> Column:
+    """The sum of doubles as decimals of 15 places, so their order plays no part; where one does not fit, as doubles."""
+    d = x.try_cast("decimal(28,15)")
+    return F.when(F.count(d) == F.count(x), F.sum(d).cast("double")).otherwise(F.sum(x))
+
+
 def weighted_scores(items: DataFrame, by: str) -> DataFrame:
-    """(by, score, level) of (by, score, weight, scoring_mode, min_score); an item that must pass and does not gives 0."""
+    """(by, score, level) of (by, score, weight, scoring_mode, min_score); an item that must pass and does not gives 0.
+
+    A mean halfway between two tenths is told as such, however its items come: sums are exact, the quotient's last bits are rounded off.
+    """
     gate = F.bool_or((F.col("scoring_mode") == "pass_fail") & (F.col("score") < F.col("min_score")))
-    total = F.when(F.sum("weight") > 0, F.sum(F.col("score") * F.col("weight")) / F.sum("weight")).otherwise(0.0)
+    weight = exact_sum(F.col("weight"))
+    total = F.when(weight > 0, F.round(exact_sum(F.col("score") * F.col("weight")) / weight, 12)).otherwise(0.0)
     rows = items.groupBy(by).agg(F.when(F.coalesce(gate, F.lit(False)), 0.0).otherwise(total).alias("raw"))
     return rows.select(by, F.bround("raw", 1).alias("score"), level(F.col("raw")).alias("level"))
 
