@@ -85,6 +85,31 @@ def test_hot_keys_ties_and_bursts(spark):
     assert gates.quota(frame.limit(0), "k").count() == gates.leases(frame.limit(0), "k", "owner", F.col("rel")).count() == 0
 
 
+@pytest.mark.parametrize("name", ["leases", "quota_access"])
+def test_gates_read_their_rows_a_few_times(spark, name):
+    """Two reads of the rows and two of their numbers by key, in a plan that starts no job of its own."""
+    group = f"build {name}"
+    spark.sparkContext.setJobGroup(group, group)
+    rows = q.QUERIES[name](spark, SF).select("client_id", "click_id")
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    spark.sparkContext.setJobGroup("", "")
+    plan = rows._jdf.queryExecution().sparkPlan().toString()
+    # one job reads the schema of the file
+    assert jobs <= 1 and plan.count("FileScan parquet") <= 4 and plan.count("Join") <= 2
+
+
+def test_keys_of_many_rows_are_cut(spark, monkeypatch):
+    """A hot key in cells of about 20 rows gives what it gives whole, from claims of many owners with and without releases."""
+    rng = random.Random(5)
+    rows = [("hot" if rng.random() < 0.7 else rng.choice("abc"), i, rng.choice([rng.randrange(60), rng.randrange(5000)]), rng.choice("uvwxyz"), k > 0 and rng.random() < 0.2) for k in range(2) for i in range(600)]
+    frame = spark.createDataFrame([(f"{k}{i % 2}", j, t, o, r and i % 2 > 0) for j, (i, (k, _, t, o, r)) in enumerate(enumerate(rows))], "k string, id long, t long, owner string, rel boolean")
+    make = lambda: (gates.quota(frame, "k", limit=4, hours=1e-8), gates.leases(frame, "k", "owner", F.col("rel"), ttl=25))
+    whole = [sorted(map(tuple, df.collect())) for df in make()]
+    monkeypatch.setattr(ordered, "CELL_ROWS", 20)
+    assert [sorted(map(tuple, df.collect())) for df in make()] == whole
+    assert all(len(w) == len(rows) for w in whole)
+
+
 @pytest.mark.parametrize("width", [2, 7, 1024])
 def test_queues_fold_in_levels(spark, width):
     rng = random.Random(width)

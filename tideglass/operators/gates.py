@@ -3,76 +3,182 @@
 from __future__ import annotations
 
 import heapq
-
+from bisect import bisect_left, bisect_right
+from collections import OrderedDict, deque
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideglass.operators.ordered import CHUNK, HOUR, before_each, orbit, running, streamed
+from tideglass.operators.ordered import CHUNK, HOUR, before_each, folded, running, streamed
 
 MINUTE = HOUR // 60
 
 
-def _following(rows: DataFrame, probes: DataFrame, by: list[str], width: int) -> DataFrame:
-    """(by..., _at, _nxt): for probes (by..., _at, _target) the least _place of rows (by..., _t, _place) with _t >= _target."""
-    none = F.lit(None).cast(rows.schema["_place"].dataType)
-    found = rows.select(*by, "_t", F.lit(1).alias("_k"), "_place", none.alias("_at"))
-    asked = probes.select(*by, F.col("_target").alias("_t"), F.lit(0).alias("_k"), none.alias("_place"), "_at")
-    both = running(found.unionByName(asked), by, ["_t", "_k", "_place"], F.col("_place"), "_nxt", width, ahead=True)
-    return both.where("_k = 0").select(*by, "_at", "_nxt")
+class Windows:
+    """A cell of calls before the window they meet is known: for each instant at which that may end, the window open behind the cell and its calls.
 
+    A window from before the cell has ended `span` after the cell's first call; until then each instant may be the one that opens the next.
+    Windows that end before the same call go on as one.
+    """
 
-def quota(calls: DataFrame, by: str, t: str = "t", tie: str = "id", limit: int = 1000, hours: float = 5, width: int = MINUTE) -> DataFrame:
+    def __init__(self, span: int):
+        self.span, self.first, self.last, self.n = span, None, None, 0
+        # windows in the order of their starts: [start, calls of the cell before it, ends of the earlier window that lead to it]
+        self.open: deque[list] = deque()
+        self.known = False
+
+    def add(self, t: int, *_) -> None:
+        if self.first is None:
+            self.first = t
+        if t != self.last:
+            ends = []
+            while self.open and self.open[0][0] + self.span <= t:
+                old = self.open.popleft()[2]
+                ends, old = (ends, old) if len(ends) > len(old) else (old, ends)
+                ends += old
+            if not self.known:
+                self.known = t >= self.first + self.span
+                ends.append(t)
+            if ends:
+                self.open.append([t, self.n, ends])
+            self.last = t
+        self.n += 1
+
+    def told(self) -> dict:
+        steps = []
+        for end, start, before in sorted((e, s, n) for s, n, ends in self.open for e in ends):
+            if steps and steps[-1][1] == start:
+                steps[-1][0] = end
+            else:
+                steps.append([end, start, self.n - before])
+        return {"steps": steps, "n": self.n}
+
+    @staticmethod
+    def after(told: dict, state: list | None, span: int) -> list:
+        steps = told["steps"]
+        i = 0 if state is None else bisect_left(steps, state[0] + span, key=lambda s: s[0])
+        return steps[i][1:] if i < len(steps) else [state[0], state[1] + told["n"]]
+
+
+def quota(calls: DataFrame, by: str, t: str = "t", tie: str = "id", limit: int = 1000, hours: float = 5, width: int | None = None) -> DataFrame:
     """calls with window_start, place and allowed: a key's first call opens a window, and so does the first call `hours` or more after the last opening.
 
     t is in microseconds.  In a window the first `limit` calls are allowed.  Calls of one instant go in the order of `tie`; calls without a key or
     instant are dropped.
     """
     rows = calls.where(F.col(by).isNotNull() & F.col(t).isNotNull())
-    instants = rows.select(by, F.col(t).alias("_t")).distinct()
-    probes = instants.select(by, F.col("_t").alias("_at"), (F.col("_t") + round(hours * HOUR)).alias("_target"))
-    hops = _following(instants.withColumn("_place", F.col("_t")), probes, [by], width)
-    starts = orbit(hops, instants.groupBy(by).agg(F.min("_t").alias("_at")), [by])
-    starts = starts.select(by, F.col("_at").alias(t), F.lit(True).alias("_opens"))
-    rows = running(rows.join(starts, [by, t], "left"), [by], [t, tie], F.when(F.col("_opens"), F.col(t)), "window_start", width).drop("_opens")
-    rows = running(rows, [by, "window_start"], [t, tie], F.lit(1), "place", width, how="sum")
+    span = round(hours * HOUR)
+
+    def step(state: list | None, at: int) -> tuple:
+        start, n = state or (None, 0)
+        if start is None or at > start and at >= start + span:
+            start, n = at, 0
+        return [start, n + 1], (start, n + 1)
+
+    rows = folded(rows, by, [t, tie], [t], lambda: Windows(span), lambda told, state: Windows.after(told, state, span), step, "window_start long, place long", width)
     return rows.withColumn("allowed", F.col("place") <= limit).select(*calls.columns, "window_start", "place", "allowed")
 
 
-def leases(events: DataFrame, by: str, owner: str, release: Column, t: str = "t", tie: str = "id", ttl: int = HOUR, width: int = MINUTE) -> DataFrame:
+def lease_step(state: list | None, t: int, owner: str, release: bool, ttl: int) -> tuple:
+    """(lease [owner, until] or None, outcome) of one event."""
+    holds = state is not None and state[1] >= t
+    if release:
+        return None, ("released" if holds else "none",)
+    if holds and state[0] != owner:
+        return state, ("refused",)
+    return [owner, t + ttl], ("extended" if holds else "claimed",)
+
+
+class Claims:
+    """A cell of claims and releases before the lease they meet is known: for each such lease the one that holds behind the cell.
+
+    A release ends every lease, so all that came before is one case.  Until then a claim takes the leases that have expired and its own
+    owner's: all these go on as one, and there is one case an owner.  A lease from before the cell ends within ttl of its first row.
+    """
+
+    def __init__(self, ttl: int):
+        self.ttl, self.first, self.all, self.state = ttl, None, False, None
+        # leases by owner in the order of their ends: [until, case]; cases that went on as one point to it
+        self.held: OrderedDict[str, list] = OrderedDict()
+        self.into: list[int] = []
+        # what became of the lease before: by its end, and by its owner's first claim
+        self.ended: list[tuple[int, int]] = []
+        self.own: dict[str, tuple[int, int]] = {}
+        self.known = False
+
+    def add(self, t: int, owner: str, release: bool) -> None:
+        if self.first is None:
+            self.first = t
+        if release or self.all:
+            self.state = lease_step(self.state if self.all else None, t, owner, release, self.ttl)[0]
+            self.all = True
+            return
+        case = None
+        mine = self.held.pop(owner, None)
+        gone = [] if mine is None else [mine[1]]
+        while self.held and (least := next(iter(self.held)), self.held[least][0])[1] < t:
+            gone.append(self.held.pop(least)[1])
+        if gone:
+            case = gone[0]
+            for g in gone[1:]:
+                self.into[g] = case
+        if not self.known:
+            meets = not self.ended or t > self.ended[-1][0]
+            if case is None and (meets or owner not in self.own):
+                case = len(self.into)
+                self.into.append(case)
+            if meets:
+                self.ended.append((t, case))
+            if owner not in self.own:
+                self.own[owner] = (t, case)
+            self.known = t >= self.first + self.ttl
+        if case is not None:
+            self.held[owner] = [t + self.ttl, case]
+
+    def told(self) -> dict:
+        if self.all:
+            return {"all": self.state}
+        lease = {case: [owner, until] for owner, (until, case) in self.held.items()}
+
+        def behind(case: int) -> list:
+            while self.into[case] != case:
+                self.into[case] = case = self.into[self.into[case]]
+            return lease[case]
+
+        ended = []
+        for t, case in self.ended:
+            if ended and ended[-1][1] == behind(case):
+                ended[-1][0] = t
+            else:
+                ended.append([t, behind(case)])
+        return {"ended": ended, "own": {o: [t, behind(case)] for o, (t, case) in self.own.items()}}
+
+    @staticmethod
+    def after(told: dict, state: list | None) -> list | None:
+        if "all" in told:
+            return told["all"]
+        if state is None:
+            return told["ended"][0][1]
+        owner, until = state
+        own = told["own"].get(owner)
+        if own and until >= own[0]:
+            return own[1]
+        # a lease still holds in its last instant
+        i = bisect_right(told["ended"], until, key=lambda e: e[0])
+        return told["ended"][i][1] if i < len(told["ended"]) else state
+
+
+def leases(events: DataFrame, by: str, owner: str, release: Column, t: str = "t", tie: str = "id", ttl: int = HOUR, width: int | None = None) -> DataFrame:
     """events with outcome: claims are `claimed`, `extended` or `refused`, releases are `released` or, without a lease, `none`.
 
     A claim takes the task's lease for ttl microseconds if none holds; the owner's further claims extend it, those of others are
     refused and change nothing; a release ends it, whoever asks.  A lease still holds in its last instant.  Rows without a
     task, owner or instant are dropped; order is by t, then tie, which tells a task's rows apart.
-
-    A lease granted at a claim lasts as the owner's claims go on with gaps of ttl at most, or to the next release;
-    both follow from the rows alone, so each claim knows which claim would be granted next, and the granted ones are the orbit of the first.
     """
-    rows = events.where(F.col(by).isNotNull() & F.col(t).isNotNull() & F.col(owner).isNotNull()).withColumn("_release", F.coalesce(release, F.lit(False)))
-    place, claim = F.struct(F.col(t).alias("t"), F.col(tie).alias("id")), ~F.col("_release")
-    rows = rows.withColumn("_place", place)
-    # the owner's next claim, if it comes in time, else none: the last claim of a chain tells when the lease would expire
-    own = [by, owner]
-    rows = running(rows, own, [t, tie], F.when(claim, F.col(t)), "_then", width, ahead=True, own=False)
-    ends = claim & (F.col("_then").isNull() | (F.col("_then") - F.col(t) > ttl))
-    rows = running(rows, own, [t, tie], F.when(ends, F.col(t) + ttl), "_until", width, ahead=True)
-    # the claim behind the next release
-    rows = running(rows, [by], [t, tie], F.when(claim, F.col("_place")), "_behind", width, ahead=True)
-    rows = running(rows, [by], [t, tie], F.when(F.col("_release"), F.struct(F.col("_behind").alias("p"))), "_freed", width, ahead=True)
-    claims = rows.where(claim)
-    late = _following(claims.select(by, F.col(t).alias("_t"), "_place"), claims.select(by, F.col("_place").alias("_at"), (F.col("_until") + 1).alias("_target")), [by], width)
-    hops = claims.select(by, F.col("_place").alias("_at"), F.col("_freed.p").alias("_freed")).join(late, [by, "_at"])
-    hops = hops.select(by, "_at", F.least("_nxt", "_freed").alias("_nxt"))
-    granted = orbit(hops, claims.groupBy(by).agg(F.min("_place").alias("_at")), [by]).withColumnRenamed("_at", "_place").withColumn("_granted", F.lit(True))
-    rows = rows.join(granted, [by, "_place"], "left")
-    held = F.struct(F.col(owner).alias("owner"), F.col("_until").alias("until"), F.col("_place").alias("place"))
-    rows = running(rows, [by], [t, tie], F.when(F.col("_granted"), held), "_held", width)
-    # a release finds the lease if no other release came since it was granted
-    rows = running(rows, [by], [t, tie], F.when(F.col("_release"), F.col("_place")), "_last", width, own=False)
-    fresh = F.col("_held").isNotNull() & (F.col("_held.until") >= F.col(t)) & ~F.coalesce(F.col("_last") > F.col("_held.place"), F.lit(False))
-    outcome = F.when(F.col("_release"), F.when(fresh, "released").otherwise("none")).when(F.col("_granted"), "claimed").when(F.col("_held.owner") == F.col(owner), "extended").otherwise("refused")
-    return rows.withColumn("outcome", outcome).select(*events.columns, "outcome")
+    rows = events.where(F.col(by).isNotNull() & F.col(t).isNotNull() & F.col(owner).isNotNull())
+    rows = rows.withColumns({"_release": F.coalesce(release, F.lit(False)), "_owner": F.col(owner).cast("string")})
+    step = lambda state, at, who, frees: lease_step(state, at, who, frees, ttl)
+    return folded(rows, by, [t, tie], [t, "_owner", "_release"], lambda: Claims(ttl), Claims.after, step, "outcome string", width).select(*events.columns, "outcome")
 
 
 class Dispatcher:

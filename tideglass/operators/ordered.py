@@ -1,4 +1,4 @@
-"""Ordered lines of rows under hot keys: running values by cells, orbits of successor pointers, folds in levels.
+"""Ordered lines of rows under hot keys: running values and folds by cells, orbits of successor pointers, folds in levels.
 
 A line is all rows of a key in the order of a number (an instant or a sequence number) and tie-breakers.  No line is sorted
 whole: it is cut into cells of `width`, values run within a cell, and each cell gets what the cells before it leave over, from
@@ -7,6 +7,7 @@ a table with one row a cell.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -14,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tideglass.sources.scratch import cut, drop
 
@@ -81,6 +83,89 @@ def streamed(rows: DataFrame, by: list[str], order: list[str], start: Callable[[
     return rows.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, out)
 
 
+#: Rows of a key that make a cell of folded(), about.
+CELL_ROWS = 100_000
+
+
+def _each(batch: pa.RecordBatch, names: list[str]) -> Iterator[tuple]:
+    return zip(*(batch.column(n).to_pylist() for n in names))
+
+
+def folded(rows: DataFrame, by: str, order: list[str], using: list[str], survey: Callable[[], object], after: Callable[[object, object], object], step: Callable[..., tuple], out: str, width: int | None = None) -> DataFrame:
+    """rows with the columns `out`: each key's rows in order go through step(state, *values of `using`) -> (new state, tuple of columns).
+
+    A state is None before a key's first row and holds what JSON holds.  Lines are cut into cells of order[0], an integer; no cell waits for
+    another: survey() gives an object whose add(*values) takes a cell's rows in order without knowing the state before them and whose
+    told() is a short JSON value with after(told, state) the state behind the cell.  States pass from cell to cell over a table of one row a
+    cell; then the rows of each are told apart.  Cells are `width` wide; without a width a key of few rows is one cell, others are
+    cut evenly to about CELL_ROWS rows each.  by and order are never null.
+    """
+    at = F.col(order[0])
+    if width:
+        rows = rows.withColumn("_cell", F.floor(at / width))
+    else:
+        # few keys have so many rows that they are cut
+        hot = rows.groupBy(by).agg(F.count("*").alias("_n"), F.min(at).alias("_low"), F.max(at).alias("_high")).where(F.col("_n") > CELL_ROWS)
+        hot = hot.select(by, "_low", ((F.col("_high") - F.col("_low") + 1) / F.ceil(F.col("_n") / CELL_ROWS)).alias("_wide"))
+        rows = rows.join(F.broadcast(hot), by, "left").withColumn("_cell", F.coalesce(F.floor((at - F.col("_low")) / F.col("_wide")), F.lit(0).cast("long"))).drop("_low", "_wide")
+    key = [by, "_cell"]
+    kind = rows.select(*key).schema
+
+    def up(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, now, done = None, None, []
+        for batch in it:
+            for k, c, *values in _each(batch, [*key, *using]):
+                if (k, c) != cell:
+                    if now:
+                        done.append({by: cell[0], "_cell": cell[1], "_told": json.dumps(now.told())})
+                    cell, now = (k, c), survey()
+                now.add(*values)
+            if len(done) > 5000:
+                yield pa.RecordBatch.from_pylist(done, pa.schema([*map(batch.schema.field, key), ("_told", pa.string())]))
+                done = []
+        if now:
+            done.append({by: cell[0], "_cell": cell[1], "_told": json.dumps(now.told())})
+            yield pa.RecordBatch.from_pylist(done, pa.schema([*map(batch.schema.field, key), ("_told", pa.string())]))
+
+    def along(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        line, state = None, None
+        for batch in it:
+            before = []
+            for k, told in _each(batch, [by, "_told"]):
+                if k != line or line is None:
+                    line, state = k, None
+                before.append(json.dumps(state))
+                state = after(json.loads(told), state)
+            yield pa.RecordBatch.from_arrays([*map(batch.column, key), pa.array(before, pa.string())], [*key, "_state"])
+
+    def tell(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = None
+        for batch in it:
+            told = []
+            # a cell's first row brings the state before it
+            for before, *values in _each(batch, ["_state", *using]):
+                if before is not None:
+                    state = json.loads(before)
+                else:
+                    state, new = step(state, *values)
+                    told.append(new)
+            if told:
+                kept = batch.filter(batch.column("_state").is_null())
+                new = [pa.array(c, t) for c, t in zip(zip(*told), made_types)]
+                yield pa.RecordBatch.from_arrays([*(kept.column(n) for n in names), *new], [*names, *made_names])
+
+    names = [n for n in rows.columns if n != "_cell"]
+    kinds = {"long": (pa.int64(), T.LongType()), "string": (pa.string(), T.StringType()), "boolean": (pa.bool_(), T.BooleanType())}
+    made = [(x.split()[0], *kinds[x.split()[1]]) for x in out.split(", ")]
+    made_names, made_types = [m[0] for m in made], [m[1] for m in made]
+    slim = rows.select(*dict.fromkeys([*key, *order, *using])).repartition(*key).sortWithinPartitions(*key, *order)
+    cells = slim.mapInArrow(up, T.StructType([*kind.fields, T.StructField("_told", T.StringType())]))
+    states = cells.repartition(by).sortWithinPartitions(*key).mapInArrow(along, T.StructType([*kind.fields, T.StructField("_state", T.StringType())]))
+    both = rows.withColumn("_state", F.lit(None).cast("string")).unionByName(states, allowMissingColumns=True)
+    both = both.repartition(*key).sortWithinPartitions(*key, F.col("_state").isNull(), *order)
+    return both.mapInArrow(tell, T.StructType([*rows.select(*names).schema.fields, *(T.StructField(n, t) for n, _, t in made)]))
+
+
 Map = list[float]
 
 
