@@ -292,3 +292,19 @@ def test_edits_of_the_query_are_those_of_the_script(spark):
     for r in queries._script(docs).orderBy("doc_id", "seq").collect():
         got.setdefault(r.doc_id, []).append((r.place, r.removed, r.put))
     assert got == {i: tokencount.script("ab c" * (i % 40), str(i)) for i in range(80) if i % 40}
+
+
+def test_words_of_ascii_letters_are_encoded_unread(monkeypatch):
+    """Only words with other characters are looked at one by one, and ids stay those of whole texts."""
+    import public_tokenizers
+
+    from tideglass.llm import binary
+
+    encoder = binary.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    seen, letters = [], binary._letters
+    monkeypatch.setattr(binary, "_letters", lambda w: seen.append(w) or letters(w))
+    texts = ["Plain words, zxqvkj wordz and naïve café x1y don't — 名前 <|x|> été", "", "ÀB ça � İi ﬁn"]
+    ids, bounds = encoder.encode([t.encode() for t in texts], 2)
+    want = [[*encoder.tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == want
+    assert "naïve" in seen and not any(w.isascii() and w.isalpha() for w in seen)

@@ -250,13 +250,14 @@ class WordEncoder:
     def _one(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
-    def _ids(self, texts: list[str], letters: bool) -> tuple[np.ndarray, np.ndarray]:
+    def _ids(self, words: list[bytes], letters: bool) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the words one after the other, number of each)."""
         if letters:
-            ids = self._one(" ".join(texts))
+            ids = self._one(b" ".join(words).decode("utf-8", "replace"))
             at = np.flatnonzero(self.last[ids])
-            if len(at) == len(texts):
+            if len(at) == len(words):
                 return ids, np.diff(np.concatenate(([-1], at)))
+        texts = [w.decode("utf-8", "replace") for w in words]
         if self.mark and not any(self.mark in t for t in texts):
             ids = self._one(self.mark.join(texts))
             at = np.flatnonzero(ids == self.cut)
@@ -293,14 +294,15 @@ class WordEncoder:
         place.new = []
         more = np.zeros(len(place) - len(self.size), np.int64)
         self.start, self.size, self.used = (np.concatenate((x, more)) for x in (self.start, self.size, self.used))
-        kinds: tuple[list, list] = ([], [])
+        # bytes that are ASCII letters alone need no look at their text
+        kinds: tuple[list, list] = ([], [w for w in whole if w.isalpha()])
         for w in whole:
-            t = w.decode("utf-8", "replace")
-            kinds[_letters(t)].append((w, t))
+            if not w.isalpha():
+                kinds[_letters(w.decode("utf-8", "replace"))].append(w)
         for letters, some in enumerate(kinds):
             for a in range(0, len(some), _WORDS):
                 part = some[a : a + _WORDS]
-                self._put([place[w] for w, _ in part], *self._ids([t for _, t in part], bool(letters)))
+                self._put([place[w] for w in part], *self._ids(part, bool(letters)))
         if stems:
             ids, _ = self._gather(self.start[parts], self.size[parts])
             self._put([place[w] for w in stems], ids, self.size[parts].reshape(-1, 2).sum(axis=1))
